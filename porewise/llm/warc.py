@@ -170,7 +170,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", payloa
         def flush():
             name = f"{context.stageId()}-{context.partitionId():06d}-{number:04d}-{context.taskAttemptId()}.warc.zst"
             data = writer.finish()
-            with store.open_output_stream(f"{base}/{name}") as out:
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(data)
             ids, frames, offsets, sizes = (list(c) for c in zip(*writer.index, strict=True))
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * len(ids)), *(pa.array(v, t) for v, t in zip((ids, frames, offsets, sizes), MANIFEST.types[1:], strict=True))], schema=MANIFEST)
