@@ -14,8 +14,12 @@ def labelled_sample(docs: DataFrame, label: Column, per_label: int, max_labels:
     Only identifiers are ranked; texts are fetched for the chosen ones alone.
     """
     rows = docs.select(F.col(id_col).alias("id"), label.alias("label"), F.col(text).alias("text")).where(F.col("label").isNotNull())
-    frequent = [r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()]
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()}
+    frequent = list(counts)
     ranked = rows.where(F.col("label").isin(frequent)).select("label", "id", F.xxhash64(F.lit(seed), "id").alias("h"))
+    # of a frequent label, only the hashes that may rank high enough are sorted: four times as many as are wanted
+    limits = F.coalesce(*(F.when(F.col("label") == label, F.lit(min(1 << 20, (per_label << 22) // n + 1))) for label, n in counts.items()), F.lit(0))
+    ranked = ranked.where(F.pmod(F.col("h"), F.lit(1 << 20)) < limits)
     order = Window.partitionBy("label").orderBy("h", "id")
     chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("id").distinct()
     # at most per_label * max_labels identifiers, hence broadcast
