@@ -303,13 +303,18 @@ def link_components(groups: DataFrame, rows: DataFrame, s: Settings) -> DataFram
         found = materialize(_verified(pairs, sets, s), "join-links")
         links = found if links is None else links.union(found)
         members, comps = _relabel(groups, links)
-    # across components: as many shared prefix shingles as the less extended of two nodes asks for
+    # across components: a pair is made once, at its first common prefix shingle, and only if it shares as
+    # many of them as the less extended of the two asks for
+    order = groups.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "token")))["token"].alias("prefix"))
+    order = materialize(order.join(members.select("id").distinct(), "id", "left_semi"), "join-orders")
+    members = members.join(order, "id")
     left, right = members.alias("x"), members.alias("y")
     fits = _similar_size(s, "x.n", "y.n") & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.id") < F.col("y.id"))
     need = F.ceil(F.lit(s.percent) * (F.col("x.n") + F.col("y.n")) / (100 + s.percent))
-    possible = F.least("x.place", "y.place") + 1 + F.least(F.col("x.shared") - F.col("x.place"), F.col("y.shared") - F.col("y.place")) - 1 >= need
-    met = left.join(right, (F.col("x.token") == F.col("y.token")) & fits & possible)
-    pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("x.matches", "y.matches")).alias("asked")).where("met >= asked").select("a", "b")
+    possible = F.least("x.place", "y.place") + F.least(F.col("x.shared") - F.col("x.place"), F.col("y.shared") - F.col("y.place")) >= need
+    common = F.array_intersect("x.prefix", "y.prefix")
+    enough = (F.size(common) >= F.least("x.matches", "y.matches")) & (F.get(common, F.lit(0)) == F.col("x.token"))
+    pairs = left.join(right, (F.col("x.token") == F.col("y.token")) & fits & possible & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     if done is not None:
         pairs = pairs.join(done, ["a", "b"], "left_anti")
     found = materialize(_verified(materialize(pairs, "join-pairs"), sets, s), "join-links")
