@@ -203,7 +203,9 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(rows, schema=RECORD)
 
     schema = "id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, bundle string, frame int, offset int"
-    return bundles.select("bundle").distinct().mapInArrow(run, schema)
+    paths = bundles.select("bundle").distinct()
+    # a task for each bundle: paths are so few bytes that Spark would put them all into one
+    return paths.repartition(min(max(1, paths.count()), 20_000)).mapInArrow(run, schema)
 
 
 def fetch(manifest: DataFrame, ids: DataFrame) -> DataFrame:
