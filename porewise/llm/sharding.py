@@ -34,7 +34,7 @@ def _sortable(kind: DataType) -> bool:
     return _sortable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType)
 
 
-def shuffle_into_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20, seed: int = 17, most_broadcast: int = 1_000_000) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20, seed: int = 17, most_broadcast: int = 1_000_000, most_partitions: int = 20_000) -> DataFrame:
     """All columns of ``docs`` with ``__shard``, ``__slot`` and ``__grown`` (the shard if there were one more)."""
     key, size = F.col(id_col), F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16
     top = F.array_max(_weights(key, F.sequence(F.lit(0), F.lit(n_shards - 1)), seed))
@@ -43,18 +43,24 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id",
     placed = placed.select("record", "bytes", "mark", F.col("top.shard").alias(SHARD), GROWN)
     # pass one: bytes of each shard decide how many buckets it has
     loads = {r[SHARD]: r["bytes"] for r in placed.groupBy(SHARD).agg(F.sum("bytes").alias("bytes")).collect()}
-    buckets = F.array(*(F.lit(max(1, -(-loads.get(s, 0) // bucket_bytes))) for s in range(n_shards)))
-    placed = placed.withColumn("bucket", F.pmod(F.col("mark"), F.element_at(buckets, F.col(SHARD) + 1)).cast("int"))
+    buckets = [max(1, -(-loads.get(s, 0) // bucket_bytes)) for s in range(n_shards)]
+    of_shard = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col(SHARD) + 1)
+    placed = placed.withColumn("bucket", F.pmod(F.col("mark"), of_shard(buckets)).cast("int"))
     counts = placed.groupBy(SHARD, "bucket").agg(F.count("*").alias("n"))
     begin = F.coalesce(F.sum("n").over(Window.partitionBy(SHARD).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = counts.select(SHARD, "bucket", begin.alias("begin"))
-    if sum(max(1, -(-b // bucket_bytes)) for b in loads.values()) <= most_broadcast:
+    if sum(buckets) <= most_broadcast:
         begins = F.broadcast(begins)
-    # pass two: buckets are gathered, put in a fixed order, shuffled and dealt out
+    # pass two: buckets are gathered, put in a fixed order, shuffled and dealt out; Spark seeds its shuffle by
+    # partition, so buckets are numbered on to partitions and sorted there, which makes any rerun agree
+    before = [sum(buckets[:s]) for s in range(n_shards)]
+    partitions = min(sum(buckets), most_partitions)
+    placed = placed.withColumn("part", ((of_shard(before) + F.col("bucket")) % partitions).cast("int")).repartitionById(partitions, "part")
     gathered = F.collect_list(F.struct("mark", "record", GROWN))
     if _sortable(docs.schema):
         gathered = F.sort_array(gathered)
-    full = placed.groupBy(SHARD, "bucket").agg(F.shuffle(gathered, seed).alias("rows")).join(begins, [SHARD, "bucket"])
+    full = placed.groupBy("part", SHARD, "bucket").agg(gathered.alias("rows")).sortWithinPartitions(SHARD, "bucket")
+    full = full.select(SHARD, "bucket", F.shuffle("rows", seed).alias("rows")).join(begins, [SHARD, "bucket"])
     dealt = full.select(SHARD, "begin", F.posexplode("rows").alias("place", "row"))
     return dealt.select("row.record.*", SHARD, (F.col("begin") + F.col("place")).alias(SLOT), F.col(f"row.{GROWN}").alias(GROWN))
 
