@@ -289,8 +289,7 @@ def link_components(groups: DataFrame, rows: DataFrame, s: Settings) -> DataFram
     """(node, root) of the nodes that are linked with another."""
     sets = _sets_of(rows, groups.select("id").distinct(), s)
     members = groups.withColumn("comp", F.col("id"))
-    links, comps = None, None
-    done = None
+    links, done = None, None
     for _ in range(s.rounds):
         # everyone against the most central node of each group: the one with the smallest share of shingles of its own
         centre = members.groupBy("token").agg(F.min(F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("own"), "id", "n", "comp")).alias("c"))
@@ -302,7 +301,7 @@ def link_components(groups: DataFrame, rows: DataFrame, s: Settings) -> DataFram
         done = pairs if done is None else done.union(pairs)
         found = materialize(_verified(pairs, sets, s), "join-links")
         links = found if links is None else links.union(found)
-        members, comps = _relabel(groups, links)
+        members, links = _relabel(groups, links)
     # across components: a pair is made once, at its first common prefix shingle, and only if it shares as
     # many of them as the less extended of the two asks for
     order = groups.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "token")))["token"].alias("prefix"))
@@ -322,11 +321,11 @@ def link_components(groups: DataFrame, rows: DataFrame, s: Settings) -> DataFram
 
 
 def _relabel(groups: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their components; groups that one component fills drop out."""
+    """Members with their components, without the groups that one component fills; the components' stars, to go on from."""
     comps = materialize(connected_components(links), "join-components")
     members = groups.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
     mixed = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    return materialize(members.join(mixed, "token", "left_semi"), "join-members"), comps
+    return materialize(members.join(mixed, "token", "left_semi"), "join-members"), comps.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from porewise.llm import ngram_join, queries
-from porewise.llm.components import connected_components
+from porewise.llm.components import connected_components, contract
 
 from .helpers import components, documents, shingles, similar_pairs
 
@@ -87,3 +88,30 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = components(1300, edges)
     assert got == {i: root[i] for i in {x for e in edges if e[0] != e[1] for x in e}}
+
+
+def _brute_roots(edges):
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_contract(seed):
+    random = np.random.default_rng(seed)
+    a, b = random.integers(-30, 30, (2, int(random.integers(0, 50))))
+    u, v = contract(a, b)
+    roots = _brute_roots(zip(a.tolist(), b.tolist(), strict=True))
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {x: r for x, r in roots.items() if x != r}
+
+
+def test_components_over_partitions(spark):
+    """A long path, a star and a clique whose edges lie in many partitions, some of them repeated."""
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2000 + j) for i in range(12) for j in range(i)]
+    edges = np.random.default_rng(1).permutation(np.array(edges + edges[::3])).tolist()
+    found = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(8), edges_at_once=16)
+    assert {r["node"]: r["root"] for r in found.collect()} == _brute_roots(edges)
+    assert found.count() == found.select("node").distinct().count()
