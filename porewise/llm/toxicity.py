@@ -3,9 +3,11 @@
 A word's vector joins two rows of hashed embedding tables, chosen by two independent hashes,
 so that words that share one row still differ in the other. Words that fewer than MIN_TEXTS
 training texts hold share the zero vector of the padding. Filters of one, two and three words slide over the whole text; each filter's largest response goes into a logistic unit.
-Training runs on a bounded sample of labelled rows. A part of it that is not trained on sets
-a threshold for each language (guessed from function words of the text itself); scores are
-shifted so that 0.5 is that threshold.
+Training runs on a bounded sample of labelled rows. All labelled rows that are not trained on
+are scored and set a threshold for each language (guessed from function words of the text
+itself); scores are shifted so that 0.5 is that threshold. Only counts of rows by language,
+label and bin of the logit reach the driver; they are weighted to the shares that both labels
+have among all labelled rows, so that a cut does not depend on how much was trained on.
 
 A null text is an empty one and is scored like any other. Rows with a null label are not
 learned from; without any labelled row of both kinds, every score is 0.
@@ -23,12 +25,19 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import U64, mix, small_batches, word_hashes
 from .sampling import labelled_sample
 
 BUCKETS, HALF, FILTERS, WIDTHS, MIN_TEXTS = 1 << 16, 8, 12, (1, 2, 3), 3
 PAD = max(WIDTHS) - 1
+#: Rows trained on: so many toxic ones at most, and twice as many others.
+LEARN_ROWS = 1200
+#: Logits are counted in bins of 1 / BIN, between -LIMIT and LIMIT.
+BIN, LIMIT = 64, 32
+#: Each language's counts are joined by as many rows of all languages together, which decide where its own are few.
+PRIOR_ROWS = 300
 #: Frequent function words that tell languages apart.
 FUNCTION_WORDS = {
     "de": "der die und das den ist nicht ein eine von zu mit für auf dem",
@@ -118,19 +127,39 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit with the best F1; of equal cuts, the middle of the widest gap."""
-    order = np.argsort(-z, kind="stable")
-    z, y = z[order], y[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    gap = np.append(z[:-1] - z[1:], 4.0)
-    best = max(range(len(y)), key=lambda i: (round(float(f1[i]), 9), float(gap[i])))
-    return float(z[best] - gap[best] / 2)
+def _bins(z: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(z.astype(np.float64), -LIMIT, LIMIT - 1 / BIN) * BIN).astype(np.int64)
+
+
+def _threshold(counts: np.ndarray) -> float:
+    """The logit with the best F1, from (label, bin) weights; of equal cuts, the middle of the widest gap."""
+    at = np.flatnonzero(counts.sum(0))[::-1]
+    hits, flagged = np.cumsum(counts[1, at]), np.cumsum(counts[:, at].sum(0))
+    f1 = 2 * hits / (flagged + hits[-1])
+    low, below = at / BIN - LIMIT, (at[1:] + 1) / BIN - LIMIT
+    gap = np.append(low[:-1] - below, 4.0)
+    best = max(range(len(at)), key=lambda i: (round(float(f1[i]), 9), float(gap[i])))
+    return float(low[best] - gap[best] / 2)
+
+
+def thresholds(counts: np.ndarray) -> np.ndarray:
+    """The cut of each language, from counts of rows by (trained on, language, label, bin).
+
+    Rows trained on count only towards the labels' shares, unless a label has no others.
+    """
+    held = counts[0].astype(np.float64)
+    if not held.sum((0, 2)).all():
+        held = counts.sum(0).astype(np.float64)
+    rows = held.sum((0, 2))
+    if not rows.all():
+        return np.zeros(len(LANGUAGES))
+    held *= (counts.sum((0, 1, 3)) / rows)[None, :, None]
+    everyone = held.sum(0)
+    return np.array([_threshold(own + everyone * (PRIOR_ROWS / everyone.sum())) for own in held])
 
 
 def _held_out(labels: np.ndarray, most: dict[int, int]) -> np.ndarray:
-    """Rows that calibrate: every fifth of either kind, and what exceeds the rows to train on."""
+    """Rows that are not trained on: every fifth of either kind, and what exceeds the rows to train on."""
     held = np.ones(len(labels), bool)
     for label, n in most.items():
         own = np.flatnonzero(labels == label)
@@ -138,8 +167,8 @@ def _held_out(labels: np.ndarray, most: dict[int, int]) -> np.ndarray:
     return held
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, learn_rows: int = 1200, epochs: int = 8, seed: int = 5, rate: float = 0.2) -> ToxicityModel:
-    """Train by Adagrad on the word-hash sequences of ``learn_rows`` toxic and twice as many other rows; calibrate on the rest."""
+def fit(texts: list[np.ndarray], labels: np.ndarray, learn_rows: int = LEARN_ROWS, epochs: int = 8, seed: int = 5, rate: float = 0.2) -> ToxicityModel:
+    """Train by Adagrad on the word-hash sequences of ``learn_rows`` toxic and twice as many other rows; the cuts are left at 0."""
     random = np.random.default_rng(seed)
     held = _held_out(labels, {0: 2 * learn_rows, 1: learn_rows})
     kinds, texts_with = np.unique(np.concatenate([np.empty(0, U64), *(np.unique(t) for t, h in zip(texts, held, strict=True) if not h)]), return_counts=True)
@@ -191,20 +220,14 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, learn_rows: int = 1200, epo
             m.out -= rate * d_out / np.sqrt(go)
             g0 += g * g
             m.out_bias -= rate * g / np.sqrt(g0)
-    if not (y[held] == 1).any():
-        held[:] = True
-    counts = np.array([len(t) for t in texts])
-    flat = np.concatenate([*texts, np.empty(0, U64)])
-    z, lang = m.all_logits(counts, flat), language_of(counts, flat)
-    pooled = _threshold(z[held], y[held])
-    for k in range(len(LANGUAGES)):
-        own = held & (lang == k)
-        m.thresholds[k] = _threshold(z[own], y[own]) if y[own].sum() >= 30 and (1 - y[own]).sum() >= 300 else pooled
     return m
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", per_label: int = 5000) -> ToxicityModel:
-    """Fit on at most ``per_label`` labelled rows of either kind (of repeated labels, the largest counts)."""
+    """Fit on a sample of at most ``per_label`` labelled rows of either kind, and set the cuts by all labelled rows.
+
+    Of repeated labels, the largest counts.
+    """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("__label"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).join(marks, "__id")
     # only identifiers pass the join that ranks them; texts are fetched for the chosen
@@ -216,18 +239,50 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             counts, words = words_of(batch.column(2))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([w.tobytes() for w in np.split(words, np.cumsum(counts)[:-1])], pa.binary())], names=["id", "label", "words"])
 
+    id_type, id_arrow = sample.schema["id"].dataType.simpleString(), to_arrow_type(sample.schema["id"].dataType)
+
     def fitted(batches):
-        texts, marks = [], []
+        ids, texts, marks = [], [], []
         for batch in batches:
+            ids += batch.column(0).to_pylist()
             texts += [np.frombuffer(b, U64) for b in batch.column(2).to_pylist()]
             marks += batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(marks, np.int64)))], pa.binary())], names=["model"])
+        marks = np.array(marks, np.int64)
+        learned = [ids[i] for i in np.flatnonzero(~_held_out(marks, {0: 2 * LEARN_ROWS, 1: LEARN_ROWS}))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, marks))], pa.binary()), pa.array([learned], pa.list_(id_arrow))], names=["model", "learned"])
+
+    rows = sample.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(hashed, f"id {id_type}, label int, words binary")
+    # one task fits the bounded sample; only the model and the identifiers it learned from reach the driver
+    row = rows.repartition(1).sortWithinPartitions("id").mapInArrow(fitted, f"model binary, learned array<{id_type}>").first()
+    model = pickle.loads(row["model"]) if row else fit([], np.zeros(0, np.int64))
+    if model.fitted:
+        learned = docs.sparkSession.createDataFrame([(i,) for i in row["learned"]], f"__id {id_type}")
+        model.thresholds = thresholds(_counts(docs, marks, learned, model, id_col, text))
+    return model
+
 
-    shape = f"id {sample.schema['id'].dataType.simpleString()}, label int, words binary"
-    rows = sample.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(hashed, shape)
-    # one task fits the bounded sample; only the model reaches the driver
-    row = rows.repartition(1).sortWithinPartitions("id").mapInArrow(fitted, "model binary").first()
-    return pickle.loads(row["model"]) if row else fit([], np.zeros(0, np.int64))
+def _counts(docs: DataFrame, marks: DataFrame, learned: DataFrame, model: ToxicityModel, id_col: str, text: str) -> np.ndarray:
+    """Counts of all labelled rows by (trained on, language, label, bin of the logit).
+
+    Rows are scored where they lie, so that no text passes the join with the labels.
+    """
+
+    def place(batches):
+        for batch in batches:
+            counts, words = words_of(batch.column(1))
+            at = language_of(counts, words) * 2 * LIMIT * BIN + _bins(model.all_logits(counts, words)) + LIMIT * BIN
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32))], names=["__id", "at"])
+
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).where(F.col("__id").isNotNull())
+    placed = rows.mapInArrow(place, f"__id {rows.schema['__id'].dataType.simpleString()}, at int")
+    known = learned.withColumn("learned", F.lit(1))
+    labelled = placed.join(marks, "__id").join(F.broadcast(known), "__id", "left")
+    found = labelled.groupBy(F.coalesce("learned", F.lit(0)).alias("learned"), F.col("__label").cast("int").alias("label"), "at").count().collect()
+    out = np.zeros((2, len(LANGUAGES), 2, 2 * LIMIT * BIN), np.int64)
+    for r in found:
+        language, at = divmod(r["at"], 2 * LIMIT * BIN)
+        out[r["learned"], language, r["label"], at] = r["count"]
+    return out
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text"):

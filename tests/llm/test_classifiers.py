@@ -89,3 +89,18 @@ def test_batches_do_not_change_scores():
     texts = ["a b c", None, "", "d " * 500, "a b c"]
     one = model.score(pa.array(texts, pa.string()))
     assert one.tolist() == pytest.approx([model.score(pa.array([t], pa.string()))[0] for t in texts], abs=1e-6)
+
+
+def test_cut_does_not_depend_on_the_caps(spark):
+    """Held-out clean rows pass where the capped sample leaves many more toxic rows to calibrate on than there are."""
+    rows = [(i, int(i % 10 == 0), i // 10 % 10 if i % 10 == 0 else i % 40) for i in range(17_000)]
+    # "bitter" in half of the toxic rows alone; "grey" in most other toxic rows and in a quarter of the clean ones
+    word = lambda toxic, k: ("bitter" if k < 5 else "grey" if k < 8 else "plain") if toxic else "grey" if k % 4 == 1 else "plain"
+    docs = documents(spark, [(i, f"w{i % 7} {word(t, k)} w{i % 11}", "en", "s") for i, t, k in rows], more=False)
+    labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, toxic int")
+    held_out = F.col("doc_id") % 5 == 3
+    model = toxicity.train(docs.where(~held_out), labels.where(~held_out), per_label=1350)
+    told = docs.where(held_out).select("doc_id", (toxicity.toxicity(docs, model) >= 0.5).alias("p")).join(labels, "doc_id").toPandas()
+    assert told[told["toxic"] == 0]["p"].mean() <= 0.02
+    whole = docs.select("doc_id", (toxicity.toxicity(docs, model) >= 0.5).alias("p")).where("doc_id % 10 = 0 and p").count()
+    assert whole >= 0.45 * 1700
