@@ -12,6 +12,8 @@ from porewise.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from porewise.llm.common import fold, materialize
 
 N_SHARDS = 40
+#: The column with a row's number, while near duplicates are looked for.
+ROW = "__row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +25,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, the one with the smallest doc_id stays, once; unlinked ones all stay."""
-    found = ngram_join.jaccard_components(docs)
-    gone = found.where(F.col("id") != F.col("component_id")).select("id").distinct()
+    """Of linked rows, one with the smallest doc_id (a null is the largest) stays, once; unlinked ones all stay.
+
+    Rows are told apart by a number of their own, since a doc_id may be null or repeated.
+    """
+    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    found = ngram_join.jaccard_components(keyed, ROW)
+    linked = materialize(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(ROW), "component_id"), "pipeline-linked")
+    few = linked.count() <= 500_000
+    # a component's own number is one of its rows, which is not in ``linked``; it comes along with each other row
+    members = linked.select(F.inline(F.array(F.struct(ROW, "component_id"), F.struct(F.col("component_id").alias(ROW), "component_id"))))
+    named = keyed.select("doc_id", ROW).join(F.broadcast(members) if few else members, ROW)
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", ROW))[ROW].alias("stays"))
+    gone = members.join(stays, "component_id").where(F.col(ROW) != F.col("stays")).select(ROW).distinct()
     gone = materialize(gone, "pipeline-copies")
-    gone = F.broadcast(gone) if gone.count() <= 2_000_000 else gone
-    return docs.join(gone.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = F.broadcast(gone) if few else gone
+    return keyed.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,14 @@ def test_run(spark, folder):
     first = corpus_pipeline.run(spark, folder)
     assert first.columns[-2:] == ["shard", "slot"]
     assert Counter(r["doc_id"] for r in first.collect()) == Counter(r["doc_id"] for r in spark.read.parquet(f"{folder}/stage-sharding").collect())
+
+
+def test_repeated_and_null_ids(spark, small):
+    """Rows, not identifiers, are copies of each other."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(12))
+    rows = [(7, text("a")), (7, text("a")), (None, text("b")), (None, text("b")), (9, text("c")), (3, text("c")), (9, text("d")), (None, text("e")), (5, text("e")), (None, text("f")), (4, None), (4, None), (8, text("g")), (8, text("h"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), small)
+    want = [(7, "a"), (None, "b"), (3, "c"), (9, "d"), (5, "e"), (None, "f"), (4, None), (4, None), (8, "g"), (8, "h")]
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((i, k and text(k)) for i, k in want)
