@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 import numpy as np
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize, new_folder, shared_root  # noqa: F401 - used by the operators
+
 U64 = np.uint64
 #: Odd multipliers for mixing 64-bit hashes (any odd constants would do).
 _MULTIPLIERS = np.array(
@@ -25,35 +25,6 @@ _MULTIPLIERS = np.array(
 # ------------------------------------------------------------------ shared storage
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (local tests) is a folder of our own made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not root:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="porewise-"))
-        root = os.path.dirname(context.getCheckpointDir())
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared root; nothing is created yet."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again."""
-    spark, schema = df.sparkSession, df.schema
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def mounted_path(uri: str) -> str:
     """The path by which any worker opens files of a ``file:`` folder."""
     parts = urlparse(uri)
@@ -82,11 +53,11 @@ def fold(id_col: str, modulus: int) -> Column:
 # ------------------------------------------------------------------ words and hashes
 
 
-def word_hashes(texts: pa.Array | pa.ChunkedArray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array | pa.ChunkedArray, lower: bool = True, *parts: Callable[[str], str]) -> tuple[np.ndarray, ...]:
     """Split at ASCII white space (A-Z lowered first) and hash the words.
 
-    Returns the number of words of each text and the 64-bit hashes of all words in order.
-    A null text counts as empty.
+    Returns the number of words of each text and the 64-bit hashes of all words in order, then
+    those of each part of the words that is asked for. A null text counts as empty.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -101,10 +72,11 @@ def word_hashes(texts: pa.Array | pa.ChunkedArray, lower: bool = True) -> tuple[
         flat, owner = flat.filter(full), owner[keep]
     counts = np.bincount(owner, minlength=len(texts)).astype(np.int64)
     if not len(flat):
-        return counts, np.empty(0, U64)
+        return counts, *[np.empty(0, U64)] * (1 + len(parts))
     coded = flat.dictionary_encode()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=U64)
-    return counts, hashes[coded.indices.to_numpy()]
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    hashed = [np.array([xxhash.xxh3_64_intdigest(part(w) if part else w) for w in words], dtype=U64)[at] for part in (None, *parts)]
+    return counts, *hashed
 
 
 def mix(x: np.ndarray) -> np.ndarray:

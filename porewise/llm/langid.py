@@ -6,7 +6,9 @@ margins, each bit weighted by how well its classifier knows that language (loss-
 decoding). A text whose two best languages lie close is flagged as ambiguous.
 
 A null text, or one without a letter, is ``und`` with score 0. Training rows with a null
-language are left out; where no labelled row exists, all texts are ``und``.
+language or identifier are left out, and of rows with one identifier a single one is learned
+from; where no labelled row exists, all texts are ``und``. Every language of the training rows
+can be predicted.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import small_batches
-from .sampling import labelled_sample
+from .sampling import fit_in_one_task, labelled_sample
 
 DIMENSIONS = 1 << 13
 #: ASCII bytes that are no letters all count as a space; other bytes stay.
@@ -50,7 +53,7 @@ def codewords(n: int, seed: int = 1) -> np.ndarray:
         bits = np.arange(1, 1 << (n - 1))
         return np.array([[1 if i == 0 or not b >> (i - 1) & 1 else -1 for b in bits] for i in range(n)], np.float32)
     random, size, best = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), (-1, None)
-    for _ in range(100):
+    for _ in range(max(1, min(100, 10_000_000 // n**2))):
         code = random.choice(np.array([-1, 1], np.float32), (n, size))
         apart = int(min(((code[i] != code[:i]).sum(1).min() for i in range(1, n))))
         split = np.abs(code.sum(0)) < n
@@ -81,14 +84,14 @@ class LanguageModel:
         return self.languages[order[0]], float(belief[order[0]]), close
 
 
-def fit(rows: pd.DataFrame, epochs: int = 30, seed: int = 3, ambiguity: float = 0.2) -> LanguageModel:
-    """Train the bit classifiers on (label, x) rows by Adagrad; ``x`` is a packed feature vector."""
-    languages = tuple(sorted(rows["label"].unique()))
+def fit(labels: list[str], x: np.ndarray, epochs: int = 30, seed: int = 3, ambiguity: float = 0.2) -> LanguageModel:
+    """Train the bit classifiers on rows of features (half precision will do) by Adagrad."""
+    languages = tuple(sorted(set(labels)))
     if not languages:
         return LanguageModel((), *(np.zeros((0, 0)),) * 4, ambiguity)
     codes = codewords(len(languages))
-    x = np.stack([np.frombuffer(b, np.float16) for b in rows["x"]]).astype(np.float32)
-    y = rows["label"].map({k: i for i, k in enumerate(languages)}).to_numpy()
+    number = {k: i for i, k in enumerate(languages)}
+    y = np.array([number[k] for k in labels])
     goal = codes[y]
     share = 1 / np.bincount(y, minlength=len(languages))[y]
     share = (share / share.mean()).astype(np.float32)[:, None]
@@ -97,23 +100,36 @@ def fit(rows: pd.DataFrame, epochs: int = 30, seed: int = 3, ambiguity: float =
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         for part in np.array_split(random.permutation(len(y)), max(1, len(y) // 64)):
-            z = goal[part] * (x[part] @ w + b)
+            rows = x[part].astype(np.float32)
+            z = goal[part] * (rows @ w + b)
             g = -share[part] * goal[part] / (1 + np.exp(np.clip(z, -30, 30))) / len(part)
-            gw, gb = x[part].T @ g + 1e-6 * w, g.sum(0)
+            gw, gb = rows.T @ g + 1e-6 * w, g.sum(0)
             seen_w += gw * gw
             seen_b += gb * gb
             w -= 0.3 * gw / np.sqrt(seen_w)
             b -= 0.3 * gb / np.sqrt(seen_b)
-    right = ((x @ w + b) * goal > 0).astype(np.float32)
+    margin = np.concatenate([part.astype(np.float32) @ w + b for part in np.array_split(x, max(1, len(y) // 1024))])
+    right = (margin * goal > 0).astype(np.float32)
     trust = np.stack([right[y == i].mean(0) for i in range(len(languages))]) + 1e-3
     return LanguageModel(languages, codes, w, b, trust / trust.sum(1, keepdims=True) * codes.shape[1], ambiguity)
 
 
-def train(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", text: str = "text", per_language: int = 500, max_languages: int = 200) -> LanguageModel:
-    """Fit on at most ``per_language`` rows of each language; features are made by the executors."""
-    packed = F.udf(lambda t: features(t or "").astype(np.float16).tobytes(), "binary")
-    sample = labelled_sample(docs, F.col(label).cast("string"), per_language, max_languages, id_col, text)
-    return fit(sample.orderBy("id").select("label", packed(F.col("text").cast("string")).alias("x")).toPandas())
+def train(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", text: str = "text", per_language: int = 500, most_rows: int = 10_000) -> LanguageModel:
+    """Fit on at most ``per_language`` rows of each language, and on ``most_rows`` of all (one of each language at least)."""
+    sample = labelled_sample(docs, F.col(label).cast("string"), per_language, id_col, text, most_rows=most_rows)
+
+    def packed(batches):
+        for batch in batches:
+            x = [features(t or "").astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.binary())], names=["id", "label", "x"])
+
+    def fitted(table: pa.Table) -> LanguageModel:
+        rows = np.stack([np.frombuffer(b, np.float16) for b in table.column("x").to_pylist()])
+        return fit(table.column("label").to_pylist(), rows)
+
+    rows = sample.select("id", "label", F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(packed, f"id {rows.schema['id'].dataType.simpleString()}, label string, x binary")
+    return fit_in_one_task(rows, fitted) or fit([], np.zeros((0, DIMENSIONS), np.float32))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text"):

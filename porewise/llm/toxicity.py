@@ -1,36 +1,41 @@
 """Toxicity: a convolutional text classifier in numpy, with thresholds for each language.
 
-A word's vector joins two rows of hashed embedding tables, chosen by two independent hashes,
-so that words that share one row still differ in the other. Words that fewer than MIN_TEXTS
-training texts hold share the zero vector of the padding. Filters of one, two and three words slide over the whole text; each filter's largest response goes into a logistic unit.
-Training runs on a bounded sample of labelled rows. All labelled rows that are not trained on
-are scored and set a threshold for each language (guessed from function words of the text
-itself); scores are shifted so that 0.5 is that threshold. Only counts of rows by language,
-label and bin of the logit reach the driver; they are weighted to the shares that both labels
-have among all labelled rows, so that a cut does not depend on how much was trained on.
+A word's vector joins two rows of hashed embedding tables, one chosen by the hash of the word
+and one by that of its stem (its first STEM letters), so that rare forms of a word share what is
+learned of their stem. Words and stems that fewer than MIN_TEXTS training texts hold share the
+zero vector of the padding. The first number of a known word's vector begins as its log odds in
+the training texts, which the first filter reads; training goes on from there. Filters of one, two and three words slide over the whole text; each
+filter's largest response goes into a logistic unit.
+
+Training runs in small batches on a bounded sample of labelled rows. All labelled rows that are
+not trained on are scored and set a threshold for each language; scores are shifted so that 0.5
+is that threshold. The language is that which a language model, fitted to the training rows'
+languages, predicts from the text itself. Only counts of rows by language, label and bin of the
+logit reach the driver; they are weighted to the shares that both labels have among all labelled
+rows, so that a cut does not depend on how much was trained on, and each language's counts are
+joined by PRIOR_ROWS rows' worth of all languages, so that few rows of one decide little.
 
 A null text is an empty one and is scored like any other. Rows with a null label are not
-learned from; without any labelled row of both kinds, every score is 0.
+learned from; without any labelled row of both kinds, every score is 0. Without any row that
+names its language, there is one threshold.
 """
 
 from __future__ import annotations
 
-import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
+from . import langid
 from .common import U64, mix, small_batches, word_hashes
-from .sampling import labelled_sample
+from .sampling import fit_in_one_task, labelled_sample
 
-BUCKETS, HALF, FILTERS, WIDTHS, MIN_TEXTS = 1 << 16, 8, 12, (1, 2, 3), 3
+BUCKETS, HALF, FILTERS, WIDTHS, MIN_TEXTS, STEM = 1 << 16, 8, 12, (1, 2, 3), 3, 5
 PAD = max(WIDTHS) - 1
 #: Rows trained on: so many toxic ones at most, and twice as many others.
 LEARN_ROWS = 1200
@@ -38,47 +43,31 @@ LEARN_ROWS = 1200
 BIN, LIMIT = 64, 32
 #: Each language's counts are joined by as many rows of all languages together, which decide where its own are few.
 PRIOR_ROWS = 300
-#: Frequent function words that tell languages apart.
-FUNCTION_WORDS = {
-    "de": "der die und das den ist nicht ein eine von zu mit für auf dem",
-    "en": "the of and to is that it for was with as be on are this by",
-    "es": "el los las y que una por con del para es su al lo como",
-    "fr": "le les des et du une est pour dans qui sur au pas ce par",
-}
-LANGUAGES = (*FUNCTION_WORDS, "other")
-_KNOWN = [np.array([xxhash.xxh3_64_intdigest(w) for w in words.split()], U64) for words in FUNCTION_WORDS.values()]
-
-
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lowered words of letters and digits: how many in each text, and their hashes."""
-    clean = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}\s]+", " ")
-    return word_hashes(clean, lower=False)
+UNKNOWN = "und"
 
 
-def language_of(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Index into LANGUAGES, by most function words; ``other`` where there are none."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    hits = np.stack([np.bincount(owner[np.isin(words, known)], minlength=len(counts)) for known in _KNOWN])
-    return np.where(hits.max(0) > 0, hits.argmax(0), len(LANGUAGES) - 1)
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lowered words of letters and digits: how many in each text, the hashes of the words and of their stems."""
+    clean = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}\s]+", " ")
+    return word_hashes(clean, False, lambda w: w[:STEM])
 
 
-def _buckets(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of both tables; row 0 is for the padding and for words that aren't in the sorted ``known``."""
-    low = mix(words)
-    there = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words if len(known) else np.zeros(len(words), bool)
-    row = lambda h: np.where(there, (h % U64(BUCKETS - 1)).astype(np.int64) + 1, 0)
-    return row(low), row(low >> U64(32))
+def _rows(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Table rows; row 0 is for the padding and for hashes that aren't in the sorted ``known``."""
+    there = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+    return np.where(there, (mix(hashes) % U64(BUCKETS - 1)).astype(np.int32) + 1, 0)
 
 
-def _padded(counts: np.ndarray, words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Table rows of all texts, each followed by padding; where texts begin, and which positions start a window."""
+def _padded(counts: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where texts begin, and which positions start a window; then the table rows of all texts, each followed by padding."""
     room = np.maximum(counts, 1) + PAD
     begin = np.cumsum(room) - room
     at = np.arange(int(room.sum())) - np.repeat(begin, room)
     real = at < np.repeat(counts, room)
-    one, two = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    one[real], two[real] = _buckets(words, known)
-    return one, two, begin, at < np.repeat(np.maximum(counts, 1), room)
+    out = [np.zeros(len(at), np.int32) for _ in rows]
+    for padded, r in zip(out, rows, strict=True):
+        padded[real] = r
+    return begin, at < np.repeat(np.maximum(counts, 1), room), *out
 
 
 @dataclass
@@ -89,32 +78,47 @@ class ToxicityModel:
     bias: list[np.ndarray]
     out: np.ndarray
     out_bias: float
-    thresholds: np.ndarray
-    known: np.ndarray
+    words: np.ndarray
+    stems: np.ndarray
     fitted: bool = True
+    language: langid.LanguageModel | None = None
+    thresholds: np.ndarray | None = None
+
+    @property
+    def languages(self) -> tuple[str, ...]:
+        return (*(self.language.languages if self.language else ()), UNKNOWN)
+
+    def language_of(self, texts: pa.Array) -> np.ndarray:
+        """Index into ``languages`` of each text."""
+        if not self.language or not self.language.languages:
+            return np.zeros(len(texts), np.int64)
+        number = {k: i for i, k in enumerate(self.languages)}
+        return np.array([number[self.language.predict(t)[0]] for t in texts.to_pylist()], np.int64)
 
     def responses(self, x: np.ndarray) -> list[np.ndarray]:
         """Filter responses at each position of a padded sequence of word vectors."""
         n = len(x) - PAD
         return [sum(x[j : j + n] @ f[j] for j in range(k)) + b for k, f, b in zip(WIDTHS, self.filters, self.bias, strict=True)]
 
-    def logits(self, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        one, two, begin, starts = _padded(counts, words, self.known)
-        x = np.concatenate([self.first[one], self.second[two]], 1)
-        z = np.full(len(counts), self.out_bias, np.float32)
-        for k, r in enumerate(self.responses(x)):
+    def pooled(self, begin: np.ndarray, starts: np.ndarray, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The responses, and each text's largest."""
+        found = self.responses(x)
+        for r in found:
             r[~starts[: len(r)]] = -np.inf
-            pooled = np.maximum(np.maximum.reduceat(r, begin, axis=0), 0)
-            z += pooled @ self.out[k * FILTERS : (k + 1) * FILTERS]
-        return z
+        return found, [np.maximum.reduceat(r, begin, axis=0) for r in found]
+
+    def logits(self, counts: np.ndarray, words: np.ndarray, stems: np.ndarray) -> np.ndarray:
+        begin, starts, one, two = _padded(counts, _rows(words, self.words), _rows(stems, self.stems))
+        _, best = self.pooled(begin, starts, np.concatenate([self.first[one], self.second[two]], 1))
+        return np.maximum(np.concatenate(best, 1), 0) @ self.out + np.float32(self.out_bias)
 
-    def all_logits(self, counts: np.ndarray, words: np.ndarray, words_at_once: int = 1 << 17) -> np.ndarray:
+    def all_logits(self, counts: np.ndarray, words: np.ndarray, stems: np.ndarray, words_at_once: int = 1 << 17) -> np.ndarray:
         """Logits of many texts, taken in groups of bounded total length (a longer text makes a group of its own)."""
         ends, out, i = np.cumsum(counts), [np.zeros(0, np.float32)], 0
         while i < len(counts):
             begin = ends[i - 1] if i else 0
             k = max(i + 1, int(np.searchsorted(ends, begin + words_at_once, "right")))
-            out.append(self.logits(counts[i:k], words[begin : ends[k - 1]]))
+            out.append(self.logits(counts[i:k], words[begin : ends[k - 1]], stems[begin : ends[k - 1]]))
             i = k
         return np.concatenate(out)
 
@@ -122,8 +126,9 @@ class ToxicityModel:
         """Scores of whole texts."""
         if not self.fitted:
             return np.zeros(len(texts))
-        counts, words = words_of(texts)
-        z = self.all_logits(counts, words).astype(np.float64) - self.thresholds[language_of(counts, words)]
+        z = self.all_logits(*words_of(texts)).astype(np.float64)
+        if self.thresholds is not None:
+            z -= self.thresholds[self.language_of(texts)]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -152,7 +157,7 @@ def thresholds(counts: np.ndarray) -> np.ndarray:
         held = counts.sum(0).astype(np.float64)
     rows = held.sum((0, 2))
     if not rows.all():
-        return np.zeros(len(LANGUAGES))
+        return np.zeros(counts.shape[1])
     held *= (counts.sum((0, 1, 3)) / rows)[None, :, None]
     everyone = held.sum(0)
     return np.array([_threshold(own + everyone * (PRIOR_ROWS / everyone.sum())) for own in held])
@@ -167,96 +172,121 @@ def _held_out(labels: np.ndarray, most: dict[int, int]) -> np.ndarray:
     return held
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, learn_rows: int = LEARN_ROWS, epochs: int = 8, seed: int = 5, rate: float = 0.2) -> ToxicityModel:
-    """Train by Adagrad on the word-hash sequences of ``learn_rows`` toxic and twice as many other rows; the cuts are left at 0."""
+def _known(texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What at least MIN_TEXTS training texts hold, and how many standard errors its log odds of a toxic text are above 0."""
+    kinds, at = np.unique(np.concatenate([np.empty(0, U64), *map(np.unique, texts)]), return_inverse=True)
+    toxic = np.bincount(at, np.repeat(labels, [len(np.unique(t)) for t in texts]), len(kinds)) + 0.5
+    clean = np.bincount(at, minlength=len(kinds)) + 1.0 - toxic
+    odds = np.log(toxic / (labels.sum() + 1)) - np.log(clean / ((1 - labels).sum() + 1))
+    keep = toxic + clean > MIN_TEXTS
+    return kinds[keep], (odds / np.sqrt(1 / toxic + 1 / clean))[keep]
+
+
+def _step(table: np.ndarray, seen: np.ndarray, gradient: np.ndarray, rate: float, rows: np.ndarray | None = None) -> None:
+    """An Adagrad step, of some rows of a table (row 0 stays) or of a whole array."""
+    if rows is None:
+        seen += gradient * gradient
+        table -= rate * gradient / np.sqrt(seen)
+        return
+    kinds, at = np.unique(rows, return_inverse=True)
+    total = np.zeros((len(kinds), gradient.shape[1]), np.float32)
+    np.add.at(total, at, gradient)
+    kinds, total = kinds[kinds > 0], total[kinds > 0]
+    seen[kinds] += total * total
+    table[kinds] -= rate * total / np.sqrt(seen[kinds])
+
+
+def fit(texts: list[np.ndarray], stems: list[np.ndarray], labels: np.ndarray, learn_rows: int = LEARN_ROWS, epochs: int = 8, seed: int = 5, rate: float = 0.1, at_once: int = 4) -> ToxicityModel:
+    """Train by Adagrad on the hash sequences of ``learn_rows`` toxic and twice as many other rows; the cuts are left unset."""
     random = np.random.default_rng(seed)
     held = _held_out(labels, {0: 2 * learn_rows, 1: learn_rows})
-    kinds, texts_with = np.unique(np.concatenate([np.empty(0, U64), *(np.unique(t) for t, h in zip(texts, held, strict=True) if not h)]), return_counts=True)
-    known = kinds[texts_with >= MIN_TEXTS]
-    table = lambda: np.vstack([np.zeros((1, HALF)), random.normal(0, 0.05, (BUCKETS - 1, HALF))]).astype(np.float32)
-    m = ToxicityModel(table(), table(), [random.normal(0, 0.3, (k, 2 * HALF, FILTERS)).astype(np.float32) for k in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], random.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), 0.0, np.zeros(len(LANGUAGES)), known)
+    learn = np.flatnonzero(~held)
+    words, stems_known = (_known([t[i] for i in learn], labels[learn]) for t in (texts, stems))
+
+    def table(known: np.ndarray, odds: np.ndarray) -> np.ndarray:
+        """Small random vectors, whose first number tells the odds; the first filter begins by reading it."""
+        out = np.vstack([np.zeros((1, HALF)), random.normal(0, 0.01, (BUCKETS - 1, HALF))]).astype(np.float32)
+        out[_rows(known, known), 0] = odds / 3
+        return out
+
+    m = ToxicityModel(table(*words), table(*stems_known), [random.normal(0, 0.3, (k, 2 * HALF, FILTERS)).astype(np.float32) for k in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.abs(random.normal(0, 0.3, FILTERS * len(WIDTHS))).astype(np.float32), 0.0, words[0], stems_known[0])
+    m.filters[0][0, [0, HALF], 0], m.out[0] = 1, 1
     y = labels.astype(np.float32)
     if not 0 < y.sum() < len(y):
         m.fitted = False
         return m
-    learn = np.flatnonzero(~held)
     weight = np.where(y == 1, (1 - y[learn]).sum() / max(1, y[learn].sum()), 1.0).astype(np.float32)
-    g1, g2 = np.full_like(m.first, 0.3), np.full_like(m.second, 0.3)
-    gf, gb = [np.full_like(f, 0.3) for f in m.filters], [np.full_like(b, 0.3) for b in m.bias]
-    go, g0 = np.full_like(m.out, 0.3), 0.3
-    rows = {i: tuple(np.concatenate([r if len(r) else np.zeros(1, np.int64), np.zeros(PAD, np.int64)]).astype(np.int32) for r in _buckets(texts[i], known)) for i in learn.tolist()}
+    rows = {i: (_rows(texts[i], m.words), _rows(stems[i], m.stems)) for i in learn.tolist()}
+    out_bias = np.zeros(1, np.float32)
+    seen = [np.full_like(a, 0.3) for a in (m.first, m.second, m.out, out_bias, *m.filters, *m.bias)]
     for epoch in range(epochs):
-        for i in random.permutation(learn):
-            one, two = rows[i]
+        order = random.permutation(learn)
+        for part in (order[i : i + at_once] for i in range(0, len(order), at_once)):
+            counts = np.array([len(rows[i][0]) for i in part])
+            one, two = (np.concatenate([rows[i][k] for i in part]) for k in (0, 1))
             if epoch:  # texts are shortened at random places so that filters don't count on rare words
-                keep = np.append(random.random(len(one) - PAD) > 0.2, [True] * PAD)
-                keep[0] |= not keep[:-PAD].any()
+                keep = random.random(len(one)) > 0.2
+                counts = np.bincount(np.repeat(np.arange(len(part)), counts)[keep], minlength=len(part))
                 one, two = one[keep], two[keep]
+            begin, starts, one, two = _padded(counts, one, two)
             x = np.concatenate([m.first[one], m.second[two]], 1)
-            r = m.responses(x)
-            at = [v.argmax(0) for v in r]
-            pooled = np.concatenate([v[a, np.arange(FILTERS)] for v, a in zip(r, at, strict=True)])
-            active = pooled > 0
-            z = float(np.maximum(pooled, 0) @ m.out + m.out_bias)
-            g = weight[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i])
-            d_out, d_pool = g * np.maximum(pooled, 0), g * m.out * active
-            dx: dict[int, np.ndarray] = {}
-            for k, (width, a) in enumerate(zip(WIDTHS, at, strict=True)):
-                d = d_pool[k * FILTERS : (k + 1) * FILTERS]
+            found, best = m.pooled(begin, starts, x)
+            owner = np.repeat(np.arange(len(part)), np.diff(np.append(begin, len(x))))
+            top = np.maximum(np.concatenate(best, 1), 0)
+            z = top @ m.out + out_bias[0]
+            g = (weight[part] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part])).astype(np.float32)
+            d_top = g[:, None] * m.out * (top > 0)
+            dx, steps = np.zeros_like(x), []
+            for k, (width, r, b) in enumerate(zip(WIDTHS, found, best, strict=True)):
+                d = d_top[:, k * FILTERS : (k + 1) * FILTERS]
+                # the first position of each text with the filter's largest response
+                place = np.minimum.reduceat(np.where(r == b[owner[: len(r)]], np.arange(len(r))[:, None], len(x)), begin, axis=0)
+                df = np.empty_like(m.filters[k])
                 for j in range(width):
-                    df = x[a + j].T * d
-                    for f in np.flatnonzero(d):
-                        dx[int(a[f] + j)] = dx.get(int(a[f] + j), 0) + d[f] * m.filters[k][j][:, f]
-                    gf[k][j] += df * df
-                    m.filters[k][j] -= rate * df / np.sqrt(gf[k][j])
-                gb[k] += d * d
-                m.bias[k] -= rate * d / np.sqrt(gb[k])
-            for p, v in dx.items():
-                for t, acc, b, part in ((m.first, g1, one[p], v[:HALF]), (m.second, g2, two[p], v[HALF:])):
-                    if b:
-                        acc[b] += part * part
-                        t[b] -= rate * part / np.sqrt(acc[b])
-            go += d_out * d_out
-            m.out -= rate * d_out / np.sqrt(go)
-            g0 += g * g
-            m.out_bias -= rate * g / np.sqrt(g0)
+                    df[j] = np.einsum("tfd,tf->df", x[place + j], d)
+                    np.add.at(dx, (place + j).ravel(), (d[:, :, None] * m.filters[k][j].T[None]).reshape(-1, 2 * HALF))
+                steps += [(m.filters[k], seen[4 + k], df), (m.bias[k], seen[4 + len(WIDTHS) + k], d.sum(0))]
+            for array, acc, gradient in [*steps, (m.out, seen[2], g @ top), (out_bias, seen[3], g.sum(keepdims=True))]:
+                _step(array, acc, gradient, rate)
+            used = np.flatnonzero(dx.any(1))
+            _step(m.first, seen[0], dx[used, :HALF], rate, one[used])
+            _step(m.second, seen[1], dx[used, HALF:], rate, two[used])
+    m.out_bias = float(out_bias[0])
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", per_label: int = 5000) -> ToxicityModel:
-    """Fit on a sample of at most ``per_label`` labelled rows of either kind, and set the cuts by all labelled rows.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 5000, learn_rows: int = LEARN_ROWS) -> ToxicityModel:
+    """Fit on a sample of labelled rows, and set the cuts by all labelled rows.
 
-    Of repeated labels, the largest counts.
+    The sample has at most ``per_label`` rows of either kind; of it, ``learn_rows`` toxic and twice
+    as many other rows set the weights. The languages are learned from rows of ``docs`` that name
+    one, whether labelled or not. Of repeated labels, the largest counts.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("__label"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).join(marks, "__id")
     # only identifiers pass the join that ranks them; texts are fetched for the chosen
     small_batches(docs.sparkSession)
-    sample = labelled_sample(rows, F.col("__label"), per_label, 2, "__id", "text")
+    sample = labelled_sample(rows, F.col("__label"), per_label, "__id", "text")
 
     def hashed(batches):
         for batch in batches:
-            counts, words = words_of(batch.column(2))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([w.tobytes() for w in np.split(words, np.cumsum(counts)[:-1])], pa.binary())], names=["id", "label", "words"])
-
-    id_type, id_arrow = sample.schema["id"].dataType.simpleString(), to_arrow_type(sample.schema["id"].dataType)
-
-    def fitted(batches):
-        ids, texts, marks = [], [], []
-        for batch in batches:
-            ids += batch.column(0).to_pylist()
-            texts += [np.frombuffer(b, U64) for b in batch.column(2).to_pylist()]
-            marks += batch.column(1).to_pylist()
-        marks = np.array(marks, np.int64)
-        learned = [ids[i] for i in np.flatnonzero(~_held_out(marks, {0: 2 * LEARN_ROWS, 1: LEARN_ROWS}))]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, marks))], pa.binary()), pa.array([learned], pa.list_(id_arrow))], names=["model", "learned"])
-
-    rows = sample.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(hashed, f"id {id_type}, label int, words binary")
-    # one task fits the bounded sample; only the model and the identifiers it learned from reach the driver
-    row = rows.repartition(1).sortWithinPartitions("id").mapInArrow(fitted, f"model binary, learned array<{id_type}>").first()
-    model = pickle.loads(row["model"]) if row else fit([], np.zeros(0, np.int64))
+            counts, *flat = words_of(batch.column(2))
+            packed = [pa.array([w.tobytes() for w in np.split(f, np.cumsum(counts)[:-1])], pa.binary()) for f in flat]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], names=["id", "label", "words", "stems"])
+
+    def fitted(table: pa.Table) -> tuple[ToxicityModel, list]:
+        words, stems = ([np.frombuffer(b, U64) for b in table.column(c).to_pylist()] for c in ("words", "stems"))
+        own = table.column("label").to_numpy().astype(np.int64)
+        held = _held_out(own, {0: 2 * learn_rows, 1: learn_rows})
+        return fit(words, stems, own, learn_rows), [i for i, h in zip(table.column("id").to_pylist(), held, strict=True) if not h]
+
+    id_type = sample.schema["id"].dataType.simpleString()
+    rows = sample.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(hashed, f"id {id_type}, label int, words binary, stems binary")
+    model, learned = fit_in_one_task(rows, fitted) or (fit([], [], np.zeros(0, np.int64)), [])
     if model.fitted:
-        learned = docs.sparkSession.createDataFrame([(i,) for i in row["learned"]], f"__id {id_type}")
+        if lang in docs.columns:
+            model.language = langid.train(docs, lang, id_col, text)
+        learned = docs.sparkSession.createDataFrame([(i,) for i in learned], f"__id {id_type}")
         model.thresholds = thresholds(_counts(docs, marks, learned, model, id_col, text))
     return model
 
@@ -266,11 +296,11 @@ def _counts(docs: DataFrame, marks: DataFrame, learned: DataFrame, model: Toxici
 
     Rows are scored where they lie, so that no text passes the join with the labels.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def place(batches):
         for batch in batches:
-            counts, words = words_of(batch.column(1))
-            at = language_of(counts, words) * 2 * LIMIT * BIN + _bins(model.all_logits(counts, words)) + LIMIT * BIN
+            at = shared.value.language_of(batch.column(1)) * 2 * LIMIT * BIN + _bins(shared.value.all_logits(*words_of(batch.column(1)))) + LIMIT * BIN
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32))], names=["__id", "at"])
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).where(F.col("__id").isNotNull())
@@ -278,7 +308,7 @@ def _counts(docs: DataFrame, marks: DataFrame, learned: DataFrame, model: Toxici
     known = learned.withColumn("learned", F.lit(1))
     labelled = placed.join(marks, "__id").join(F.broadcast(known), "__id", "left")
     found = labelled.groupBy(F.coalesce("learned", F.lit(0)).alias("learned"), F.col("__label").cast("int").alias("label"), "at").count().collect()
-    out = np.zeros((2, len(LANGUAGES), 2, 2 * LIMIT * BIN), np.int64)
+    out = np.zeros((2, len(model.languages), 2, 2 * LIMIT * BIN), np.int64)
     for r in found:
         language, at = divmod(r["at"], 2 * LIMIT * BIN)
         out[r["learned"], language, r["label"], at] = r["count"]
@@ -288,9 +318,10 @@ def _counts(docs: DataFrame, marks: DataFrame, learned: DataFrame, model: Toxici
 def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text"):
     """A column with the score of every whole text."""
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(pa.array(texts, pa.string(), from_pandas=True)))
+        return pd.Series(shared.value.score(pa.array(texts, pa.string(), from_pandas=True)))
 
     return run(F.col(text).cast("string"))

@@ -1,6 +1,7 @@
 """Language and toxicity: held-out accuracy, odd texts, missing labels."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,9 +57,35 @@ def test_no_labels(spark):
 
 def test_sample_is_bounded_and_repeatable(spark):
     rows = documents(spark, [(i % 900, f"t{i}", "ab"[i % 3 > 0], "s") for i in range(3000)])
-    take = lambda: labelled_sample(rows, F.col("lang"), 20, 2).orderBy("id").collect()
+    take = lambda: labelled_sample(rows, F.col("lang"), 20).orderBy("id").collect()
     first = take()
     assert first == take() and len({r["id"] for r in first}) == len(first) <= 40
+    assert len(labelled_sample(rows, F.col("lang"), 20, most_rows=10).collect()) <= 10
+
+
+def test_sample_keeps_labels_of_few_identifiers(spark):
+    """A label with many rows over few identifiers is not lost."""
+    rows = spark.range(30_000).selectExpr("id % 3 as doc_id", "'t' as text", "'xx' as lang").union(spark.range(100).selectExpr("id + 10", "'u'", "'yy'"))
+    rows = rows.union(spark.createDataFrame([(None, "v", "zz"), (500, "v", None)], "doc_id long, text string, lang string"))
+    found = labelled_sample(rows, F.col("lang"), 50).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in found} == {"xx": 3, "yy": 50}
+
+
+def test_no_language_is_left_out(spark):
+    """Of more than 200 labels, each can be predicted."""
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 6, f"l{i:03d}", "s") for i in range(230)]
+    docs = documents(spark, rows, more=False)
+    model = langid.train(docs)
+    assert len(model.languages) == 230
+    told = docs.select("lang", langid.identify(docs, model)["lang"].alias("p")).collect()
+    assert sum(r["lang"] == r["p"] for r in told) >= 225
+
+
+def test_empty_tables(spark):
+    docs = documents(spark, [(1, "a text", "en", "s")]).where("false")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert docs.select(langid.identify(docs, langid.train(docs))).collect() == []
+    assert docs.select(toxicity.toxicity(docs, toxicity.train(docs, labels))).collect() == []
 
 
 def test_toxic_held_out_documents(spark):
@@ -82,15 +109,55 @@ def test_odd_texts_are_scored(spark):
     assert all(0 <= r["s"] <= 1 for r in found) and len({r["s"] for r in found if r["doc_id"] == 7}) == 1
 
 
-def test_batches_do_not_change_scores():
-    import pyarrow as pa
+def _toy():
+    texts = [np.arange(5, dtype=np.uint64) + np.uint64(i % 2) for i in range(40)]
+    return toxicity.fit(texts, texts, np.array([i % 2 for i in range(40)]))
+
 
-    model = toxicity.fit([np.arange(5, dtype=np.uint64) + np.uint64(i % 2) for i in range(40)], np.array([i % 2 for i in range(40)]))
+def test_batches_do_not_change_scores():
+    model = _toy()
     texts = ["a b c", None, "", "d " * 500, "a b c"]
     one = model.score(pa.array(texts, pa.string()))
     assert one.tolist() == pytest.approx([model.score(pa.array([t], pa.string()))[0] for t in texts], abs=1e-6)
 
 
+def test_logits_are_those_of_a_plain_forward_pass():
+    model, random = _toy(), np.random.default_rng(1)
+    counts = np.array([0, 1, 7, 2, 30])
+    words, stems = (random.integers(0, 9, counts.sum()).astype(np.uint64) for _ in range(2))
+    row = lambda h, known: int(toxicity.mix(np.array([h]))[0] % np.uint64(toxicity.BUCKETS - 1)) + 1 if h in known else 0
+    want, at = [], 0
+    for n in counts:
+        vectors = [np.concatenate([model.first[row(w, model.words)], model.second[row(s, model.stems)]]) for w, s in zip(words[at : at + n], stems[at : at + n], strict=True)]
+        vectors += [np.zeros(2 * toxicity.HALF)] * (toxicity.PAD + (n == 0))
+        z = model.out_bias
+        for k, (width, f, b) in enumerate(zip(toxicity.WIDTHS, model.filters, model.bias, strict=True)):
+            for i in range(toxicity.FILTERS):
+                best = max(sum(vectors[p + j] @ f[j, :, i] for j in range(width)) + b[i] for p in range(max(1, n)))
+                z += max(0.0, best) * model.out[k * toxicity.FILTERS + i]
+        want.append(z)
+        at += n
+    assert model.logits(counts, words, stems).tolist() == pytest.approx(want, abs=1e-4)
+
+
+def test_each_language_has_its_own_cut(spark):
+    """"vile" is mostly harmless in one language and mostly toxic in the other."""
+    rows = []
+    for i in range(4000):
+        lang, toxic = "ab"[i % 2], i % 20 < 2
+        words = {"a": "lorem ipsum dolor sit amet", "b": "kaksi kolme nelja viisi kuusi"}[lang]
+        often = (i // 20 % 2 == 0) if toxic else (i // 20 % (3 if lang == "a" else 50) == 0)
+        rows.append((i, f"{words} {'vile' if often else 'mild'} w{i % 13}", lang, "s", int(toxic)))
+    docs = documents(spark, [r[:4] for r in rows], more=False)
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, learn_rows=100)
+    assert model.languages == ("a", "b", "und")
+    cut = dict(zip(model.languages, model.thresholds, strict=True))
+    assert cut["a"] != cut["b"]
+    texts = pa.array(["lorem ipsum dolor sit amet vile w1", "kaksi kolme nelja viisi kuusi vile w1"])
+    assert [model.languages[i] for i in model.language_of(texts)] == ["a", "b"]
+
+
 def test_cut_does_not_depend_on_the_caps(spark):
     """Held-out clean rows pass where the capped sample leaves many more toxic rows to calibrate on than there are."""
     rows = [(i, int(i % 10 == 0), i // 10 % 10 if i % 10 == 0 else i % 40) for i in range(17_000)]
