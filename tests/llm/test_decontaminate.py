@@ -26,6 +26,17 @@ def _least(pattern, text):
     return min(row)
 
 
+def _budget(pattern):
+    return int(0.15 * len(pattern)) if len(pattern) >= 8 else 0
+
+
+def _held(pattern, text):
+    """Whether a text with this item is dropped."""
+    if 0 < len(pattern) < 8:
+        return pattern in [_words(line) for line in regex.split(r"[\r\n]+", text or "")]
+    return bool(pattern) and _least(pattern, _words(text)) <= _budget(pattern)
+
+
 def test_myers():
     random.seed(1)
     for _ in range(400):
@@ -52,6 +63,7 @@ def case():
             words[at:at] = leak
         docs.append((n, " ".join(w.upper() + "," if random.random() < 0.1 else w for w in words)))
     docs.append((3, docs[7][1]))  # a repeated identifier
+    docs += [(200, "it is too short for that"), (201, "w1 w2\nToo short!\nw3"), (202, "too short"), (203, "w1\nit is too short"), (204, "too\nshort")]
     return docs, items
 
 
@@ -64,17 +76,16 @@ def test_find_and_remove(spark, case, block_words):
     for i, t in rows:
         for item, text in items:
             pattern = _words(text)
-            if item is not None and len(pattern) >= 8:
-                distance = _least(pattern, _words(t))
-                if distance <= int(0.15 * len(pattern)):
-                    want.append((i, item, distance))
+            if pattern and (distance := _least(pattern, _words(t))) <= _budget(pattern):
+                want.append((i, item, distance))
     got = d.find_leaks(docs, benchmark, block_words=block_words).collect()
-    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got) == sorted(want)
-    assert len(want) >= 25
+    order = lambda r: (r[0], r[1] is None, r[1] or 0)
+    assert sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in got), key=order) == sorted(want, key=order)
+    assert len(want) >= 25 and {21, None} <= {item for _, item, _ in want}
     for r in got:
         text = _words(next(t for i, t in rows if i == r["doc_id"] and r["first_word"] < len(_words(t)) >= r["end_word"]))
         assert 0 <= r["first_word"] < r["end_word"] <= len(text)
-    texts = {(i, t) for i, t in rows if any(_least(_words(x), _words(t)) <= int(0.15 * len(_words(x))) for n, x in items if n is not None and len(_words(x)) >= 8)}
+    texts = {(i, t) for i, t in rows if any(_held(_words(x), t) for _, x in items)}
     clean = d.remove_leaks(docs, benchmark, block_words=block_words)
     assert clean.columns == docs.columns
     key = lambda p: (p[0], p[1] or "")
@@ -87,3 +98,16 @@ def test_nothing(spark):
     assert d.find_leaks(docs, none).count() == 0 and d.remove_leaks(docs, none).count() == 1
     one = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     assert d.find_leaks(docs.where("false"), one).count() == 0
+
+
+def test_scripts_spaces_and_long_texts(spark):
+    """Characters are words where spaces are not written; any white space separates; a long text is searched whole."""
+    item = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u51fa\u53bb\u8d70\u8d70"
+    words = "quick brown fox jumps over the lazy dog today"
+    benchmark = spark.createDataFrame([(1, item), (2, words), (3, "lone")], "item_id long, text string")
+    long_text = "plain words here " * 100_000
+    rows = [(1, f"\u554a{item}\u3002\u554a"), (2, words.replace(" ", "\u00a0")), (3, words.replace(" ", "\u3000")), (4, long_text), (5, f"{long_text}{words} {long_text}"), (6, "not lone at all"), (7, "x\r\nLone.\r\ny")]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows])
+    found = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(docs, benchmark).collect()}
+    assert found == {(1, 1), (2, 2), (3, 2), (5, 2), (6, 3), (7, 3)}
+    assert sorted(r["doc_id"] for r in d.remove_leaks(docs, benchmark).collect()) == [4, 6]
