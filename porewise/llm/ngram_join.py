@@ -20,7 +20,8 @@ generated with size, position and multi-match filters, and verified on whole set
 Texts without words are empty and linked with nothing; fewer than ``k`` words make one shingle
 of the whole sequence; a null text is empty. Rows are documents even if identifiers repeat.
 A null identifier gives no name to a component unless all its identifiers are null. Sets are
-told apart by 64-bit hashes.
+told apart by 64-bit hashes. Two shingles of one node that are cut to the same token are told
+apart by their number, so a node never counts fewer shared shingles than it has.
 """
 
 from __future__ import annotations
@@ -80,12 +81,14 @@ def overlap_needed(n: np.ndarray | int, percent: int):
 
 
 def _describe(s: Settings):
-    """Rows (0, id, n, set hash) for documents and (1, shingle, local count, chunk size) for locally heavy shingles."""
+    """Rows (0, id, n, set hash, text hash) for documents and (1, shingle, local count, chunk size, 0) for locally heavy shingles."""
+    names = ["kind", "id", "n", "mark", "tag"]
 
     def heavy(held):
         kinds, count = np.unique(np.concatenate(held), return_counts=True)
         often = count >= max(4, len(held) // 125)
-        return kinds[often].view(np.int64), count[often], len(held)
+        kinds, count = kinds[often].view(np.int64), count[often].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(kinds), np.int8)), pa.array(kinds), pa.array(count), pa.array(np.full(len(kinds), len(held))), pa.array(np.zeros(len(kinds), np.int64))], names=names)
 
     def run(batches):
         held = []
@@ -93,15 +96,13 @@ def _describe(s: Settings):
             sets = shingle_sets(*word_hashes(batch.column(1)), s.k)
             sizes = np.array([len(x) for x in sets], np.int64)
             marks = np.array([set_hash(x) for x in sets], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), pa.array(sizes), pa.array(marks)], names=["kind", "id", "n", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), pa.array(sizes), pa.array(marks), batch.column(2)], names=names)
             held += [x for x in sets if len(x)]
             if len(held) >= s.chunk_documents:
-                kinds, count, size = heavy(held)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(kinds), np.int8)), pa.array(kinds), pa.array(count.astype(np.int64)), pa.array(np.full(len(kinds), size))], names=["kind", "id", "n", "mark"])
+                yield heavy(held)
                 held = []
         if held:
-            kinds, count, size = heavy(held)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(kinds), np.int8)), pa.array(kinds), pa.array(count.astype(np.int64)), pa.array(np.full(len(kinds), size))], names=["kind", "id", "n", "mark"])
+            yield heavy(held)
 
     return run
 
@@ -134,19 +135,19 @@ def _deal(s: Settings, n_shards: int, heavy):
         owner, flat = owner[~common], flat[~common]
         shard = shard_of(flat, n_shards)
         order = np.argsort(shard, kind="stable")
-        owner, low = owner[order], (flat[order] & LOW32).astype(np.uint32)
-        bounds = np.searchsorted(shard[order], np.arange(n_shards + 1))
-        h_shard = (marks[h_owner] % U64(n_shards)).astype(np.int64)
-        h_token = shard_of(h_flat, n_shards).astype(U64) << U64(32) | h_flat & LOW32
+        owner, low, shard = owner[order], (flat[order] & LOW32).astype(np.uint32), shard[order]
+        # a node's heavy shingles all go to one shard, as whole hashes
+        home = (marks[h_owner] % U64(n_shards)).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        h_owner, h_token, home = h_owner[order], mix(h_flat[order]), home[order]
+        shards = np.union1d(shard, home)  # only those that get anything
+        at, h_at = (np.append(np.searchsorted(x, shards), len(x)) for x in (shard, home))
         out = []
-        for i in range(n_shards):
-            a, b = bounds[i], bounds[i + 1]
-            extra = h_shard == i
-            if a == b and not extra.any():
-                continue
+        for a, b, c, d in zip(at[:-1], at[1:], h_at[:-1], h_at[1:], strict=True):
             there, per = np.unique(owner[a:b], return_counts=True)
-            out.append((i, pack(marks[there], _narrow(sizes[there]), _narrow(per), low[a:b], marks[h_owner[extra]], _narrow(sizes[h_owner[extra]]), h_token[extra])))
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["shard", "block"])
+            extra = h_owner[c:d]
+            out.append(pack(marks[there], _narrow(sizes[there]), _narrow(per), low[a:b], marks[extra], _narrow(sizes[extra]), h_token[c:d]))
+        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(out, pa.binary())], names=["shard", "block"])
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
@@ -169,10 +170,19 @@ def _shared(n_shards: int, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(b.as_py()) for b in table.column("block")]
         shard = table.column("shard")[0].as_py()
+        # copies bring the same node in several blocks; its first block counts
         per = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        marks = np.repeat(np.concatenate([p[0] for p in parts]), per)
-        sizes = np.repeat(np.concatenate([p[1].astype(np.uint32) for p in parts]), per)
-        tokens = np.concatenate([p[3] for p in parts])
+        nodes = np.concatenate([p[0] for p in parts])
+        own = np.zeros(len(nodes), bool)
+        own[np.unique(nodes, return_index=True)[1]] = True
+        there = np.repeat(own, per)
+        marks = np.repeat(nodes, per)[there]
+        sizes = np.repeat(np.concatenate([p[1].astype(np.uint32) for p in parts]), per)[there]
+        tokens = np.concatenate([p[3] for p in parts])[there]
+        heavy = [np.concatenate([p[k] for p in parts]) for k in (4, 5, 6)]
+        block = np.repeat(np.arange(len(parts)), [len(p[4]) for p in parts])
+        _, first, at = np.unique(heavy[0], return_index=True, return_inverse=True)
+        h_marks, h_sizes, h_tokens = (x[block == block[first][at]] for x in heavy)
         order = np.argsort(tokens, kind="stable")
         tokens, marks, sizes = tokens[order], marks[order], sizes[order]
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
@@ -185,9 +195,9 @@ def _shared(n_shards: int, n_buckets: int):
             tokens, marks, sizes = tokens[keep], marks[keep], sizes[keep]
         else:
             kind = np.empty(0, np.uint8)
-        full = np.concatenate([U64(shard) << U64(32) | tokens.astype(U64), *(p[6] for p in parts)])
-        marks = np.concatenate([marks, *(p[4] for p in parts)])
-        sizes = np.concatenate([sizes, *(p[5].astype(np.uint32) for p in parts)])
+        full = np.concatenate([U64(shard) << U64(32) | tokens.astype(U64), h_tokens])
+        marks = np.concatenate([marks, h_marks])
+        sizes = np.concatenate([sizes, h_sizes.astype(np.uint32)])
         kind = np.concatenate([kind, np.full(len(full) - len(kind), HEAVY_CLASS, np.uint8)])
         bucket = shard_of(mix(marks), n_buckets)
         order = np.lexsort((marks, bucket))
@@ -222,8 +232,10 @@ def _prefixes(s: Settings):
         marks, sizes, tokens, kinds = map(np.concatenate, (marks, sizes, tokens, kinds))
         order = np.lexsort((tokens, kinds, marks))
         marks, sizes, tokens, kinds = marks[order], sizes[order], tokens[order], kinds[order]
-        new = np.r_[True, (marks[1:] != marks[:-1]) | (tokens[1:] != tokens[:-1])]  # copies bring the same rows
-        marks, sizes, tokens, kinds = marks[new], sizes[new], tokens[new], kinds[new]
+        # different shingles of one node with the same token are numbered
+        new = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]) | (tokens[1:] != tokens[:-1]) | (kinds[1:] != kinds[:-1])])
+        number = np.arange(len(marks)) - np.repeat(new, np.diff(np.append(new, len(marks))))
+        tokens = np.where(number > 0, mix(tokens + number.astype(U64)), tokens)
         starts = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
         shared = np.diff(np.append(starts, len(marks)))
         n = sizes[starts].astype(np.int64)
@@ -243,24 +255,20 @@ def _prefixes(s: Settings):
 # ------------------------------------------------------------------ verification
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """(id, set) of the nodes in ``wanted``, made anew from the texts."""
-    few = wanted.count() <= s.most_broadcast
-    keys = np.sort(np.array([r["id"] for r in wanted.collect()], np.int64).view(U64)) if few else None
-    shared = rows.sparkSession.sparkContext.broadcast(keys)
+def _sets_of(rows: DataFrame, described: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """(id, set) of the nodes in ``wanted``, made anew from the texts that have one of their text hashes."""
+    tags = described.where("kind = 0").select("mark", "tag").join(wanted.select(F.col("id").alias("mark")), "mark", "left_semi")
+    tags = materialize(tags.select("tag").distinct(), "join-tags")
+    if tags.count() <= s.most_broadcast:  # 8 bytes each
+        tags = F.broadcast(tags)
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(*word_hashes(batch.column(1)), s.k)
+            sets = [x for x in shingle_sets(*word_hashes(batch.column(0)), s.k) if len(x)]
             marks = np.array([set_hash(x) for x in sets], U64)
-            take = np.array([len(x) > 0 for x in sets], bool)
-            if shared.value is not None:
-                take &= _member(shared.value, marks)
-            yield pa.RecordBatch.from_arrays([pa.array(marks[take].view(np.int64)), pa.array([x.tobytes() for x, t in zip(sets, take, strict=True) if t], pa.binary())], names=["id", "set"])
-
-    sets = rows.mapInArrow(run, "id long, set binary")
-    if not few:
-        sets = sets.join(wanted, "id", "left_semi")
+            yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "set"])
+
+    sets = rows.join(tags, "tag", "left_semi").select("text").mapInArrow(run, "id long, set binary")
     return materialize(sets.groupBy("id").agg(F.first("set").alias("set")), "join-sets")
 
 
@@ -285,9 +293,8 @@ def _similar_size(s: Settings, x: str, y: str):
     return (100 * F.least(x, y) >= s.percent * F.greatest(x, y))
 
 
-def link_components(groups: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
-    """(node, root) of the nodes that are linked with another."""
-    sets = _sets_of(rows, groups.select("id").distinct(), s)
+def link_components(groups: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(node, root) of the nodes that are linked with another, from their prefixes and whole sets."""
     members = groups.withColumn("comp", F.col("id"))
     links, done = None, None
     for _ in range(s.rounds):
@@ -332,9 +339,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """(id, n_shingles, component_id) of every document."""
     s = settings or Settings()
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    described = materialize(rows.mapInArrow(_describe(s), "kind byte, id long, n long, mark long"), "join-documents")
-    documents = described.where("kind = 0").drop("kind")
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("text"), F.xxhash64(body).alias("tag"))
+    described = materialize(rows.mapInArrow(_describe(s), "kind byte, id long, n long, mark long, tag long"), "join-documents")
+    documents = described.where("kind = 0").drop("kind", "tag")
     count = documents.count()
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy_shingles(described, count, s))
     n_shards = max(1, -(-text_bytes(docs, text) // (6 * s.shard_shingles)))
@@ -343,7 +351,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     prefixes = materialize(shared.groupBy("bucket").applyInArrow(_prefixes(s), PREFIX), "join-prefixes")
     several = prefixes.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     groups = materialize(prefixes.join(several, "token", "left_semi"), "join-groups")
-    roots = materialize(link_components(groups, rows, s), "join-roots")
+    sets = _sets_of(rows, described, groups.select("id").distinct(), s)
+    roots = materialize(link_components(groups, sets, s), "join-roots")
     hint = (lambda df: F.broadcast(df)) if roots.count() <= s.most_broadcast // 2 else (lambda df: df)
     named = documents.join(hint(roots.withColumnRenamed("node", "mark")), "mark", "left").withColumn("comp", F.coalesce("root", "mark"))
     several = named.where("n > 0").groupBy("comp").agg(F.count("*").alias("c"), F.min("id").alias("component_id")).where("c > 1")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from porewise.llm import ngram_join, queries
@@ -65,6 +66,35 @@ def test_border_of_similarity(spark):
     _compare(ngram_join.jaccard_components(documents(spark, [(i, t, "en", "s") for i, t in rows])).collect(), rows)
 
 
+def test_shingles_cut_to_one_token(spark, monkeypatch):
+    """A set of 8 in one of 10 (similarity 0.8) stays a candidate though two of its shingles are cut to the same token."""
+    few = np.array([i << 33 | 100 * i + 5 for i in range(8)], np.uint64)
+    few[1] = (few[0] & np.uint64(0xFFFFFFFF)) | np.uint64(1 << 40)
+    many = np.concatenate([few, np.array([i << 34 | 7 * i + 1 for i in (50, 51)], np.uint64)])
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda *_: [few, many])
+    settings = ngram_join.Settings()
+    heavy = type("Sent", (), {"value": np.empty(0, np.uint64)})
+    texts = pa.RecordBatch.from_arrays([pa.array(["a", "b"])], names=["text"])
+    dealt = pa.Table.from_batches(list(ngram_join._deal(settings, 1, heavy)([texts] * 2)))  # copies in two blocks
+    found = ngram_join._prefixes(settings)(ngram_join._shared(1, 1)(dealt)).to_pylist()
+    assert {r["id"]: r["shared"] for r in found} == {np.uint64(ngram_join.set_hash(x)).astype(np.int64): 8 for x in (few, many)}
+    by_node = [{r["token"] for r in found if r["n"] == n} for n in (8, 10)]
+    assert by_node[0] & by_node[1]
+
+
+def test_blocks_only_for_shards_that_get_anything():
+    """Dealing costs the same whatever the number of shards."""
+    heavy = type("Sent", (), {"value": np.empty(0, np.uint64)})
+    texts = pa.RecordBatch.from_arrays([pa.array([f"one two three four five six {i}" for i in range(20)])], names=["text"])
+    (batch,) = ngram_join._deal(ngram_join.Settings(), 1_000_000_000, heavy)([texts])
+    assert 0 < batch.num_rows <= 22
+
+
+def test_long_text(spark):
+    rows = [(1, "".join(f"w{i} " for i in range(60_000))), (2, "".join(f"w{i} " for i in range(59_000))), (3, "w1 w2 w3 w4 w5")]
+    _compare(ngram_join.jaccard_components(documents(spark, [(i, t, "en", "s") for i, t in rows])).collect(), rows)
+
+
 def test_repeated_and_missing_identifiers(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "alone in the whole wide world"), (7, None)]
     got = ngram_join.jaccard_components(documents(spark, [(i, t, "en", "s") for i, t in rows])).collect()
