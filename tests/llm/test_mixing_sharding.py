@@ -62,6 +62,19 @@ def test_repeated(spark):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter({i: n for i, n in taken.items() if n})
 
 
+def test_repeated_by_row(spark):
+    """One identifier in two sources, or with texts of two lengths, is taken by each row's own share."""
+    rows = [(i, "w " * 10, "en", "a") for i in range(60)] + [(i, "w " * (5 + 10 * (i % 2)), "en", "b") for i in range(60)]
+    docs = documents(spark, [*rows, (None, "w " * 10, "en", "a"), (3, "w " * 10, "en", "a")])
+    goal = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    out = mixing.repeated(docs)
+    got = Counter()
+    for r in out.collect():
+        got[r["source"]] += len(words(r["text"]))
+    assert out.columns == docs.columns
+    assert all(abs(got[s] - goal[s]) <= 30 for s in goal)
+
+
 def test_mix_of_nothing(spark):
     docs = documents(spark, [(1, None, "en", "a"), (2, "", "en", None)])
     assert [(r["target"], r["taken"]) for r in mixing.mix(docs).collect()] == [(0.0, 0), (0.0, 0)]
@@ -133,3 +146,27 @@ def test_sharding_is_native(spark, small, tmp_path):
 def test_empty_tables(spark):
     docs = documents(spark, [(1, "a", "en", "s")]).where("false")
     assert _dealt(docs).count() == 0
+
+
+def test_many_equal_rows_are_split(spark):
+    """A row repeated until it exceeds a bucket spreads over its shard; nothing is lost and slots have no gaps."""
+    rows = [(7, "copy " * 20, "en", "a")] * 3000 + [(i, f"text {i} " * 5, "en", "b") for i in range(500)] + [(None, None, None, None)] * 50
+    docs = documents(spark, rows)
+    take = lambda df: sharding.shuffle_into_shards(df, 4, bucket_bytes=20_000)
+    out = take(docs.repartition(5)).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, *_ in rows)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r[sharding.SHARD]].append(r[sharding.SLOT])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r[sharding.SHARD] for r in out if r["doc_id"] == 7}) == 1
+    own = sorted(r[sharding.SLOT] for r in out if r["doc_id"] == 7)
+    assert own[-1] - own[0] > 3000  # others stand among them
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r[sharding.SHARD], r[sharding.SLOT])
+    assert sorted(map(key, out), key=str) == sorted(map(key, take(docs.repartition(3)).collect()), key=str)
+
+
+def test_maps_and_long_texts(spark):
+    docs = documents(spark, [(i, "long " * 40_000 if i == 3 else f"t{i}", "en", "s") for i in range(60)]).selectExpr("*", "map('a', doc_id) as extra")
+    take = lambda n: sorted((r["doc_id"], r[sharding.SHARD], r[sharding.SLOT]) for r in sharding.shuffle_into_shards(docs.repartition(n), 3, bucket_bytes=2000).collect())
+    assert take(2) == take(5) and len(take(2)) == 60
