@@ -170,34 +170,35 @@ def _shared(n_shards: int, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(b.as_py()) for b in table.column("block")]
         shard = table.column("shard")[0].as_py()
-        # copies bring the same node in several blocks; its first block counts
-        per = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        nodes = np.concatenate([p[0] for p in parts])
-        own = np.zeros(len(nodes), bool)
-        own[np.unique(nodes, return_index=True)[1]] = True
-        there = np.repeat(own, per)
-        marks = np.repeat(nodes, per)[there]
-        sizes = np.repeat(np.concatenate([p[1].astype(np.uint32) for p in parts]), per)[there]
-        tokens = np.concatenate([p[3] for p in parts])[there]
-        heavy = [np.concatenate([p[k] for p in parts]) for k in (4, 5, 6)]
+        nodes, per, tokens = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
+        node_sizes, heavy = np.concatenate([p[1].astype(np.uint32) for p in parts]), [np.concatenate([p[k] for p in parts]) for k in (4, 5, 6)]
         block = np.repeat(np.arange(len(parts)), [len(p[4]) for p in parts])
+        del parts
+        # copies bring the same node in several blocks; its first block counts
+        first = np.unique(nodes, return_index=True)[1]
+        if len(first) < len(nodes):
+            own = np.zeros(len(nodes), bool)
+            own[first] = True
+            tokens = tokens[np.repeat(own, per)]
+            nodes, per, node_sizes = nodes[own], per[own], node_sizes[own]
         _, first, at = np.unique(heavy[0], return_index=True, return_inverse=True)
         h_marks, h_sizes, h_tokens = (x[block == block[first][at]] for x in heavy)
+        owner = np.repeat(np.arange(len(nodes), dtype=np.int32), per)
         order = np.argsort(tokens, kind="stable")
-        tokens, marks, sizes = tokens[order], marks[order], sizes[order]
+        tokens, owner = tokens[order], owner[order]
+        del order
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
         if len(starts):
             count = np.diff(np.append(starts, len(tokens)))
-            several = np.minimum.reduceat(marks, starts) != np.maximum.reduceat(marks, starts)
-            kind = np.where(count < 16, count, 12 + np.log2(count).astype(np.int64)).astype(np.uint8)
+            several = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
             keep = np.repeat(several, count)
-            kind = np.repeat(kind, count)[keep]
-            tokens, marks, sizes = tokens[keep], marks[keep], sizes[keep]
+            tokens, owner, count = tokens[keep], owner[keep], count[several]
+            kind = np.repeat(np.where(count < 16, count, 12 + np.log2(count).astype(np.int64)).astype(np.uint8), count)
         else:
             kind = np.empty(0, np.uint8)
         full = np.concatenate([U64(shard) << U64(32) | tokens.astype(U64), h_tokens])
-        marks = np.concatenate([marks, h_marks])
-        sizes = np.concatenate([sizes, h_sizes.astype(np.uint32)])
+        marks = np.concatenate([nodes[owner], h_marks])
+        sizes = np.concatenate([node_sizes[owner], h_sizes.astype(np.uint32)])
         kind = np.concatenate([kind, np.full(len(full) - len(kind), HEAVY_CLASS, np.uint8)])
         bucket = shard_of(mix(marks), n_buckets)
         order = np.lexsort((marks, bucket))
@@ -220,34 +221,35 @@ def _prefixes(s: Settings):
     """In one bucket of nodes: each node's prefix among its shared shingles, if it can have a partner at all."""
 
     def run(table: pa.Table) -> pa.Table:
-        marks, sizes, tokens, kinds = [], [], [], []
-        for block in table.column("block"):
-            m, n, per, token, kind = unpack(block.as_py())
-            if token.dtype == np.uint32:
-                token = U64(token[-1]) << U64(32) | token[:-1].astype(U64)
-            marks.append(np.repeat(m, per.astype(np.int64)))
-            sizes.append(np.repeat(n, per.astype(np.int64)))
-            tokens.append(token)
-            kinds.append(kind)
-        marks, sizes, tokens, kinds = map(np.concatenate, (marks, sizes, tokens, kinds))
-        order = np.lexsort((tokens, kinds, marks))
-        marks, sizes, tokens, kinds = marks[order], sizes[order], tokens[order], kinds[order]
+        parts = [unpack(b.as_py()) for b in table.column("block")]
+        nodes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.zeros(len(nodes), np.int64)
+        n[at] = np.concatenate([p[1] for p in parts])
+        owner = np.repeat(at.astype(np.int32), np.concatenate([p[2] for p in parts]))
+        tokens = np.concatenate([p[3] if p[3].dtype == U64 else U64(p[3][-1]) << U64(32) | p[3][:-1].astype(U64) for p in parts])
+        kinds = np.concatenate([p[4] for p in parts])
+        del parts
+        order = np.lexsort((tokens, kinds, owner))
+        owner, tokens, kinds = owner[order], tokens[order], kinds[order]
+        del order
         # different shingles of one node with the same token are numbered
-        new = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]) | (tokens[1:] != tokens[:-1]) | (kinds[1:] != kinds[:-1])])
-        number = np.arange(len(marks)) - np.repeat(new, np.diff(np.append(new, len(marks))))
-        tokens = np.where(number > 0, mix(tokens + number.astype(U64)), tokens)
-        starts = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
-        shared = np.diff(np.append(starts, len(marks)))
-        n = sizes[starts].astype(np.int64)
+        again = np.flatnonzero((owner[1:] == owner[:-1]) & (kinds[1:] == kinds[:-1]) & (tokens[1:] == tokens[:-1])) + 1
+        if len(again):
+            number = np.arange(len(again)) - np.maximum.accumulate(np.where(np.diff(again, prepend=-1) > 1, np.arange(len(again)), 0)) + 1
+            tokens[again] = mix(tokens[again] + number.astype(U64))
+        shared = np.bincount(owner, minlength=len(nodes))
+        starts = np.cumsum(shared) - shared
         shortest = shared - overlap_needed(n, s.percent) + 1
-        place = np.arange(len(marks)) - np.repeat(starts, shared)
-        weight = np.where(kinds < 16, kinds, 2.0 ** (np.minimum(kinds, 60).astype(np.float64) - 12))
-        cost = np.add.reduceat(np.where(place < np.repeat(shortest, shared), weight, 0), starts) / np.maximum(shortest, 1)
+        place = np.arange(len(owner), dtype=np.int32) - starts.astype(np.int32)[owner]
+        weight = np.where(kinds < 16, kinds, np.float32(2.0) ** (np.minimum(kinds, 60).astype(np.float32) - 12))
+        weight[place >= shortest[owner]] = 0
+        cost = np.bincount(owner, weight, len(nodes)) / np.maximum(shortest, 1)
         matches = np.clip(1 + np.log2(1 + cost / 16).astype(np.int64), 1, s.longest_extension)
         matches = np.minimum(matches, overlap_needed(n, s.percent))
-        keep = (np.repeat(shortest, shared) > 0) & (place < np.repeat(shortest + matches - 1, shared))
-        rep = lambda v: np.repeat(v, shared)[keep]
-        return pa.table({"id": marks[keep].view(np.int64), "n": rep(n).astype(np.int32), "shared": rep(shared).astype(np.int32), "matches": rep(matches).astype(np.int32), "token": tokens[keep].view(np.int64), "place": place[keep].astype(np.int32)})
+        keep = ((shortest > 0)[owner]) & (place < (shortest + matches - 1)[owner])
+        owner, place, tokens = owner[keep], place[keep], tokens[keep]
+        narrow = lambda v: v[owner].astype(np.int32)
+        return pa.table({"id": nodes[owner].view(np.int64), "n": narrow(n), "shared": narrow(shared), "matches": narrow(matches), "token": tokens.view(np.int64), "place": place})
 
     return run
 
