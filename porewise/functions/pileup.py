@@ -20,12 +20,24 @@ def without_starts(bases: Column) -> Column:
     return F.regexp_replace(F.lower(bases), r"(?s)\^.", "")
 
 
+def _indel_pattern() -> str:
+    """A mark with its number n, up to 99, and at most n characters before the next mark."""
+    text = lambda n: "(?![0-9])(?s:(?![+-][0-9]).){0,%d}" % n
+    first = (f"{d}(?:{text(d)}|{'|'.join(f'{e}{text(10 * d + e)}' for e in range(10))})" for d in range(1, 10))
+    return f"[+-](?:{'|'.join(first)})"
+
+
+INDELS = _indel_pattern()
+
+
 def without_indels(x: Column) -> Column:
     """Without every ``+n`` or ``-n`` and the n characters after it."""
     digits = lambda c: F.regexp_extract(c, r"^[+-]([0-9]+)", 1)
     tail = lambda c: F.substring(c, F.length(digits(c)) + digits(c).cast("int") + 2, F.length(c))
     cut = lambda c: F.when(c.rlike(r"^[+-][0-9]+"), tail(c)).otherwise(c)
-    return F.array_join(F.transform(F.split(x, r"(?=[+-][0-9])"), cut), "")
+    # any number is read mark by mark; one pattern does for the usual ones of one or two digits
+    any_number = F.array_join(F.transform(F.split(x, r"(?=[+-][0-9])"), cut), "")
+    return F.when(x.rlike("[+-](?:0|[0-9]{3})"), any_number).otherwise(F.regexp_replace(x, INDELS, ""))
 
 
 def to_rna(base: Column) -> Column:
@@ -84,10 +96,16 @@ def quality(core: Column, qualities: Column, newline_counts: bool = False) -> Co
     """
     text = F.concat(F.coalesce(qualities, F.lit("")), F.lit("\n" if newline_counts else ""))
     marks = F.replace(core, F.lit("*"), F.lit(""))
-    kept = F.filter(F.split(text, ""), lambda c, i: (F.length(c) > 0) & ~F.substring(marks, i + 1, F.lit(1)).isin("<", ">"))
-    scores = F.transform(kept, lambda c: (F.ascii(c) - 33).cast("long"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"))
-    sums = F.aggregate(scores, zero, lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")))
-    mean = F.coalesce(F.try_divide(sums["s"].cast("double"), sums["n"]), F.lit(-1.0))
-    std = F.coalesce(F.try_divide(F.sqrt((sums["n"] * sums["q"] - sums["s"] * sums["s"]).cast("double")), sums["n"]), F.lit(-1.0))
-    return F.struct(mean.alias("mean"), std.alias("std"))
+    # both texts are walked side by side; where the marks are longer, nothing is left to keep
+    kept = F.zip_with(F.split(text, ""), F.split(marks, ""), lambda c, m: F.when(m.isin("<", ">"), "").otherwise(c))
+    text = F.when(marks.rlike("[<>]"), F.array_join(kept, "")).otherwise(text)
+    return _mean_and_std(F.transform(F.split(text, ""), lambda c: (F.ascii(c) - 33).cast("long")), F.length(text))
+
+
+def _mean_and_std(scores: Column, n: Column) -> Column:
+    """Of an array of ``n`` numbers; what it holds does not matter if ``n`` is 0."""
+    zero = F.lit(0).cast("long")
+    total = F.aggregate(scores, zero, lambda a, v: a + v)
+    squares = F.aggregate(scores, zero, lambda a, v: a + v * v)
+    std = F.try_divide(F.sqrt((n * squares - total * total).cast("double")), n)
+    return F.struct(F.coalesce(F.try_divide(total.cast("double"), n), F.lit(-1.0)).alias("mean"), F.coalesce(std, F.lit(-1.0)).alias("std"))

@@ -7,38 +7,57 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.text import one_based_bases
+#: Width of a bin of positions.
+BIN = 1024
 
 
 def to_bed(features: DataFrame) -> DataFrame:
     return features.select("chr", (F.col("site") - 1).alias("start"), F.col("site").alias("end"))
 
 
+def _bins(intervals: DataFrame, *columns: str) -> DataFrame:
+    """A row of each interval for each bin of 0-based positions that it meets; empty intervals have none."""
+    bins = F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))
+    return intervals.where("end > start").select("chr", "start", "end", *columns, F.explode(bins).alias("bin"))
+
+
+def single_bases(intervals: DataFrame, *columns: str) -> DataFrame:
+    """A row of each interval for each 0-based position, as ``start``; a long interval is opened bin by bin."""
+    inside = F.sequence(F.greatest("start", F.col("bin") * BIN), F.least("end", (F.col("bin") + 1) * BIN) - 1)
+    return _bins(intervals, *columns).select("chr", F.explode(inside).alias("start"), *columns)
+
+
 def position_set(intervals: DataFrame, compat: bool = False) -> DataFrame:
     """Distinct (chr, site), 1-based; ``compat`` takes only the first base of each interval."""
-    rows = intervals.where("end > start")
-    site = (F.col("start") + 1) if compat else F.explode(one_based_bases(F.col("start"), F.col("end")))
-    return rows.select("chr", site.alias("site")).distinct()
+    bases = intervals.where("end > start").select("chr", "start") if compat else single_bases(intervals)
+    return bases.select("chr", (F.col("start") + 1).alias("site")).distinct()
+
+
+def _held(features: DataFrame, intervals: DataFrame, how: str, compat: bool) -> DataFrame:
+    """Rows of the features by whether an interval holds their site; the range meets an equality on (chr, bin)."""
+    if compat:
+        return features.join(position_set(intervals, True), ["chr", "site"], how)
+    f, i = features.withColumn("__bin", F.floor((F.col("site") - 1) / BIN)).alias("f"), _bins(intervals).distinct().alias("i")
+    there = (F.col("f.chr") == F.col("i.chr")) & (F.col("f.__bin") == F.col("i.bin")) & (F.col("i.start") < F.col("f.site")) & (F.col("f.site") <= F.col("i.end"))
+    return f.join(i, there, how).drop("__bin")
 
 
 def include(features: DataFrame, intervals: DataFrame, compat: bool = False) -> DataFrame:
-    return features.join(position_set(intervals, compat), ["chr", "site"], "left_semi")
+    return _held(features, intervals, "left_semi", compat)
 
 
 def exclude(features: DataFrame, intervals: DataFrame, compat: bool = False) -> DataFrame:
-    return features.join(position_set(intervals, compat), ["chr", "site"], "left_anti")
+    return _held(features, intervals, "left_anti", compat)
 
 
-def annotate(features: DataFrame, intervals: DataFrame, bin_width: int = 1024, column: str = "bed_name") -> DataFrame:
+def annotate(features: DataFrame, intervals: DataFrame, column: str = "bed_name") -> DataFrame:
     """Adds the name of an interval that holds each site, or null; of several, the first by start, end and name.
 
     Intervals are dealt to bins of positions, so the range condition meets an equality on
     (chr, bin) and a wide interval costs one row for each bin.
     """
-    bins = F.sequence(F.floor((F.col("start") + 1) / bin_width), F.floor(F.col("end") / bin_width))
-    dealt = intervals.where("end > start").select("chr", "start", "end", "name", F.explode(bins).alias("bin"))
-    sites = features.select("chr", "site", F.floor(F.col("site") / bin_width).alias("bin")).distinct()
-    hits = sites.join(dealt, ["chr", "bin"]).where("start < site and site <= end")
+    sites = features.select("chr", "site", F.floor((F.col("site") - 1) / BIN).alias("bin")).distinct()
+    hits = sites.join(_bins(intervals, "name"), ["chr", "bin"]).where("start < site and site <= end")
     names = hits.groupBy("chr", "site").agg(F.min_by("name", F.struct("start", "end", "name")).alias(column))
     return features.join(names, ["chr", "site"], "left")
 
@@ -61,7 +80,7 @@ def intersect(a: DataFrame, b: DataFrame, label_a: str, label_b: str) -> DataFra
 def merge(files: list[DataFrame]) -> DataFrame:
     """Single bases of all files, names joined in order of arrival; the first is kept even if empty, later ones if not."""
     tagged = [f.select("chr", "start", "end", F.coalesce("name", F.lit("")).alias("name"), F.lit(i).alias("file"), "line") for i, f in enumerate(files)]
-    bases = reduce(DataFrame.unionAll, tagged).where("end > start").select("chr", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("start"), F.struct("file", "line", "name").alias("n"))
+    bases = single_bases(reduce(DataFrame.unionAll, tagged), "file", "line", "name").select("chr", "start", F.struct("file", "line", "name").alias("n"))
     gathered = bases.groupBy("chr", "start").agg(F.sort_array(F.collect_list("n"))["name"].alias("names"))
     rest = F.filter(F.slice("names", 2, F.size("names")), lambda x: x != "")
     return gathered.select("chr", "start", (F.col("start") + 1).alias("end"), F.array_join(F.concat(F.slice("names", 1, 1), rest), ",").alias("name"))
@@ -69,8 +88,8 @@ def merge(files: list[DataFrame]) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame, compat: bool = False) -> DataFrame:
     """Bases of ``a`` that ``b`` lacks, with the last name; ``compat`` gives those that both have."""
-    bases = a.where("end > start").select("chr", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("start"), "name", "line")
+    bases = single_bases(a, "name", "line")
     named = bases.groupBy("chr", "start").agg(F.coalesce(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("line"))), F.lit("")).alias("name"))
-    other = b.where("end > start").select("chr", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("start"))
+    other = single_bases(b).select("chr", "start")
     kept = named.join(other, ["chr", "start"], "left_semi" if compat else "left_anti")
     return kept.select("chr", "start", (F.col("start") + 1).alias("end"), "name")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pileup
 from ..schema import COLUMNS
-from ..sources.text import reference_chunks
+from ..sources.text import reference_chunks, sequence_lengths
 from .neighbours import with_neighbour_errors
 
 CHUNK, HALO = 1 << 14, 2
@@ -28,9 +28,8 @@ def with_motif(rows: DataFrame, reference: DataFrame, most_broadcast: int = 64 <
 
     The reference meets the rows in pieces, so a long chromosome is neither sent nor scanned whole.
     """
-    pieces = reference_chunks(reference, CHUNK, HALO)
-    names = reference.select(F.col("chr"), F.col("length"))
-    if (reference.agg(F.sum("length")).first()[0] or 0) <= most_broadcast:
+    pieces, names = reference_chunks(reference, CHUNK, HALO), sequence_lengths(reference)
+    if (names.agg(F.sum("length")).first()[0] or 0) <= most_broadcast:
         pieces, names = F.broadcast(pieces), F.broadcast(names)
     known = rows.join(names, "chr").withColumn("chunk", F.floor((F.col("site") - 1) / CHUNK))
     near = known.join(pieces.drop("length"), ["chr", "chunk"], "left")

@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+STRETCH = 1 << 14
 
-def with_neighbour_errors(features: DataFrame, k: int = 2, threshold: float = 0.5) -> DataFrame:
+
+def with_neighbour_errors(features: DataFrame, k: int = 2, threshold: float = 0.5, stretch: int = STRETCH) -> DataFrame:
     """Adds ``neighbour_error_pos``: signed distances of positions with mismatch_rate >= threshold, in order.
 
-    Only positions in error are sent to their 2k neighbours, and all meets by (chr, site), so a
-    single long chromosome spreads over all tasks.
+    A range window over each stretch of positions, in one pass over the rows: a row within ``k`` of a
+    border is also sent to the next stretch, and counts there only as a neighbour. So a single long
+    chromosome spreads over all tasks, and what the rows are computed from is computed once.
     """
-    steps = F.array(*(F.lit(d) for d in range(-k, k + 1) if d))
-    sent = features.where(F.col("mismatch_rate") >= threshold).select("chr", "site").distinct().select("chr", F.col("site").alias("at"), F.explode(steps).alias("offset"))
-    near = sent.select("chr", (F.col("at") - F.col("offset")).alias("site"), "offset").groupBy("chr", "site").agg(F.sort_array(F.collect_list("offset")).alias("neighbour_error_pos"))
-    found = features.join(near, ["chr", "site"], "left")
-    return found.withColumn("neighbour_error_pos", F.coalesce("neighbour_error_pos", F.array().cast("array<int>")))
-
-
-def with_neighbour_errors_by_window(features: DataFrame, k: int = 2, threshold: float = 0.5) -> DataFrame:
-    """The same by a range window on each chromosome, for many short chromosomes."""
-    around = Window.partitionBy("chr").orderBy("site").rangeBetween(-k, k)
-    sites = F.collect_list(F.when(F.col("mismatch_rate") >= threshold, F.col("site"))).over(around)
-    offsets = F.transform(F.filter(sites, lambda s: s != F.col("site")), lambda s: (s - F.col("site")).cast("int"))
-    return features.withColumn("neighbour_error_pos", F.sort_array(offsets))
+    own = F.floor(F.col("site") / stretch)
+    reach = F.array_distinct(F.array(own, F.floor((F.col("site") - k) / stretch), F.floor((F.col("site") + k) / stretch)))
+    if k >= stretch:
+        raise ValueError("a stretch must be longer than the reach")
+    sent = features.withColumn("__stretch", F.explode(reach))
+    around = Window.partitionBy("chr", "__stretch").orderBy("site").rangeBetween(-k, k)
+    near = F.collect_set(F.when(F.col("mismatch_rate") >= threshold, F.col("site"))).over(around)
+    offsets = F.transform(F.filter(near, lambda s: s != F.col("site")), lambda s: (s - F.col("site")).cast("int"))
+    return sent.withColumn("neighbour_error_pos", F.sort_array(offsets)).where(F.col("__stretch") == own).drop("__stretch")

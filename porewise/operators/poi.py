@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RATES
+from ..sources import text
+from ..sources.storage import materialize
 from . import bed, stats, summary
 
 METRICS = ("mismatch_rate", "deletion_rate", "insertion_rate", "refskip_rate", "q_mean")
@@ -37,7 +39,7 @@ def groups(annotated: DataFrame, category: str, counterpart: str | None = None)
 
 
 def sequence_map(category_rows: DataFrame, reference: DataFrame) -> DataFrame:
-    return reference.select("chr", "length").join(category_rows.select("chr").distinct(), "chr", "left_semi")
+    return text.sequence_lengths(reference).join(category_rows.select("chr").distinct(), "chr", "left_semi")
 
 
 def composition(grouped: DataFrame) -> DataFrame:
@@ -67,13 +69,14 @@ def neighbour_counts(category_rows: DataFrame) -> DataFrame:
 
 
 def analyse(features: DataFrame, intervals: DataFrame, reference: DataFrame, wanted: list[str], counterparts: list[str] | None = None, alt: bool = False) -> dict[str, dict[str, DataFrame]]:
-    """All datasets of each category. The annotated table is read once for each; persist it if it is costly."""
-    annotated = bed.annotate(features, intervals)
+    """All datasets of each category. Rows of the categories and the counterparts are annotated once and kept in a table."""
+    used = F.col("bed_name").isin(*wanted) | F.col("ref_base").isin(*(counterparts or []))
+    annotated = materialize(bed.annotate(features, intervals).where(used), "poi-annotated")
     out = {}
     for category, counterpart in categories(annotated, wanted, counterparts):
         own = annotated.where(F.col("bed_name") == category)
         grouped = groups(annotated, category, counterpart)
-        rates = error_rates(grouped, alt)
+        rates = materialize(error_rates(grouped, alt), "poi-rates")
         out[category] = {
             "map": sequence_map(own, reference),
             "confusion": summary.confusion(own, rows_of_gaps=True),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import text
+
 ERROR_FEATURES = ("deletion_rate", "insertion_rate", "mismatch_rate", "mismatch_rate_alt")
 
 
@@ -17,6 +19,8 @@ def positions(a: list[DataFrame], b: list[DataFrame], label_a: str = "sample1",
     """
     if error_feature not in ERROR_FEATURES:
         raise ValueError(f"not one of {ERROR_FEATURES}: {error_feature!r}")
+    if max(len(a), len(b)) > 63:
+        raise ValueError("more than 63 replicates of one sample")
     tagged = [f.select("chr", "site", (F.col("n_reads") - F.col("n_ref_skip")).alias("depth"), F.col(error_feature).alias("error"), F.lit(s).alias("sample"), F.lit(1 << r).cast("long").alias("rep")) for s, files in enumerate((a, b)) for r, f in enumerate(files)]
     # rep is a bit for each replicate, so that repeated rows of one replicate count once
     covered = reduce(DataFrame.unionAll, tagged).where(F.col("depth") >= coverage_threshold)
@@ -38,4 +42,4 @@ def count_table(found: DataFrame) -> DataFrame:
 
 def genome_map(found: DataFrame, reference: DataFrame) -> DataFrame:
     """Lengths of the chromosomes that have positions."""
-    return reference.select("chr", "length").join(found.select("chr").distinct(), "chr", "left_semi")
+    return text.sequence_lengths(reference).join(found.select("chr").distinct(), "chr", "left_semi")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import decode_neighbours, encode_neighbours
@@ -38,24 +37,56 @@ def parse_pileup(lines: DataFrame) -> DataFrame:
     return rows.where("site is not null and n_reads is not null")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chr, seq, length) of each record; the last record of a repeated name counts."""
-    records = spark.read.option("lineSep", ">").text(path).select("value", F.monotonically_increasing_id().alias("line")).where("length(trim(value)) > 0")
-    lines = F.split("value", r"\r?\n")
-    rows = records.select(F.split(lines[0], r"\s")[0].alias("chr"), F.upper(F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", "")).alias("seq"), "line")
-    return rows.groupBy("chr").agg(F.max_by("seq", "line").alias("seq")).withColumn("length", F.length("seq"))
+def _segments(rows: DataFrame, size: int) -> DataFrame:
+    """Stretches (chr, offset, seq, length) cut so that none is longer than ``size``, by one walk over each."""
+    cut = F.posexplode_outer(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("place", "part")
+    whole = rows.where(F.length("seq") <= size).select("chr", "offset", "seq", "length")
+    long = rows.where(F.length("seq") > size).select("chr", "offset", "length", cut)
+    return whole.union(long.select("chr", F.col("offset") + F.col("place") * size, "part", "length"))
+
+
+def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(chr, offset, seq, length): stretches of each record's sequence; the last record of a repeated name counts.
+
+    Lines are numbered where they lie, and only the totals of file blocks are added up in one task,
+    so a chromosome is never held as a whole. Each record has a stretch, an empty one at least.
+    """
+    head = F.col("value").startswith(">")
+    lines = _lines(spark, _paths(path)).select("file", "line.path", "line.block", "line.line", head.alias("head"), F.when(head, F.split(F.substring("value", 2, 1 << 20), r"\s")[0]).alias("chr"), F.when(head, "").otherwise(F.upper(F.regexp_replace("value", r"\s", ""))).alias("seq"))
+    block = ["file", "path", "block"]
+    so_far = Window.partitionBy(*block).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumn("record", F.sum(F.col("head").cast("long")).over(so_far)).withColumn("offset", F.sum(F.length("seq").cast("long")).over(so_far) - F.length("seq"))
+    totals = lines.groupBy(*block).agg(F.sum(F.col("head").cast("long")).alias("heads"), F.sum(F.length("seq").cast("long")).alias("bases"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    begins = totals.select(*block, F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("heads"), F.coalesce(F.sum("bases").over(before), F.lit(0)).alias("bases"))
+    placed = placed.join(begins, block).select((F.col("record") + F.col("heads")).alias("record"), (F.col("offset") + F.col("bases")).alias("offset"), "chr", "seq", "head")
+    records = placed.groupBy("record").agg(F.max("chr").alias("chr"), F.min(F.when(F.col("head"), F.col("offset"))).alias("begin"), F.sum(F.length("seq").cast("long")).alias("length"))
+    last = records.where("chr is not null").groupBy("chr").agg(F.max_by(F.struct("record", "begin", "length"), "record").alias("r")).select("chr", "r.*")
+    found = placed.select("record", "offset", "seq").join(last, "record")
+    return found.select("chr", (F.col("offset") - F.col("begin")).alias("offset"), "seq", "length")
 
 
 def reference_chunks(reference: DataFrame, size: int = 1 << 14, halo: int = 2) -> DataFrame:
-    """(chr, chunk, piece, length): pieces of ``size`` bases with N-padded halos, for joins by position."""
+    """(chr, chunk, piece, length): pieces of ``size`` bases with N-padded halos, for joins by position.
 
-    def run(batches):
-        for batch in batches:
-            for name, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                padded, n = "N" * halo + seq + "N" * halo, -(-len(seq) // size)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array([padded[i * size : (i + 1) * size + 2 * halo] for i in range(n)], pa.string()), pa.array([len(seq)] * n, pa.int64())], names=["chr", "chunk", "piece", "length"])
+    ``reference`` has stretches as ``read_fasta`` gives them, or whole sequences (chr, seq, length).
+    """
+    rows = reference if "offset" in reference.columns else reference.withColumn("offset", F.lit(0).cast("long"))
+    end, last = F.col("offset") + F.length("seq"), F.floor((F.col("length") - 1) / size)
+    chunks = F.sequence(F.greatest(F.floor((F.col("offset") - halo) / size), F.lit(0)), F.least(F.floor((end - 1 + halo) / size), last))
+    parts = _segments(rows, size).where("length(seq) > 0").withColumn("chunk", F.explode(chunks))
+    low, high = F.col("chunk") * size - halo, (F.col("chunk") + 1) * size + halo
+    begin = F.greatest("offset", low)
+    part = F.substring("seq", (begin - F.col("offset") + 1).cast("int"), F.greatest(F.least(end, high) - begin, F.lit(0)).cast("int"))
+    pieces = parts.groupBy("chr", "chunk", "length").agg(F.array_join(F.sort_array(F.collect_list(F.struct(begin.alias("at"), part.alias("part"))))["part"], "").alias("piece"))
+    full = F.concat(F.when(F.col("chunk") == 0, "N" * halo).otherwise(""), "piece")
+    room = F.least(F.lit(size), F.col("length") - F.col("chunk") * size) + 2 * halo
+    return pieces.select("chr", "chunk", F.rpad(full, room.cast("int"), F.lit("N")).alias("piece"), "length")
 
-    return reference.select("chr", "seq").mapInArrow(run, "chr string, chunk long, piece string, length long")
+
+def sequence_lengths(reference: DataFrame) -> DataFrame:
+    """(chr, length) of each record."""
+    return reference.select("chr", "length").distinct()
 
 
 def read_bed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -95,8 +126,3 @@ ANNOTATED = "chr site n_reads ref_base majority_base n_del n_ins n_ref_skip a_ra
 
 def write_annotated(rows: DataFrame, path: str) -> None:
     write_features(rows, path, [c for c in ANNOTATED if c in rows.columns])
-
-
-def one_based_bases(start: Column, end: Column) -> Column:
-    """All 1-based sites of a 0-based half-open interval; an empty interval has none."""
-    return F.when(end > start, F.sequence(start + 1, end)).otherwise(F.array().cast("array<bigint>"))

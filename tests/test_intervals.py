@@ -81,3 +81,21 @@ def test_lines_that_are_not_intervals(spark, tmp_path):
 def test_empty(spark):
     none = spark.createDataFrame([], "chr string, start long, end long, name string, line long")
     assert bed.merge([none, none]).count() == bed.difference(none, none).count() == bed.intersect(none, none, "a", "b").count() == 0
+
+
+def test_whole_chromosome(spark, sites):
+    """An interval of 248 million bases is never opened into one array."""
+    wide = spark.createDataFrame([("c1", 0, 248_000_000, "all", [], 0, 0)], "chr string, start long, end long, name string, extras array<string>, file int, line long")
+    assert bed.include(sites, wide).count() == 7 and bed.exclude(sites, wide).count() == 0
+    assert bed.annotate(sites, wide).where("bed_name = 'all'").count() == 7
+    assert bed.single_bases(wide).where("start > 200000000").limit(3).count() == 3
+
+
+def test_borders_of_bins(spark):
+    spots = [(0, 1), (1023, 1025), (1024, 1025), (2047, 2048), (2048, 4096), (5, 5)]
+    rows = spark.createDataFrame([("c1", a, b, "n", [], 0, i) for i, (a, b) in enumerate(spots)], "chr string, start long, end long, name string, extras array<string>, file int, line long")
+    want = {s for a, b in spots for s in range(a + 1, b + 1)}
+    features = spark.createDataFrame([("c1", s) for s in range(4200)], "chr string, site long")
+    assert {r["site"] for r in bed.include(features, rows).collect()} == want == {r["site"] for r in bed.position_set(rows).collect()}
+    assert {r["site"] for r in bed.exclude(features, rows).collect()} == set(range(4200)) - want
+    assert {r["site"] for r in bed.annotate(features, rows).where("bed_name is not null").collect()} == want

@@ -119,17 +119,56 @@ def test_majority_ties_go_in_order(spark):
     assert [r[0] for r in rows.select(p.majority_base()).collect()] == ["A", "G", "-", "A"]
 
 
-def test_both_neighbour_forms_agree(spark):
+@pytest.mark.parametrize("stretch", [4, 7, neighbours.STRETCH])
+def test_neighbours_at_any_stretch(spark, stretch):
     random.seed(3)
     rows = [(c, s, random.random()) for c in ("a", "b") for s in sorted(random.sample(range(200), 90))]
-    features = spark.createDataFrame(rows, "chr string, site long, mismatch_rate double")
-    a, b = (sorted(map(str, f(features, 3, 0.6).collect())) for f in (neighbours.with_neighbour_errors, neighbours.with_neighbour_errors_by_window))
-    assert a == b
-    error = {(c, s) for c, s, m in rows if m >= 0.6}
-    for r in neighbours.with_neighbour_errors(features, 3, 0.6).collect():
+    features = spark.createDataFrame([*rows, ("a", rows[0][1], 1.0)], "chr string, site long, mismatch_rate double")  # a repeated site
+    error = {(c, s) for c, s, m in [*rows, ("a", rows[0][1], 1.0)] if m >= 0.6}
+    got = neighbours.with_neighbour_errors(features, 3, 0.6, stretch).collect()
+    assert len(got) == 181
+    for r in got:
         assert r["neighbour_error_pos"] == [d for d in range(-3, 4) if d and (r["chr"], r["site"] + d) in error]
 
 
+def test_extraction_decodes_once(spark):
+    """The decoded rows stand once in the plan, and without Python."""
+    rows = spark.createDataFrame([("c", 1, "A", 2, "..", "II")], "chr string, site long, ref_base string, n_reads int, bases string, qualities string")
+    reference = spark.createDataFrame([("c", "ACGT", 4)], "chr string, seq string, length int")
+    plan = extractor.extract(rows, reference)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS __core#") == 1 and "Python" not in plan
+
+
+def test_large_indels_and_leading_zeros(spark):
+    texts = [".+120" + "a" * 120 + "c.", ".-03acgt", "+5ac-2gtt", "+12acgtacgtacgtt", ".+1a+2cc-3ggg*"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = [r[0] for r in rows.orderBy("i").select(p.without_indels(F.col("x"))).collect()]
+    assert got == [".c.", ".t", "t", "t", ".*"]
+
+
+def _fasta(records, width):
+    return "".join(f">{n} more words\n" + "".join(s[i : i + width] + "\n" for i in range(0, len(s), width)) for n, s in records)
+
+
+@pytest.mark.parametrize("width", [60, 7, 100_000])
+def test_fasta_in_pieces(spark, tmp_path, width):
+    random.seed(width)
+    records = [(n, "".join(random.choice("ACGTacgtN") for _ in range(size))) for n, size in (("c1", 5000), ("c2", 1), ("c1", 4097), ("c3", 0), ("c4", 1024))]
+    (tmp_path / "r.fa").write_text("stray\n" + _fasta(records, width))
+    kept = dict(records)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        reference = text.read_fasta(spark, str(tmp_path / "r.fa"))
+        assert {r["chr"]: r["length"] for r in text.sequence_lengths(reference).collect()} == {n: len(s) for n, s in kept.items()}
+        pieces = text.reference_chunks(reference, 512, 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(pieces) == sum(-(-len(s) // 512) for s in kept.values())
+    for r in pieces:
+        padded = "NNN" + kept[r["chr"]].upper() + "NNN"
+        assert r["piece"] == padded[r["chunk"] * 512 : (r["chunk"] + 1) * 512 + 6]
+
+
 def test_feature_text_round_trip(spark, files, tmp_path):
     features = _extract(spark, files)
     text.write_features(features, str(tmp_path / "f"))
