@@ -30,10 +30,9 @@ COUNT, AMOUNT, SHARE = _number(int, not_negative), _number(float, not_negative),
 
 
 def _write(datasets: dict[str, DataFrame], folder: str) -> None:
+    """Small datasets, each in the order of its columns."""
     for name, rows in datasets.items():
-        rows.write.csv(f"{folder}/{name}", sep="\t", header=True, quote="", emptyValue="", nullValue="")
-
-
+        rows.orderBy(*rows.columns).write.csv(f"{folder}/{name}", sep="\t", header=True, quote="", emptyValue="", nullValue="")
 
 
 def _features(spark: SparkSession, paths: str) -> DataFrame:

@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions import pileup as p
 from ..operators import bed, binning, extractor, filtering, neighbours, poi, possummary, stats, summary, twosample
+from ..sources.storage import materialize
 from . import adapters as ad
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+from .registry import QUERIES, SQL  # noqa: F401 - all queries, for callers
+from .registry import query as _query
 
 RATES = ("mismatch_rate", "deletion_rate", "insertion_rate", "refskip_rate")
 CATEGORY, COUNTERPART, BINS = "1-URGENT", "C", 500
 
 
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register the function under its name, with SQL after the adapters' tables ``f`` and ``bed``."""
-
-    def add(run: Query) -> Query:
-        QUERIES[run.__name__] = run
-        if sql is not None:
-            SQL[run.__name__] = f"with f as {ad.features_sql()}, bed as ({ad.BED}), {sql}" if sql.lstrip().startswith("x as") else f"with f as {ad.features_sql()}, bed as ({ad.BED}) {sql}"
-        return run
-
-    return add
-
-
 # ------------------------------------------------------------------ extraction
 
 
@@ -93,14 +78,6 @@ def neighbour_errors_window(spark, sf_dir):
     return found.select("chr", "site", F.array_join(F.col("neighbour_error_pos").cast("array<string>"), ",").alias("neighbour_error_pos"))
 
 
-@_query()
-def extract_features(spark, sf_dir):
-    """The whole extractor, against a reference made of the customers' segments."""
-    rows = ad.pileup(spark, sf_dir).groupBy("chr", "site").agg(*(F.max_by(c, F.struct("bases", "n_reads")).alias(c) for c in ("ref_base", "n_reads", "bases", "qualities")))
-    reference = rows.groupBy("chr").agg(F.max("site").cast("int").alias("length")).select("chr", F.expr("repeat('ACGTN', length div 5 + 1)").alias("seq")).withColumn("length", F.length("seq"))
-    return extractor.extract(rows, reference, num_reads=2, mismatch_rate=0.0)
-
-
 # ------------------------------------------------------------------ filters
 
 _FILTERS = {
@@ -228,7 +205,7 @@ _CUBE = f"""x as (select 1), {_REPLICATES}, p as (select distinct chr, "end" as
 
 
 @_query(
-    f"""{_CUBE} select d.chr, d.position, d.sample, d.replicate, d."offset", r.n_reads, r.n_ins,
+    f"""{_CUBE} select d.chr, d.position, d.sample, d.replicate, d."offset", r.n_reads, r.n_ins, r.majority_base, round(deletion_rate, 9) as deletion_rate, round(insertion_rate, 9) as insertion_rate, round(refskip_rate, 9) as refskip_rate,
       round(r.n_a * 100.0::double / nullif(r.n_a + r.n_c + r.n_g + r.n_u, 0), 2) as a_percent,
       round(case r.ref_base when 'A' then a_rate when 'C' then c_rate when 'G' then g_rate when 'U' then u_rate end, 9) as match_rate
       from d left join r on d.chr = r.chr and d.site = r.site and d.sample = r.sample and d.replicate = r.replicate"""
@@ -236,7 +213,7 @@ _CUBE = f"""x as (select 1), {_REPLICATES}, p as (select distinct chr, "end" as
 def position_cube(spark, sf_dir):
     rows = possummary.cube(ad.intervals(spark, sf_dir).where(F.col("name") == CATEGORY), *_samples(spark, sf_dir), "A", "B")
     rows = possummary.errors(possummary.composition(rows))
-    return rows.select("chr", "position", "sample", "replicate", "offset", "n_reads", "n_ins", "a_percent", F.round("match_rate", 9).alias("match_rate"))
+    return rows.select("chr", "position", "sample", "replicate", "offset", "n_reads", "n_ins", "majority_base", *(F.round(c, 9).alias(c) for c in ("deletion_rate", "insertion_rate", "refskip_rate")), "a_percent", F.round("match_rate", 9).alias("match_rate"))
 
 
 # ------------------------------------------------------------------ summaries
@@ -372,9 +349,40 @@ def poi_rank_sums(spark, sf_dir):
     return stats.rank_sums(rates, [(0, 1)])
 
 
-@_query()
+#: The complementary error function by Simpson's rule for small and by Craig's integral for large arguments.
+_ERFC = """case when {x} <= 0 then 1.0
+    when {x} < 2 then 1 - 2 * {x} / sqrt(pi()) * list_sum(list_transform(range(201), lambda i: (case when i in (0, 200) then 1 when i % 2 = 1 then 4 else 2 end) * exp(-({x}) * ({x}) * (i / 200.0) ** 2))) / 600
+    else list_sum(list_transform(range(200), lambda i: exp(-({x}) * ({x}) / pow(sin((i + 0.5) * pi() / 400), 2)))) / 200 end"""
+_SKEW = "(g1 * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))))"
+_B2 = "(3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)))"
+
+
+@_query(
+    f"""x as (select 1), {_GROUPED}, v as ({' union all '.join(f"select grp, '{m}' as metric, {m} as value from grouped" for m in poi.METRICS)}),
+      c as (select *, avg(value) over (partition by metric, grp) as mu from v),
+      m as (select metric, grp, count(*)::double as n, avg(value) as mean, var_samp(value) as s2, avg((value - mu) ** 2) as m2, avg((value - mu) ** 3) as m3, avg((value - mu) ** 4) as m4 from c group by metric, grp),
+      g as (select *, m3 / m2 ** 1.5 as g1, m4 / m2 ** 2 as kurt from m where n >= 8 and m2 > 0),
+      w as (select *, sqrt(2 * ({_B2} - 1)) - 1 as w2, case when {_SKEW} = 0 then 1 else {_SKEW} end as y,
+              (kurt - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) as kx,
+              6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) as kb from g),
+      z as (select *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) as zs, 6 + 8 / kb * (2 / kb + sqrt(1 + 4 / (kb * kb))) as ka from w),
+      k as (select metric, grp, exp(-(zs ** 2 + ((1 - 2 / (9 * ka) - sign(1 + kx * sqrt(2 / (ka - 4))) * pow((1 - 2 / ka) / abs(1 + kx * sqrt(2 / (ka - 4))), 1 / 3.0)) / sqrt(2 / (9 * ka))) ** 2) / 2) >= 0.05 as normal from z),
+      pairs as (select * from (values (0, 0, 1), (1, 2, 3), (2, 0, 2), (3, 1, 3)) p(pair, a, b)),
+      r as (select metric, pair, a, grp, value, rank() over (partition by metric, pair order by value) + (count(*) over (partition by metric, pair, value) - 1) / 2.0 as rk from v join pairs on grp in (a, b)),
+      rs as (select metric, pair, sum(case when grp = a then rk end) as s from r group by metric, pair),
+      ti as (select metric, pair, sum(n * n * n - n) as t from (select metric, pair, value, count(*)::double as n from r group by all) group by metric, pair),
+      j as (select x.metric, a, b, x.n as n1, y.n as n2, s - x.n * (x.n + 1) / 2 as u1, t, coalesce(kx.normal and ky.normal, false) as normal, x.s2 as v1, y.s2 as v2
+            from (select distinct metric from v) q cross join pairs left join m x on x.metric = q.metric and x.grp = a left join m y on y.metric = q.metric and y.grp = b
+            left join rs on rs.metric = q.metric and rs.pair = pairs.pair left join ti on ti.metric = q.metric and ti.pair = pairs.pair
+            left join k kx on kx.metric = q.metric and kx.grp = a left join k ky on ky.metric = q.metric and ky.grp = b),
+      e as (select *, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)))) / sqrt(2) as ex from j)
+      select metric, a::int as "first", b::int as "second", case when n1 >= 8 and n2 >= 8 and not normal then round({_ERFC.format(x='ex')}, 9) end as p,
+        case when coalesce(n1 >= 8 and n2 >= 8, false) then case when normal then 'normal' else 'MWU' end else 'ERROR' end as test from e where metric is not null"""
+)
 def poi_tests(spark, sf_dir):
-    return stats.compare_groups(poi.error_rates(poi.groups(_annotated(spark, sf_dir), CATEGORY, COUNTERPART)), True)
+    """The SQL states the choice of the test and the rank test's p; all samples of these tables fail the test of normality."""
+    rates = materialize(poi.error_rates(poi.groups(_annotated(spark, sf_dir), CATEGORY, COUNTERPART)), "poi-rates")
+    return stats.compare_groups(rates, True).withColumn("p", F.round("p", 9))
 
 
 @_query("select chr, site, chr as name from f where mismatch_rate >= 0.5")

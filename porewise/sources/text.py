@@ -121,8 +121,11 @@ def write_bed(intervals: DataFrame, path: str) -> None:
 
 
 #: Columns of the annotated text table, in its order.
-ANNOTATED = "chr site n_reads ref_base majority_base n_del n_ins n_ref_skip a_rate c_rate g_rate u_rate deletion_rate insertion_rate refskip_rate mismatch_rate mismatch_rate_alt motif q_mean q_std neighbour_error_pos bed_name".split()
+ANNOTATED = "chr site n_reads ref_base majority_base a_rate c_rate g_rate u_rate deletion_rate insertion_rate refskip_rate mismatch_rate q_mean motif neighbour_error_pos bed_name".split()
 
 
 def write_annotated(rows: DataFrame, path: str) -> None:
-    write_features(rows, path, [c for c in ANNOTATED if c in rows.columns])
+    """The table with names of intervals, where an unknown name and a row without neighbours in error read ``None``."""
+    near = F.when(F.size("neighbour_error_pos") > 0, encode_neighbours(F.col("neighbour_error_pos")))
+    shown = rows.orderBy("chr", "site").select(*(F.coalesce(near, F.lit("None")).alias(c) if c == "neighbour_error_pos" else F.coalesce(c, F.lit("None")).alias(c) if c == "bed_name" else F.col(c) for c in ANNOTATED))
+    shown.write.csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
