@@ -1,10 +1,12 @@
 """Media columns: read TIFF images held in a binary column, one row per page.
 
 The decoder walks the image directories of both byte orders and undoes PackBits, LZW and
-deflate, strips and tiles, and horizontal differencing, for samples of 8 or 16 bits, chunky or
-planar. A null or empty value yields no page. A page that cannot be decoded yields a row whose
-``error`` says why and whose samples are null; the pages before it stay. The encoder writes
-lossless 8-bit grey pages and exists so that any bytes can be stored as images.
+deflate, strips and tiles, both fill orders, horizontal differencing and the floating-point
+predictor, for samples of 1 to 64 bits, chunky or planar. Samples of fewer than 8 bits come out as a byte
+each. A null or empty value yields no page. A page that cannot be decoded (missing strips, codes
+that no table has, more than ``MOST_BYTES``) yields a row whose ``error`` says why and whose
+samples are null; the pages before and after it stay, as long as its directory can be read. The
+encoder writes lossless 8-bit grey pages and exists so that any bytes can be stored as images.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from .common import small_batches
 #: Fixed values of the TIFF 6.0 format.
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 266, 284, 317, 322, 323, 324, 325
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 LZW_CLEAR, LZW_END = 256, 257
+#: A page of more decoded bytes is refused before anything is allocated.
+MOST_BYTES = 1 << 29
 
 PAGE = "struct<page: int, width: int, height: int, bits: int, channels: int, compression: int, predictor: int, tiled: boolean, samples: binary, error: string>"
 
@@ -93,10 +97,10 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
     start = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, out, width, last = list(start), [], 9, None
-    held = n_held = 0
+    held = n_held = size = 0
     for byte in data:
         held, n_held = held << 8 | byte, n_held + 8
         if n_held < width:
@@ -110,10 +114,18 @@ def lzw_decode(data: bytes) -> bytes:
         if code == LZW_END:
             break
         if last is None:
+            if code > 255:
+                raise ValueError(f"LZW code {code} at the start of a table")
             word = table[code]
         else:
+            if code > len(table) or code == len(table) == 4096:
+                raise ValueError(f"LZW code {code} in a table of {len(table)}")
             word = table[code] if code < len(table) else last + last[:1]
-            table.append(last + word[:1])
+            if len(table) < 4096:
+                table.append(last + word[:1])
+        size += len(word)
+        if size > most:
+            raise ValueError(f"more than the {most} bytes of a strip or tile")
         out.append(word)
         last = word
         if len(table) >= (1 << width) - 1 and width < 12:
@@ -121,15 +133,16 @@ def lzw_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def decompress(data: bytes, compression: int) -> bytes:
+def decompress(data: bytes, compression: int, most: int = MOST_BYTES) -> bytes:
+    """At most ``most`` bytes; where the data hold more, that is an error or the rest is left."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data)  # at most 64 times the data
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     raise ValueError(f"compression {compression}")
 
 
@@ -151,26 +164,52 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
     return fields, following
 
 
+def _samples(raw: bytes, kind: np.dtype, bits: int, predictor: int, rows: int, w: int, depth: int) -> np.ndarray:
+    """The samples of a strip or tile, (rows, w, depth)."""
+    if bits < 8:
+        row = -(-w * depth * bits // 8)
+        packed = np.frombuffer(raw, np.uint8, rows * row).reshape(rows, row)
+        single = np.unpackbits(packed, axis=1)[:, : w * depth * bits].reshape(rows, w, depth, bits)
+        return single @ (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
+    if predictor == 3:  # bytes of equal weight lie together, highest first, and are differences
+        size = kind.itemsize
+        flat = np.frombuffer(raw, np.uint8, rows * w * depth * size).reshape(rows, -1, depth)
+        planes = np.cumsum(flat, axis=1, dtype=np.uint8).reshape(rows, size, w * depth)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{size}").reshape(rows, w, depth)
+    part = np.frombuffer(raw, kind, rows * w * depth).reshape(rows, w, depth)
+    return np.cumsum(part, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else part
+
+
 def _page(data: bytes, f: dict[int, list[int]], order: str) -> dict:
     one = lambda tag, default=None: f.get(tag, [default])[0]
     width, height, channels, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
     compression, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-    if bits not in (8, 16) or predictor not in (1, 2):
-        raise ValueError(f"{bits} bits, predictor {predictor}")
-    kind = np.dtype((">" if order == ">" else "<") + f"u{bits // 8}")
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or predictor not in (1, 2, 3) or predictor > 1 and bits < 8 or len(set(f.get(BITS, [1]))) > 1:
+        raise ValueError(f"{f.get(BITS)} bits, predictor {predictor}")
+    if not width or not height or not channels:
+        raise ValueError("no width, height or channels")
+    kind = np.dtype((">" if order == ">" else "<") + f"u{max(1, bits // 8)}")
     planes, depth = (channels, 1) if planar == 2 else (1, channels)
     tiled = TILE_OFFSETS in f
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS, height), height))
+    if not w or not h:
+        raise ValueError("strips or tiles without a size")
+    size = kind.itemsize * channels
+    if width * height * size > MOST_BYTES or w * h * size > MOST_BYTES:
+        raise ValueError(f"{width} x {height} is more than {MOST_BYTES} bytes")
     across, down = -(-width // w), -(-height // h)
+    offsets, counts = f[TILE_OFFSETS if tiled else OFFSETS], f[TILE_COUNTS if tiled else COUNTS]
+    if not len(offsets) == len(counts) == planes * across * down:
+        raise ValueError(f"{len(offsets)} offsets and {len(counts)} lengths for {planes * across * down} strips or tiles")
     picture = np.zeros((planes, height, width, depth), kind.newbyteorder("="))
-    for i, (offset, count) in enumerate(zip(f[TILE_OFFSETS if tiled else OFFSETS], f[TILE_COUNTS if tiled else COUNTS], strict=True)):
+    for i, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
         plane, rest = divmod(i, across * down)
         y, x = rest // across * h, rest % across * w
         rows = h if tiled else min(h, height - y)
-        raw = decompress(data[offset : offset + count], compression)
-        part = np.frombuffer(raw, kind, rows * w * depth).reshape(rows, w, depth)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=picture.dtype)
+        raw = data[offset : offset + count]
+        if one(FILL_ORDER, 1) == 2:
+            raw = np.packbits(np.unpackbits(np.frombuffer(raw, np.uint8)), bitorder="little").tobytes()
+        part = _samples(decompress(raw, compression, 2 * w * rows * depth * kind.itemsize + 64), kind, bits, predictor, rows, w, depth)
         picture[plane, y : y + rows, x : x + w] = part[: height - y, : width - x]
     samples = picture[0] if planes == 1 else np.moveaxis(picture[..., 0], 0, 2)
     return {"width": width, "height": height, "bits": bits, "channels": channels, "compression": compression, "predictor": predictor, "tiled": tiled, "samples": samples.tobytes()}
@@ -182,16 +221,21 @@ def pages(data: bytes | None) -> Iterator[dict]:
         return
     number, visited = 0, set()
     blank = dict.fromkeys(("width", "height", "bits", "channels", "compression", "predictor", "tiled", "samples"))
+    wrong = lambda e: {"page": number, **blank, "error": f"{type(e).__name__}: {e}"[:200]}
     try:
         order = {b"II*\0": "<", b"MM\0*": ">"}[bytes(data[:4])]
         (at,) = struct.unpack_from(order + "I", data, 4)
         while at and at not in visited:
             visited.add(at)
             fields, at = _directory(data, at, order)
-            yield {"page": number, **_page(data, fields, order), "error": None}
+            try:
+                page = {"page": number, **_page(data, fields, order), "error": None}
+            except Exception as e:  # damaged input is data here: the row says what is wrong
+                page = wrong(e)
+            yield page
             number += 1
-    except Exception as e:  # damaged input is data here: the row says what is wrong
-        yield {"page": number, **blank, "error": f"{type(e).__name__}: {e}"[:200]}
+    except Exception as e:  # without this directory, the next one can't be found
+        yield wrong(e)
 
 
 def decode_pages(media: Column) -> Column:

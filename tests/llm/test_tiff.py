@@ -83,6 +83,77 @@ def test_colour_in_16_bits(order, planar):
     assert np.array_equal(np.frombuffer(page["samples"], np.uint16).reshape(5, 7, 3), picture)
 
 
+def _grey(width, height, strips, order="<", **fields):
+    """A file of one grey page; fields by tag number replace the usual ones."""
+    offsets = [8 + sum(map(len, strips[:i])) for i in range(len(strips))]
+    usual = {256: [width], 257: [height], 258: [8], 259: [1], 262: [1], 273: offsets, 277: [1], 278: [height], 279: [len(s) for s in strips]}
+    entries = [(tag, 4, v) for tag, v in sorted((usual | {int(k[1:]): v for k, v in fields.items()}).items())]
+    return _file(order, entries, b"".join(strips))
+
+
+def test_missing_strips_are_an_error():
+    whole = [bytes([i]) * 16 for i in range(8)]
+    (page,) = tiff.pages(_grey(16, 8, whole, t278=[1]))
+    assert page["samples"] == b"".join(whole)
+    (page,) = tiff.pages(_grey(16, 8, whole[:2], t278=[1]))
+    assert page["samples"] is None and "8 strips" in page["error"]
+
+
+def _codes(*codes):
+    bits = "".join(f"{c:09b}" for c in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+@pytest.mark.parametrize("codes", [(256, 7, 7, 400, 257), (256, 300, 257), (256, 7, 260, 257)])
+def test_impossible_codes_are_an_error(codes):
+    with pytest.raises(ValueError, match="LZW code"):
+        tiff.lzw_decode(_codes(*codes))
+    (page,) = tiff.pages(_grey(3, 1, [_codes(*codes)], t259=[5]))
+    assert page["samples"] is None and "LZW code" in page["error"]
+
+
+def test_pages_after_a_bad_one():
+    payload = bytes(range(144)) * (512 * 3)
+    data = bytearray(tiff.encode(payload))
+    (at,) = struct.unpack_from("<I", data, 4)
+    (n,) = struct.unpack_from("<H", data, at)
+    tag = next(at + 2 + 12 * i for i in range(n) if struct.unpack_from("<H", data, at + 2 + 12 * i)[0] == 259)
+    data[tag + 8] = 99
+    found = list(tiff.pages(bytes(data)))
+    assert [bool(p["error"]) for p in found] == [True, False, False]
+    assert b"".join(p["samples"] or b"" for p in found) == payload[144 * 512 :]
+
+
+def test_sizes_are_checked_before_anything_is_allocated():
+    for fields in ({"t256": [1 << 31], "t257": [1 << 30]}, {"t257": [0]}, {"t322": [0], "t323": [16], "t324": [8], "t325": [16]}, {"t322": [1 << 31], "t323": [1 << 30], "t324": [8], "t325": [16]}):
+        (page,) = tiff.pages(_grey(16, 1, [bytes(16)], **fields))
+        assert page["samples"] is None and page["error"].startswith("ValueError")
+    bomb = zlib.compress(bytes(50_000_000))
+    (page,) = tiff.pages(_grey(16, 1, [bomb], t259=[8]))
+    assert page["samples"] == bytes(16)
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_floating_point_predictor(order):
+    picture = np.random.default_rng(4).normal(size=(6, 5)).astype(np.float32)
+    planes = np.ascontiguousarray(picture.astype(">f4")).view(np.uint8).reshape(6, 5, 4).transpose(0, 2, 1).reshape(6, 20)
+    strip = zlib.compress(np.diff(planes, axis=1, prepend=np.uint8(0)).tobytes())
+    (page,) = tiff.pages(_grey(5, 6, [strip], order, t258=[32], t259=[8], t317=[3], t339=[3]))
+    assert page["error"] is None and np.array_equal(np.frombuffer(page["samples"], np.float32).reshape(6, 5), picture)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("fill", [1, 2])
+def test_samples_of_few_bits(bits, fill):
+    picture = np.random.default_rng(5).integers(0, 1 << bits, (9, 13), np.uint8)
+    packed = b""
+    for row in picture:
+        text = "".join(f"{v:0{bits}b}" for v in row)
+        packed += bytes(int(text[i : i + 8].ljust(8, "0")[:: 1 if fill == 1 else -1], 2) for i in range(0, len(text), 8))
+    (page,) = tiff.pages(_grey(13, 9, [packed], t258=[bits], t266=[fill]))
+    assert page["error"] is None and np.array_equal(np.frombuffer(page["samples"], np.uint8).reshape(9, 13), picture)
+
+
 def test_damaged_files(spark):
     good = tiff.encode(b"x" * 576)
     files = [(1, good), (2, None), (3, b""), (4, b"no picture"), (5, good[: len(good) // 2]), (6, good)]
