@@ -10,6 +10,10 @@ identifier is a response and the others revisit it. A null payload is an empty o
 rows that share the largest identifier are all responses; a record with a null identifier is
 a revisit where an equal payload has an identifier, else a response. Bundles are named by
 task attempt and only those in the manifest count, so a repeated task does no harm.
+
+A response's block is an HTTP response with the payload, a revisit's block that response's head
+alone, which states the payload's length. Record identifiers are UUIDs that hold the integer
+identifier; addresses are escaped as URIs, and a record without one has its own URN as target.
 """
 
 from __future__ import annotations
@@ -17,8 +21,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from urllib.parse import quote
+from uuid import UUID
 
 import pyarrow as pa
 import zstandard
@@ -37,30 +45,40 @@ MANIFEST = pa.schema([("bundle", pa.string()), ("id", pa.int64()), ("frame", pa.
 RECORD = pa.schema([("id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int32())])
 
 
-def _name(record_id: int | None) -> str:
-    return f"<urn:record:{'' if record_id is None else record_id}>"
+#: Ours, in the freely usable bits of a version 8 UUID.
+_OWN = 0x706F72657769
+
+
+def _urn(record_id: int | None) -> str:
+    """A UUID of 48 own bits, the version, whether there is an identifier, and the identifier's 64 bits around the variant."""
+    bits = (record_id or 0) & ((1 << 64) - 1)
+    flags = (record_id is None) << 2 | bits >> 62
+    return f"urn:uuid:{UUID(int=_OWN << 80 | 8 << 76 | flags << 64 | 2 << 62 | bits & (1 << 62) - 1)}"
 
 
-def _number(name: str) -> int | None:
-    tail = name.removeprefix("<urn:record:").removesuffix(">")
-    return int(tail) if tail else None
+def _number(urn: str) -> int | None:
+    value = UUID(urn).int
+    flags, bits = value >> 64 & 7, (value >> 64 & 3) << 62 | value & (1 << 62) - 1
+    return None if flags >> 2 else bits - (bits >> 63 << 64)
 
 
-def record_bytes(record_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC 1.1 record; a revisit has an empty block and states the full payload's length."""
+def record_bytes(record_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
+    """One WARC 1.1 record; ``date`` is in UTC, as YYYY-MM-DDThh:mm:ssZ."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_name(record_id)}",
+        f"WARC-Record-ID: <{_urn(record_id)}>",
+        f"WARC-Date: {date}",
+        "WARC-Target-URI: " + (_urn(record_id) if uri is None else quote(uri, safe="!#$%&'()*+,/:;=?@[]~")),
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Bytes: {len(payload)}",
+        "Content-Type: application/http;msgtype=response",
+        f"Content-Length: {len(block)}",
     ]
-    if uri is not None:
-        head.append("WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        head += [f"WARC-Refers-To: {_name(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
-    block = b"" if revisit else payload
-    return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+        head += [f"WARC-Refers-To: <{_urn(refers_to)}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+    return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
 def parse_records(content: bytes, verify: bool = True) -> Iterator[dict]:
@@ -71,23 +89,30 @@ def parse_records(content: bytes, verify: bool = True) -> Iterator[dict]:
         lines = content[at:end].decode().split("\r\n")
         fields = dict(line.split(": ", 1) for line in lines[1:])
         size, block = int(fields["Content-Length"]), end + 4
-        payload, revisit = content[block : block + size], fields["WARC-Type"] == "revisit"
-        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-        if verify and not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-            raise ValueError(f"record {fields['WARC-Record-ID']}: its payload doesn't match its digest")
+        body = content.index(b"\r\n\r\n", block) + 4
+        payload, revisit = content[body : block + size], fields["WARC-Type"] == "revisit"
+        length = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", content[block:body])[1])
+        digest, own = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Record-ID"][1:-1]
+        if verify and not revisit and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+            raise ValueError(f"record {own}: its payload doesn't match its length and digest")
         yield {
-            "id": _number(fields["WARC-Record-ID"]),
-            "uri": fields.get("WARC-Target-URI"),
+            "id": _number(own),
+            "uri": None if fields["WARC-Target-URI"] == own else fields["WARC-Target-URI"],
             "record_type": fields["WARC-Type"],
-            "refers_to": _number(fields["WARC-Refers-To"]) if revisit else None,
+            "refers_to": _number(fields["WARC-Refers-To"][1:-1]) if revisit else None,
             "payload_digest": digest,
-            "payload_bytes": int(fields["X-Payload-Bytes"]),
+            "payload_bytes": length,
             "payload": None if revisit else payload,
             "offset": at,
         }
         at = block + size + 4
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, also by the schemes that Spark has for object stores."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 class BundleWriter:
     """Frames of about ``frame_bytes`` of content; the bundle is kept in memory up to its bound."""
 
@@ -157,13 +182,14 @@ def _typed(pages: DataFrame, id_col: str, payload: str, uri: str, min_bytes: int
     return typed.withColumn("revisit", F.coalesce(F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper")), F.lit(False)))
 
 
-def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", payload: str = "html", uri: str = "url", min_bytes: int = 0, frame_bytes: int = 1 << 20, bundle_bytes: int = 64 << 20) -> DataFrame:
-    """Write all records below ``folder`` (any file system that pyarrow opens); returns the manifest."""
+def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", payload: str = "html", uri: str = "url", min_bytes: int = 0, frame_bytes: int = 1 << 20, bundle_bytes: int = 64 << 20, date: datetime | None = None) -> DataFrame:
+    """Write all records below ``folder`` (any file system that pyarrow opens), as of ``date`` or now; returns the manifest."""
+    written = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     small_batches(pages.sparkSession, 500)
 
     def run(batches):
         context = TaskContext.get()
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         number, writer = 0, BundleWriter(frame_bytes)
 
@@ -178,7 +204,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", payloa
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 record_id, address, body, digest, keeper, revisit = r
-                writer.add(record_id, record_bytes(record_id, address, body, base64.b32encode(digest).decode(), keeper, revisit))
+                writer.add(record_id, record_bytes(record_id, address, body, base64.b32encode(digest).decode(), keeper, revisit, written))
                 if len(writer.data) >= bundle_bytes:
                     yield flush()
                     number, writer = number + 1, BundleWriter(frame_bytes)
@@ -195,7 +221,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, local = fs.FileSystem.from_uri(path)
+                store, local = _store(path)
                 with store.open_input_file(local) as source:
                     reader = BundleReader(source)
                     for frame in range(len(reader.frames)):
@@ -215,7 +241,7 @@ def fetch(manifest: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, frame, offset, size in zip(*(batch.column(k).to_pylist() for k in ("bundle", "frame", "offset", "bytes")), strict=True):
-                store, local = fs.FileSystem.from_uri(path)
+                store, local = _store(path)
                 with store.open_input_file(local) as source:
                     rows.append(BundleReader(source).record(frame, offset, size) | {"bundle": path, "frame": frame, "offset": offset})
             yield pa.RecordBatch.from_pylist(rows, schema=RECORD)

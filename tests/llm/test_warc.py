@@ -3,8 +3,11 @@
 import base64
 import hashlib
 import io
+import re
+from datetime import UTC, datetime
 
 import pyarrow as pa
+import pytest
 import zstandard
 
 from porewise.llm import queries, warc
@@ -54,8 +57,52 @@ def test_other_readers_see_all_content(spark, tmp_path):
         assert b"".join(frames.content(i) for i in range(len(frames.frames))) == content
 
 
+def _strict(content):
+    """Records by the rules of WARC 1.1: header lines, mandatory fields, block lengths, and HTTP messages inside."""
+    while content:
+        head, content = content.split(b"\r\n\r\n", 1)
+        version, *lines = head.split(b"\r\n")
+        assert version == b"WARC/1.1" and all(re.fullmatch(rb"[A-Za-z-]+: [\x21-\x7e][\x20-\x7e]*", x) for x in lines)
+        fields = {k.decode().lower(): v.decode() for k, v in (x.split(b": ", 1) for x in lines)}
+        assert len(fields) == len(lines)
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}>", fields["warc-record-id"])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"])
+        assert re.match(r"[a-z]+:", fields["warc-target-uri"]) or re.fullmatch(r"[!-~]+", fields["warc-target-uri"])
+        assert fields["content-type"] == "application/http;msgtype=response"
+        n = int(fields["content-length"])
+        block, content = content[:n], content[n:]
+        assert content.startswith(b"\r\n\r\n")
+        content = content[4:]
+        http, payload = block.split(b"\r\n\r\n", 1)
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n")
+        length = int(re.search(rb"Content-Length: (\d+)", http)[1])
+        if fields["warc-type"] == "revisit":
+            assert not payload and fields["warc-profile"].startswith("http://netpreserve.org/warc/1.1/revisit/") and "warc-refers-to" in fields
+        else:
+            assert fields["warc-type"] == "response" and len(payload) == length
+            assert fields["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        yield fields, length
+
+
+def test_records_by_a_strict_reader(spark, tmp_path):
+    _write(spark, tmp_path, [*ROWS, (-(2**63), "x y", "q"), (2**63 - 1, "\u00e9 <>", "r")], date=datetime(2020, 1, 2, 3, 4, 5, tzinfo=UTC))
+    found = []
+    for bundle in (tmp_path / "bundles").glob("*.zst"):
+        with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(bundle.read_bytes()), read_across_frames=True) as reader:
+            found += _strict(reader.read())
+    assert len(found) == len(ROWS) + 2 and {f["warc-date"] for f, _ in found} == {"2020-01-02T03:04:05Z"}
+    ids = {f["warc-record-id"]: f for f, _ in found}
+    assert all(ids[f["warc-refers-to"]]["warc-payload-digest"] == f["warc-payload-digest"] for f, _ in found if f["warc-type"] == "revisit")
+
+
+@pytest.mark.parametrize("i", [None, 0, 1, -1, 2**62, -(2**62), 2**63 - 1, -(2**63)])
+def test_record_identifiers(i):
+    assert warc._number(warc._urn(i)) == i
+
+
 def test_empty(spark, tmp_path):
-    assert warc.read_bundles(_write(spark, tmp_path, []).limit(0)).count() == 0
+    manifest = _write(spark, tmp_path, [])
+    assert manifest.count() == 0 and warc.read_bundles(manifest).count() == 0
 
 
 def test_query(spark, small):
