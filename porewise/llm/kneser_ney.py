@@ -5,7 +5,8 @@ of its texts; blocks go to the shard of the *bigram's* hash, so a frequent conte
 over all shards. A shard merges its blocks into one sorted hash array with counts, and sends
 what it knows of each word (as context and as continuation) on to word shards, where frequent
 words arrive already summed. Both kinds of shard are written as plain numpy files in the
-shared folder, which workers memory-map to score; no model passes through the driver.
+shared folder, which workers memory-map to score; no model passes through the driver. A shard that
+cannot be opened, and is not known to be empty, fails the task.
 
 Probability of a word w after v, with c, the context's totals and the discounts D of order 2,
 and continuation counts k (different words before w) of order 1:
@@ -92,15 +93,14 @@ def _count_blocks(first: np.ndarray, second: np.ndarray, n_shards: int) -> pa.Re
     i, j = pairs // len(vocabulary), pairs % len(vocabulary)
     shard = shard_of(bigram_key(vocabulary[i], vocabulary[j]), n_shards)
     order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(n_shards + 1))
-    shards, blocks = [], []
-    for s in np.flatnonzero(np.diff(bounds)):
-        rows = order[bounds[s] : bounds[s + 1]]
+    shards, begins = np.unique(shard[order], return_index=True)
+    blocks = []
+    for a, b in zip(begins, [*begins[1:], len(order)], strict=True):
+        rows = order[a:b]
         own, local = np.unique(np.concatenate([i[rows], j[rows]]), return_inverse=True)
-        a, b = local[: len(rows)], local[len(rows) :]
-        blocks.append(pack(vocabulary[own], _narrow(np.diff(a, prepend=0)), _narrow(b), _narrow(count[rows])))
-        shards.append(int(s))
-    return record_batch(BLOCK, shard=shards, block=blocks)
+        first_at, second_at = local[: len(rows)], local[len(rows) :]
+        blocks.append(pack(vocabulary[own], _narrow(np.diff(first_at, prepend=0)), _narrow(second_at), _narrow(count[rows])))
+    return record_batch(BLOCK, shard=shards.astype(np.int32), block=blocks)
 
 
 def _counter(n_shards: int, chunk_words: int):
@@ -144,7 +144,7 @@ def _counts_of_counts(x: np.ndarray) -> list[int]:
 
 
 STATS = ("n1", "n2", "n3", "n4", "tokens", "types")
-MERGED = "shard int, block binary, " + ", ".join(f"{k} long" for k in STATS)
+MERGED = "own int, shard int, block binary, " + ", ".join(f"{k} long" for k in STATS)
 
 
 def _merge_bigrams(folder: str, n_words: int):
@@ -178,7 +178,7 @@ def _merge_bigrams(folder: str, n_words: int):
         blocks = [pack(known[0][bounds[s] : bounds[s + 1]], *(_narrow(v[bounds[s] : bounds[s + 1]]) if v.max() < 1 << 32 else v[bounds[s] : bounds[s + 1]] for v in known[1:])) for s in full]
         stats = dict(zip(STATS, [*_counts_of_counts(total), int(total.sum()), len(keys)], strict=True))
         rest = [0] * (len(full) - 1)
-        return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array(blocks, pa.binary())} | {k: pa.array([v, *rest], pa.int64()) for k, v in stats.items()})
+        return pa.table({"own": pa.array([shard] * len(full), pa.int32()), "shard": pa.array(full, pa.int32()), "block": pa.array(blocks, pa.binary())} | {k: pa.array([v, *rest], pa.int64()) for k, v in stats.items()})
 
     return run
 
@@ -193,29 +193,28 @@ def _merge_words(folder: str):
         for name, v in zip(WORD_COLUMNS, values, strict=True):
             save(f"{folder}/words-{shard}.{name}.npy", v.astype(np.uint32 if v.max() < 1 << 32 else np.int64))
         k = values[-1]
-        return pa.table({n: pa.array([x], pa.int64()) for n, x in zip(STATS, [*_counts_of_counts(k), 0, int((k > 0).sum())], strict=True)})
+        return pa.table({"own": pa.array([shard], pa.int32())} | {n: pa.array([x], pa.int64()) for n, x in zip(STATS, [*_counts_of_counts(k), 0, int((k > 0).sum())], strict=True)})
 
     return run
 
 
-@lru_cache(maxsize=100_000)
-def _mapped(path: str) -> np.ndarray | None:
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+@lru_cache(maxsize=24_000)  # a process may usually map 65,530 files
+def _mapped(path: str) -> np.ndarray:
+    return np.load(path, mmap_mode="r")
 
 
-def _look_up(folder: str, kind: str, n_shards: int, keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+def _look_up(folder: str, kind: str, n_shards: int, empty: frozenset[int], keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
     """Values of sorted ``keys`` in the mapped shards; 0 where a key is absent."""
     out = [np.zeros(len(keys), np.int64) for _ in names]
-    bounds = np.searchsorted(shard_of(keys, n_shards), np.arange(n_shards + 1))
-    for s in np.flatnonzero(np.diff(bounds)):
-        own = keys[bounds[s] : bounds[s + 1]]
-        there = _mapped(f"{folder}/{kind}-{s}.key.npy")
-        if there is None or not len(there):
+    shards, begins = np.unique(shard_of(keys, n_shards), return_index=True)
+    for s, a, b in zip(shards.tolist(), begins, [*begins[1:], len(keys)], strict=True):
+        if s in empty:
             continue
-        at = np.minimum(np.searchsorted(there, own), len(there) - 1)
-        hit = there[at] == own
+        there = _mapped(f"{folder}/{kind}-{s}.key.npy")
+        at = np.minimum(np.searchsorted(there, keys[a:b]), len(there) - 1)
+        hit = there[at] == keys[a:b]
         for values, name in zip(out, names, strict=True):
-            values[bounds[s] : bounds[s + 1]][hit] = _mapped(f"{folder}/{kind}-{s}.{name}.npy")[at[hit]]
+            values[a:b][hit] = _mapped(f"{folder}/{kind}-{s}.{name}.npy")[at[hit]]
     return out
 
 
@@ -253,13 +252,15 @@ class KneserNeyModel:
     high: tuple[float, float, float]
     low: tuple[float, float, float]
     low_rest: float
+    #: Shards of bigrams and of words that hold nothing and have no files.
+    empty: tuple[frozenset[int], frozenset[int]]
 
     def score(self, counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text: tokens, known tokens, log10 of its add-0.1 unigram and model probability."""
         first, second, owner = with_marks(counts, words)
         vocabulary, index = np.unique(np.concatenate([first, second]), return_inverse=True)
         i, j = index[: len(first)], index[len(first) :]
-        total, n1, n2, n3, k = _look_up(self.folder, "words", self.n_words, vocabulary, WORD_COLUMNS)
+        total, n1, n2, n3, k = _look_up(self.folder, "words", self.n_words, self.empty[1], vocabulary, WORD_COLUMNS)
         seen = np.where(vocabulary == END, self.texts, np.where(vocabulary == START, 0, total))
         base = np.log10((seen + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
         q = _discounted(k, self.low) / max(1, self.types) + self.low_rest / (self.vocabulary + 1)
@@ -269,7 +270,7 @@ class KneserNeyModel:
         keys = bigram_key(vocabulary[a], vocabulary[b])
         order = np.argsort(keys)
         count = np.empty(len(keys), np.int64)
-        (count[order],) = _look_up(self.folder, "bigrams", self.n_shards, keys[order], ("count",))
+        (count[order],) = _look_up(self.folder, "bigrams", self.n_shards, self.empty[0], keys[order], ("count",))
         p = np.log10(_discounted(count, self.high) / np.maximum(total[a], 1) + rest[a] * q[b])
         add = lambda v: np.bincount(owner, weights=v, minlength=len(counts))
         return counts + 1, add(seen[j] > 0).astype(np.int64), add(base[j]), add(p[at])
@@ -287,11 +288,13 @@ def train(docs: DataFrame, text: str = "text", shard_words: int = 4_000_000, chu
     merged = materialize(counted.groupBy("shard").applyInArrow(_merge_bigrams(folder, n_words), MERGED), "kneser-ney-words")
     total = lambda df: [int(x or 0) for x in df.agg(*(F.sum(k).alias(k) for k in STATS)).first()]
     *high, tokens, types = total(merged.select(*STATS))
-    words = merged.select("shard", "block").groupBy("shard").applyInArrow(_merge_words(folder), ", ".join(f"{k} long" for k in STATS))
+    words = merged.select("shard", "block").groupBy("shard").applyInArrow(_merge_words(folder), "own int, " + ", ".join(f"{k} long" for k in STATS))
+    words = materialize(words, "kneser-ney-sums")  # one row for each shard
     *low, _, vocabulary = total(words)
+    empty = tuple(frozenset(range(n)) - {r["own"] for r in df.select("own").distinct().collect()} for df, n in ((merged, n_shards), (words, n_words)))
     d = discounts(*low)
     mass = d[0] * low[0] + d[1] * low[1] + d[2] * (vocabulary - low[0] - low[1])
-    return KneserNeyModel(folder, n_shards, n_words, texts, tokens, types, vocabulary, discounts(*high), d, mass / types if types else 1.0)
+    return KneserNeyModel(folder, n_shards, n_words, texts, tokens, types, vocabulary, discounts(*high), d, mass / types if types else 1.0, empty)
 
 
 SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -98,3 +98,20 @@ def test_better_than_unigrams_on_held_out_text(spark, small):
 
     got = op1_lm_scoring(spark, small).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_a_lost_shard_is_an_error(spark):
+    """Without its files a model must not score as if it had seen nothing; shards that hold nothing have none."""
+    from pathlib import Path
+
+    docs = documents(spark, [(i, f"one two three {i % 5}", "en", "s") for i in range(40)])
+    model = kneser_ney.train(docs, shard_words=5)
+    assert model.n_shards >= 20 and model.empty[0]
+    assert not any(Path(f"{model.folder}/bigrams-{i}.key.npy").exists() for i in model.empty[0])
+    counts, flat = kneser_ney.word_hashes(kneser_ney.pa.array(["one two three 1 four"]))
+    model.score(counts, flat)
+    for path in Path(model.folder).glob("bigrams-*.key.npy"):
+        path.rename(f"{path}.gone")
+    kneser_ney._mapped.cache_clear()
+    with pytest.raises(FileNotFoundError):
+        model.score(counts, flat)
