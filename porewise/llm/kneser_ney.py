@@ -22,16 +22,15 @@ model in which every word has the same probability.
 from __future__ import annotations
 
 import os
-import struct
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import FAN_OUT, group_size, narrow, pack, shard_of, unpack
 from .common import U64, materialize, mix, mounted_path, new_folder, record_batch, small_batches, text_bytes, word_hashes
 
 START, END = U64(0x5354415254), U64(0x454E44)
@@ -39,28 +38,7 @@ BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.binary())])
 WORD_COLUMNS = ("total", "n1", "n2", "n3", "continuations")
 
 
-# ------------------------------------------------------------------ packed blocks
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed block."""
-    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def unpack(block: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    at, out = 1 + 10 * raw[0], []
-    for i in range(raw[0]):
-        kind, n = struct.unpack_from("<2sQ", raw, 1 + 10 * i)
-        out.append(np.frombuffer(raw, np.dtype("<" + kind.decode()), n, at))
-        at += out[-1].nbytes
-    return out
-
-
-def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """Equal ranges of the hash space, so that a shard's keys are contiguous."""
-    return (((keys >> U64(32)) * U64(n)) >> U64(32)).astype(np.int32)
+# ------------------------------------------------------------------ counted blocks
 
 
 def bigram_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -81,17 +59,14 @@ def with_marks(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, second, owner
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    top = int(x.max(initial=0))
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
-
-
-def _count_blocks(first: np.ndarray, second: np.ndarray, n_shards: int) -> pa.RecordBatch:
-    """The distinct bigrams of one chunk with counts, one block for each shard."""
+def _count_blocks(first: np.ndarray, second: np.ndarray, often: np.ndarray | None, n_shards: int, per_group: int) -> pa.RecordBatch:
+    """The distinct bigrams of one chunk with counts, one block for each shard, or for each group of so many shards."""
     vocabulary, index = np.unique(np.concatenate([first, second]), return_inverse=True)
-    pairs, count = np.unique(index[: len(first)] * len(vocabulary) + index[len(first) :], return_counts=True)
+    pairs, at, count = np.unique(index[: len(first)] * len(vocabulary) + index[len(first) :], return_inverse=True, return_counts=True)
+    if often is not None:
+        count = np.bincount(at, often, len(pairs)).astype(np.int64)
     i, j = pairs // len(vocabulary), pairs % len(vocabulary)
-    shard = shard_of(bigram_key(vocabulary[i], vocabulary[j]), n_shards)
+    shard = shard_of(bigram_key(vocabulary[i], vocabulary[j]), n_shards) // per_group
     order = np.argsort(shard, kind="stable")
     shards, begins = np.unique(shard[order], return_index=True)
     blocks = []
@@ -99,11 +74,16 @@ def _count_blocks(first: np.ndarray, second: np.ndarray, n_shards: int) -> pa.Re
         rows = order[a:b]
         own, local = np.unique(np.concatenate([i[rows], j[rows]]), return_inverse=True)
         first_at, second_at = local[: len(rows)], local[len(rows) :]
-        blocks.append(pack(vocabulary[own], _narrow(np.diff(first_at, prepend=0)), _narrow(second_at), _narrow(count[rows])))
+        blocks.append(pack(vocabulary[own], narrow(np.diff(first_at, prepend=0)), narrow(second_at), narrow(count[rows])))
     return record_batch(BLOCK, shard=shards.astype(np.int32), block=blocks)
 
 
-def _counter(n_shards: int, chunk_words: int):
+def _bigrams_of(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words, a, b, count = unpack(block)
+    return words[np.cumsum(a.astype(np.int64))], words[b], count.astype(np.uint32)
+
+
+def _counter(n_shards: int, per_group: int, chunk_words: int):
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -112,10 +92,28 @@ def _counter(n_shards: int, chunk_words: int):
                 held.append((first[at : at + chunk_words], second[at : at + chunk_words]))
                 size += len(held[-1][0])
                 if size >= chunk_words:
-                    yield _count_blocks(*map(np.concatenate, zip(*held, strict=True)), n_shards)
+                    yield _count_blocks(*map(np.concatenate, zip(*held, strict=True)), None, n_shards, per_group)
                     held, size = [], 0
         if size:
-            yield _count_blocks(*map(np.concatenate, zip(*held, strict=True)), n_shards)
+            yield _count_blocks(*map(np.concatenate, zip(*held, strict=True)), None, n_shards, per_group)
+
+    return run
+
+
+def _regroup(n_shards: int, chunk_words: int):
+    """Second step of the scatter: the blocks of some groups, taken together up to a chunk's size, to their shards."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for block in batch.column(1):
+                held.append(_bigrams_of(block.as_py()))
+                size += len(held[-1][0])
+                if size >= chunk_words:
+                    yield _count_blocks(*map(np.concatenate, zip(*held, strict=True)), n_shards, 1)
+                    held, size = [], 0
+        if size:
+            yield _count_blocks(*map(np.concatenate, zip(*held, strict=True)), n_shards, 1)
 
     return run
 
@@ -151,10 +149,8 @@ def _merge_bigrams(folder: str, n_words: int):
     def run(table: pa.Table) -> pa.Table:
         first, second, count = [], [], []
         for block in table.column("block"):
-            words, a, b, c = unpack(block.as_py())
-            first.append(words[np.cumsum(a.astype(np.int64))])
-            second.append(words[b])
-            count.append(c.astype(np.uint32))
+            for held, part in zip((first, second, count), _bigrams_of(block.as_py()), strict=True):
+                held.append(part)
         first, second, count = map(np.concatenate, (first, second, count))
         keys = bigram_key(first, second)
         order = np.argsort(keys, kind="stable")
@@ -175,7 +171,7 @@ def _merge_bigrams(folder: str, n_words: int):
         to = shard_of(known[0], n_words)
         bounds = np.searchsorted(to, np.arange(n_words + 1))
         full = [int(s) for s in np.flatnonzero(np.diff(bounds))]
-        blocks = [pack(known[0][bounds[s] : bounds[s + 1]], *(_narrow(v[bounds[s] : bounds[s + 1]]) if v.max() < 1 << 32 else v[bounds[s] : bounds[s + 1]] for v in known[1:])) for s in full]
+        blocks = [pack(known[0][bounds[s] : bounds[s + 1]], *(narrow(v[bounds[s] : bounds[s + 1]]) if v.max() < 1 << 32 else v[bounds[s] : bounds[s + 1]] for v in known[1:])) for s in full]
         stats = dict(zip(STATS, [*_counts_of_counts(total), int(total.sum()), len(keys)], strict=True))
         rest = [0] * (len(full) - 1)
         return pa.table({"own": pa.array([shard] * len(full), pa.int32()), "shard": pa.array(full, pa.int32()), "block": pa.array(blocks, pa.binary())} | {k: pa.array([v, *rest], pa.int64()) for k, v in stats.items()})
@@ -276,15 +272,21 @@ class KneserNeyModel:
         return counts + 1, add(seen[j] > 0).astype(np.int64), add(base[j]), add(p[at])
 
 
-def train(docs: DataFrame, text: str = "text", shard_words: int = 4_000_000, chunk_words: int = 2_000_000) -> KneserNeyModel:
-    """Count all texts of ``docs``; ``shard_words`` bounds what one merging task gathers."""
+def train(docs: DataFrame, text: str = "text", shard_words: int = 4_000_000, chunk_words: int = 2_000_000, fan_out: int = FAN_OUT) -> KneserNeyModel:
+    """Count all texts of ``docs``; ``shard_words`` bounds what one merging task gathers.
+
+    Where there are more than ``fan_out`` shards, a chunk goes to groups of shards first.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     n_shards = max(1, -(-text_bytes(docs, text) // (6 * shard_words)))
     n_words = min(n_shards, 1024)
     folder = mounted_path(new_folder(spark, "kneser-ney"))
     texts = docs.count()
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counter(n_shards, chunk_words), "shard int, block binary")
+    kind, per_group = "shard int, block binary", group_size(n_shards, fan_out)
+    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counter(n_shards, per_group, chunk_words), kind)
+    if per_group > 1:
+        counted = counted.repartition(-(-n_shards // per_group), "shard").mapInArrow(_regroup(n_shards, chunk_words), kind)
     merged = materialize(counted.groupBy("shard").applyInArrow(_merge_bigrams(folder, n_words), MERGED), "kneser-ney-words")
     total = lambda df: [int(x or 0) for x in df.agg(*(F.sum(k).alias(k) for k in STATS)).first()]
     *high, tokens, types = total(merged.select(*STATS))

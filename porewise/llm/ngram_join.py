@@ -6,7 +6,8 @@ shares at least o = ceil(t*n) of them; with all shingles in one global order, ra
 such nodes share a shingle among their first n-o+1, and l of them among their first n-o+l.
 
 Counting. Shingles are dealt to shards by hash, as packed blocks of truncated hashes in the
-order of documents; a shard finds which occur in several nodes. Shingles of a single node come
+order of documents; a shard finds which occur in several nodes. Beyond ``fan_out`` shards, blocks
+go to groups of shards first. Shingles of a single node come
 first in the order and can't be shared, so nodes that hold n-o+1 of those drop out, as nearly
 all prose does. Shingles in a large share of the documents are found beforehand from local
 counts, come last in the order and never meet in a shard.
@@ -26,6 +27,7 @@ apart by their number, so a node never counts fewer shared shingles than it has.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import FAN_OUT, group_size, narrow, pack, shard_of, unpack
 from .common import U64, gram_hashes, materialize, mix, small_batches, text_bytes, word_hashes
 from .components import connected_components
-from .kneser_ney import _narrow, pack, shard_of, unpack
 
 LOW32 = U64(0xFFFFFFFF)
 HEAVY_CLASS = 255
@@ -54,6 +56,7 @@ class Settings:
     longest_extension: int = 4
     rounds: int = 2
     most_broadcast: int = 2_000_000
+    fan_out: int = FAN_OUT
 
 
 def shingle_sets(counts: np.ndarray, words: np.ndarray, k: int) -> list[np.ndarray]:
@@ -123,31 +126,35 @@ def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
 
 
-def _deal(s: Settings, n_shards: int, heavy):
-    """Blocks for each shard: nodes, their sizes, how many shingles of each, the shingles; heavy shingles apart."""
+def _blocks(nodes: np.ndarray, sizes: np.ndarray, owner: np.ndarray, flat: np.ndarray, h_owner: np.ndarray, h_token: np.ndarray, n_shards: int, per_group: int) -> pa.RecordBatch:
+    """A block for each shard, or group of shards, that gets anything: nodes, their sizes, how many shingles of each, the
+    shingles (whole for groups, cut for shards); then nodes, sizes and tokens of heavy shingles, all of a node in one shard.
+    """
+    shard, home = (shard_of(x, n_shards) // per_group for x in (flat, mix(nodes[h_owner])))
+    order, h_order = np.argsort(shard, kind="stable"), np.argsort(home, kind="stable")
+    owner, flat, shard = owner[order], flat[order], shard[order]
+    h_owner, h_token, home = h_owner[h_order], h_token[h_order], home[h_order]
+    flat = flat if per_group > 1 else (flat & LOW32).astype(np.uint32)
+    shards = np.union1d(shard, home)
+    at, h_at = (np.append(np.searchsorted(x, shards), len(x)) for x in (shard, home))
+    out = []
+    for a, b, c, d in zip(at[:-1], at[1:], h_at[:-1], h_at[1:], strict=True):
+        there, per = np.unique(owner[a:b], return_counts=True)
+        in_order = np.argsort(owner[a:b], kind="stable")
+        extra = h_owner[c:d]
+        out.append(pack(nodes[there], narrow(sizes[there]), narrow(per), flat[a:b][in_order], nodes[extra], narrow(sizes[extra]), h_token[c:d]))
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(out, pa.binary())], names=["shard", "block"])
+
+
+def _deal(s: Settings, n_shards: int, per_group: int, heavy):
+    """The nodes of each chunk, dealt to shards or groups; heavy shingles apart."""
 
     def blocks(held: dict[int, np.ndarray]):
-        marks = np.fromiter(held, U64, len(held))
+        nodes = np.fromiter(held, U64, len(held))
         sizes = np.array([len(x) for x in held.values()], np.int64)
-        owner, flat = np.repeat(np.arange(len(marks)), sizes), np.concatenate(list(held.values()))
+        owner, flat = np.repeat(np.arange(len(nodes)), sizes), np.concatenate(list(held.values()))
         common = _member(heavy.value, flat)
-        h_owner, h_flat = owner[common], flat[common]
-        owner, flat = owner[~common], flat[~common]
-        shard = shard_of(flat, n_shards)
-        order = np.argsort(shard, kind="stable")
-        owner, low, shard = owner[order], (flat[order] & LOW32).astype(np.uint32), shard[order]
-        # a node's heavy shingles all go to one shard, as whole hashes
-        home = (marks[h_owner] % U64(n_shards)).astype(np.int32)
-        order = np.argsort(home, kind="stable")
-        h_owner, h_token, home = h_owner[order], mix(h_flat[order]), home[order]
-        shards = np.union1d(shard, home)  # only those that get anything
-        at, h_at = (np.append(np.searchsorted(x, shards), len(x)) for x in (shard, home))
-        out = []
-        for a, b, c, d in zip(at[:-1], at[1:], h_at[:-1], h_at[1:], strict=True):
-            there, per = np.unique(owner[a:b], return_counts=True)
-            extra = h_owner[c:d]
-            out.append(pack(marks[there], _narrow(sizes[there]), _narrow(per), low[a:b], marks[extra], _narrow(sizes[extra]), h_token[c:d]))
-        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(out, pa.binary())], names=["shard", "block"])
+        return _blocks(nodes, sizes, owner[~common], flat[~common], owner[common], mix(flat[common]), n_shards, per_group)
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
@@ -164,25 +171,56 @@ def _deal(s: Settings, n_shards: int, heavy):
     return run
 
 
+def _gathered(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """What several blocks hold: nodes, sizes, shingles of each, shingles; nodes, sizes and tokens of heavy shingles.
+
+    Copies bring the same node in several blocks, each with all that it has here; its first block counts.
+    """
+    nodes, per, flat = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
+    sizes, heavy = np.concatenate([p[1].astype(np.uint32) for p in parts]), [np.concatenate([p[k] for p in parts]) for k in (4, 5, 6)]
+    block = np.repeat(np.arange(len(parts)), [len(p[4]) for p in parts])
+    parts.clear()
+    first = np.unique(nodes, return_index=True)[1]
+    if len(first) < len(nodes):
+        own = np.zeros(len(nodes), bool)
+        own[first] = True
+        flat = flat[np.repeat(own, per)]
+        nodes, per, sizes = nodes[own], per[own], sizes[own]
+    _, first, at = np.unique(heavy[0], return_index=True, return_inverse=True)
+    return nodes, sizes, per, flat, *(x[block == block[first][at]] for x in heavy)
+
+
+def _regroup(s: Settings, n_shards: int):
+    """Second step of the scatter: the blocks of some groups, taken together up to a shard's size, to their shards."""
+
+    def dealt(parts):
+        nodes, sizes, per, flat, h_nodes, h_sizes, h_token = _gathered(parts)
+        every, at = np.unique(np.concatenate([nodes, h_nodes]), return_inverse=True)
+        size = np.zeros(len(every), np.int64)
+        size[at] = np.concatenate([sizes, h_sizes])
+        return _blocks(every, size, np.repeat(at[: len(nodes)], per), flat, at[len(nodes) :], h_token, n_shards, 1)
+
+    def run(batches):
+        held, size = defaultdict(list), 0  # by group: a node may be in several, with other shingles in each
+        for batch in batches:
+            for group, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = unpack(block.as_py())
+                held[group].append(part)
+                size += len(part[3]) + len(part[6])
+                if size >= s.shard_shingles:
+                    yield from map(dealt, held.values())
+                    held, size = defaultdict(list), 0
+        yield from map(dealt, held.values())
+
+    return run
+
+
 def _shared(n_shards: int, n_buckets: int):
     """In one shard: the shingles that occur in several nodes, with a class of frequency, on to the nodes' buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(b.as_py()) for b in table.column("block")]
         shard = table.column("shard")[0].as_py()
-        nodes, per, tokens = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
-        node_sizes, heavy = np.concatenate([p[1].astype(np.uint32) for p in parts]), [np.concatenate([p[k] for p in parts]) for k in (4, 5, 6)]
-        block = np.repeat(np.arange(len(parts)), [len(p[4]) for p in parts])
-        del parts
-        # copies bring the same node in several blocks; its first block counts
-        first = np.unique(nodes, return_index=True)[1]
-        if len(first) < len(nodes):
-            own = np.zeros(len(nodes), bool)
-            own[first] = True
-            tokens = tokens[np.repeat(own, per)]
-            nodes, per, node_sizes = nodes[own], per[own], node_sizes[own]
-        _, first, at = np.unique(heavy[0], return_index=True, return_inverse=True)
-        h_marks, h_sizes, h_tokens = (x[block == block[first][at]] for x in heavy)
+        nodes, node_sizes, per, tokens, h_marks, h_sizes, h_tokens = _gathered([unpack(b.as_py()) for b in table.column("block")])
         owner = np.repeat(np.arange(len(nodes), dtype=np.int32), per)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
@@ -208,7 +246,7 @@ def _shared(n_shards: int, n_buckets: int):
             rows = order[bounds[i] : bounds[i + 1]]
             m = marks[rows]
             first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-            out.append((int(i), pack(m[first], sizes[rows[first]], _narrow(np.diff(np.append(first, len(m)))), full[rows] if len(rows) and (full[rows] >> U64(32)).max() != (full[rows] >> U64(32)).min() else np.append((full[rows] & LOW32).astype(np.uint32), np.uint32(full[rows[0]] >> U64(32))), kind[rows])))
+            out.append((int(i), pack(m[first], sizes[rows[first]], narrow(np.diff(np.append(first, len(m)))), full[rows] if len(rows) and (full[rows] >> U64(32)).max() != (full[rows] >> U64(32)).min() else np.append((full[rows] & LOW32).astype(np.uint32), np.uint32(full[rows[0]] >> U64(32))), kind[rows])))
         return pa.table({"bucket": pa.array([i for i, _ in out], pa.int32()), "block": pa.array([b for _, b in out], pa.binary())})
 
     return run
@@ -348,7 +386,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     count = documents.count()
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy_shingles(described, count, s))
     n_shards = max(1, -(-text_bytes(docs, text) // (6 * s.shard_shingles)))
-    dealt = rows.select("text").mapInArrow(_deal(s, n_shards, heavy), "shard int, block binary")
+    per_group = group_size(n_shards, s.fan_out)
+    dealt = rows.select("text").mapInArrow(_deal(s, n_shards, per_group, heavy), "shard int, block binary")
+    if per_group > 1:
+        dealt = dealt.repartition(-(-n_shards // per_group), "shard").mapInArrow(_regroup(s, n_shards), "shard int, block binary")
     shared = dealt.groupBy("shard").applyInArrow(_shared(n_shards, n_shards), "bucket int, block binary")
     prefixes = materialize(shared.groupBy("bucket").applyInArrow(_prefixes(s), PREFIX), "join-prefixes")
     several = prefixes.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")

@@ -62,12 +62,12 @@ def _texts():
     return [*out, None, "", " \t\n", "the the the", "the the the", "never seen words", "a " * 3000]
 
 
-@pytest.mark.parametrize("shard_words", [4_000_000, 100])
-def test_scores(spark, shard_words):
+@pytest.mark.parametrize("shard_words, fan_out", [(4_000_000, 2048), (100, 2048), (20, 6)])
+def test_scores(spark, shard_words, fan_out):
     texts = _texts()
     docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
     train = [t for i, t in enumerate(texts) if i % 3]
-    model = kneser_ney.train(docs.where("doc_id % 3 <> 0"), shard_words=shard_words, chunk_words=500)
+    model = kneser_ney.train(docs.where("doc_id % 3 <> 0"), shard_words=shard_words, chunk_words=500, fan_out=fan_out)
     plain = Plain(train)
     got = {r["doc_id"]: r for r in kneser_ney.score(docs, model, {"doc_id": F.col("doc_id")}).collect()}
     assert len(got) == len(texts)

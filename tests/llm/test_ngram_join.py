@@ -48,10 +48,11 @@ def _rows(seed):
 
 
 TINY = ngram_join.Settings(shard_shingles=300, chunk_documents=9, heavy_documents=6)
+GROUPS = ngram_join.Settings(shard_shingles=300, chunk_documents=9, heavy_documents=6, fan_out=4)
 LONG = ngram_join.Settings(longest_extension=12, rounds=0, heavy_documents=4, chunk_documents=30)
 
 
-@pytest.mark.parametrize("settings", [None, TINY, LONG])
+@pytest.mark.parametrize("settings", [None, TINY, GROUPS, LONG])
 @pytest.mark.parametrize("seed", range(2))
 def test_all_pairs(spark, seed, settings):
     rows = _rows(seed)
@@ -75,7 +76,7 @@ def test_shingles_cut_to_one_token(spark, monkeypatch):
     settings = ngram_join.Settings()
     heavy = type("Sent", (), {"value": np.empty(0, np.uint64)})
     texts = pa.RecordBatch.from_arrays([pa.array(["a", "b"])], names=["text"])
-    dealt = pa.Table.from_batches(list(ngram_join._deal(settings, 1, heavy)([texts] * 2)))  # copies in two blocks
+    dealt = pa.Table.from_batches(list(ngram_join._deal(settings, 1, 1, heavy)([texts] * 2)))  # copies in two blocks
     found = ngram_join._prefixes(settings)(ngram_join._shared(1, 1)(dealt)).to_pylist()
     assert {r["id"]: r["shared"] for r in found} == {np.uint64(ngram_join.set_hash(x)).astype(np.int64): 8 for x in (few, many)}
     by_node = [{r["token"] for r in found if r["n"] == n} for n in (8, 10)]
@@ -86,7 +87,7 @@ def test_blocks_only_for_shards_that_get_anything():
     """Dealing costs the same whatever the number of shards."""
     heavy = type("Sent", (), {"value": np.empty(0, np.uint64)})
     texts = pa.RecordBatch.from_arrays([pa.array([f"one two three four five six {i}" for i in range(20)])], names=["text"])
-    (batch,) = ngram_join._deal(ngram_join.Settings(), 1_000_000_000, heavy)([texts])
+    (batch,) = ngram_join._deal(ngram_join.Settings(), 1_000_000_000, 1, heavy)([texts])
     assert 0 < batch.num_rows <= 22
 
 
