@@ -9,8 +9,8 @@ filter's largest response goes into a logistic unit.
 
 Training runs in small batches on a bounded sample of labelled rows. All labelled rows that are
 not trained on are scored and set a threshold for each language; scores are shifted so that 0.5
-is that threshold. The language is that which a language model, fitted to the training rows'
-languages, predicts from the text itself. Only counts of rows by language, label and bin of the
+is that threshold. The language is the likeliest by the words of the text itself, from word
+counts of training rows that name their language. Only counts of rows by language, label and bin of the
 logit reach the driver; they are weighted to the shares that both labels have among all labelled
 rows, so that a cut does not depend on how much was trained on, and each language's counts are
 joined by PRIOR_ROWS rows' worth of all languages, so that few rows of one decide little.
@@ -31,7 +31,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import langid
 from .common import U64, mix, small_batches, word_hashes
 from .sampling import fit_in_one_task, labelled_sample
 
@@ -70,6 +69,34 @@ def _padded(counts: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, ...]:
     return begin, at < np.repeat(np.maximum(counts, 1), room), *out
 
 
+@dataclass
+class WordLanguages:
+    """Log probabilities of hashed words in each language."""
+
+    names: tuple[str, ...]
+    weights: np.ndarray
+
+    @staticmethod
+    def fit(labels: list[str], texts: list[np.ndarray]) -> WordLanguages:
+        names = tuple(sorted(set(labels)))
+        counts = np.zeros((len(names), BUCKETS))
+        for label, words in zip(labels, texts, strict=True):
+            counts[names.index(label)] += np.bincount((words % U64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        return WordLanguages(names, np.log((counts + 0.1) / (counts.sum(1, keepdims=True) + 0.1 * BUCKETS)).astype(np.float32))
+
+    def of(self, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The likeliest language of each text; one more than there are where a text has no words."""
+        best, out = np.full(len(counts), -np.inf), np.full(len(counts), len(self.names))
+        some, bucket = counts > 0, (words % U64(BUCKETS)).astype(np.int32)
+        begin = (np.cumsum(counts) - counts)[some]
+        for i, weights in enumerate(self.weights if len(begin) else ()):
+            total = np.full(len(counts), -np.inf)
+            total[some] = np.add.reduceat(weights[bucket].astype(np.float64), begin)
+            better = total > best
+            best[better], out[better] = total[better], i
+        return out
+
+
 @dataclass
 class ToxicityModel:
     first: np.ndarray
@@ -81,19 +108,16 @@ class ToxicityModel:
     words: np.ndarray
     stems: np.ndarray
     fitted: bool = True
-    language: langid.LanguageModel | None = None
+    language: WordLanguages | None = None
     thresholds: np.ndarray | None = None
 
     @property
     def languages(self) -> tuple[str, ...]:
-        return (*(self.language.languages if self.language else ()), UNKNOWN)
+        return (*(self.language.names if self.language else ()), UNKNOWN)
 
-    def language_of(self, texts: pa.Array) -> np.ndarray:
+    def language_of(self, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Index into ``languages`` of each text."""
-        if not self.language or not self.language.languages:
-            return np.zeros(len(texts), np.int64)
-        number = {k: i for i, k in enumerate(self.languages)}
-        return np.array([number[self.language.predict(t)[0]] for t in texts.to_pylist()], np.int64)
+        return self.language.of(counts, words) if self.language else np.zeros(len(counts), np.int64)
 
     def responses(self, x: np.ndarray) -> list[np.ndarray]:
         """Filter responses at each position of a padded sequence of word vectors."""
@@ -126,9 +150,10 @@ class ToxicityModel:
         """Scores of whole texts."""
         if not self.fitted:
             return np.zeros(len(texts))
-        z = self.all_logits(*words_of(texts)).astype(np.float64)
+        counts, words, stems = words_of(texts)
+        z = self.all_logits(counts, words, stems).astype(np.float64)
         if self.thresholds is not None:
-            z -= self.thresholds[self.language_of(texts)]
+            z -= self.thresholds[self.language_of(counts, words)]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -255,12 +280,26 @@ def fit(texts: list[np.ndarray], stems: list[np.ndarray], labels: np.ndarray, le
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 5000, learn_rows: int = LEARN_ROWS) -> ToxicityModel:
+def _hashed(sample: DataFrame) -> DataFrame:
+    """(id, label, words, stems) of a sample's rows, packed."""
+
+    def run(batches):
+        for batch in batches:
+            counts, *flat = words_of(batch.column(2))
+            packed = [pa.array([w.tobytes() for w in np.split(f, np.cumsum(counts)[:-1])], pa.binary()) for f in flat]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], names=["id", "label", "words", "stems"])
+
+    kinds = {k: sample.schema[k].dataType.simpleString() for k in ("id", "label")}
+    rows = sample.select("id", "label", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kinds['id']}, label {kinds['label']}, words binary, stems binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 5000, learn_rows: int = LEARN_ROWS, per_language: int = 500) -> ToxicityModel:
     """Fit on a sample of labelled rows, and set the cuts by all labelled rows.
 
     The sample has at most ``per_label`` rows of either kind; of it, ``learn_rows`` toxic and twice
-    as many other rows set the weights. The languages are learned from rows of ``docs`` that name
-    one, whether labelled or not. Of repeated labels, the largest counts.
+    as many other rows set the weights. The languages are learned from at most ``per_language`` rows
+    of each that ``docs`` names, whether labelled or not. Of repeated labels, the largest counts.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("__label"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).join(marks, "__id")
@@ -268,12 +307,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     small_batches(docs.sparkSession)
     sample = labelled_sample(rows, F.col("__label"), per_label, "__id", "text")
 
-    def hashed(batches):
-        for batch in batches:
-            counts, *flat = words_of(batch.column(2))
-            packed = [pa.array([w.tobytes() for w in np.split(f, np.cumsum(counts)[:-1])], pa.binary()) for f in flat]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], names=["id", "label", "words", "stems"])
-
     def fitted(table: pa.Table) -> tuple[ToxicityModel, list]:
         words, stems = ([np.frombuffer(b, U64) for b in table.column(c).to_pylist()] for c in ("words", "stems"))
         own = table.column("label").to_numpy().astype(np.int64)
@@ -281,11 +314,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         return fit(words, stems, own, learn_rows), [i for i, h in zip(table.column("id").to_pylist(), held, strict=True) if not h]
 
     id_type = sample.schema["id"].dataType.simpleString()
-    rows = sample.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(hashed, f"id {id_type}, label int, words binary, stems binary")
+    rows = _hashed(sample.withColumn("label", F.col("label").cast("int")))
     model, learned = fit_in_one_task(rows, fitted) or (fit([], [], np.zeros(0, np.int64)), [])
     if model.fitted:
         if lang in docs.columns:
-            model.language = langid.train(docs, lang, id_col, text)
+            named = _hashed(labelled_sample(docs, F.col(lang).cast("string"), per_language, id_col, text, most_rows=20 * per_language))
+            model.language = fit_in_one_task(named, lambda t: WordLanguages.fit(t.column("label").to_pylist(), [np.frombuffer(b, U64) for b in t.column("words").to_pylist()]))
         learned = docs.sparkSession.createDataFrame([(i,) for i in learned], f"__id {id_type}")
         model.thresholds = thresholds(_counts(docs, marks, learned, model, id_col, text))
     return model
@@ -300,7 +334,8 @@ def _counts(docs: DataFrame, marks: DataFrame, learned: DataFrame, model: Toxici
 
     def place(batches):
         for batch in batches:
-            at = shared.value.language_of(batch.column(1)) * 2 * LIMIT * BIN + _bins(shared.value.all_logits(*words_of(batch.column(1)))) + LIMIT * BIN
+            counts, words, stems = words_of(batch.column(1))
+            at = shared.value.language_of(counts, words) * 2 * LIMIT * BIN + _bins(shared.value.all_logits(counts, words, stems)) + LIMIT * BIN
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32))], names=["__id", "at"])
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).where(F.col("__id").isNotNull())

@@ -154,8 +154,8 @@ def test_each_language_has_its_own_cut(spark):
     assert model.languages == ("a", "b", "und")
     cut = dict(zip(model.languages, model.thresholds, strict=True))
     assert cut["a"] != cut["b"]
-    texts = pa.array(["lorem ipsum dolor sit amet vile w1", "kaksi kolme nelja viisi kuusi vile w1"])
-    assert [model.languages[i] for i in model.language_of(texts)] == ["a", "b"]
+    counts, words, _ = toxicity.words_of(pa.array(["lorem ipsum dolor sit amet vile w1", None, "kaksi kolme nelja viisi kuusi vile w1", "..."]))
+    assert [model.languages[i] for i in model.language_of(counts, words)] == ["a", "und", "b", "und"]
 
 
 def test_cut_does_not_depend_on_the_caps(spark):
