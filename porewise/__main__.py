@@ -1,12 +1,14 @@
 """Command line: one command for each module, from text files to folders of text part files.
 
-Run with ``python -m porewise`` or ``spark-submit``; datasets of reports are written as one
-folder each, with tab-separated columns and a header.
+Run with ``python -m porewise`` or ``spark-submit``. An output with an extension is taken as it
+is; without one it is a folder, in which names come from the input. Datasets of reports are
+written as one folder each, with tab-separated columns and a header.
 """
 
 from __future__ import annotations
 
 import argparse
+import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,52 +45,68 @@ def _replicates(spark: SparkSession, paths: str) -> list[DataFrame]:
     return [_features(spark, p) for p in paths.split(",")]
 
 
+def stem(path: str) -> str:
+    return posixpath.splitext(posixpath.basename(path.rstrip("/")))[0]
+
+
+def outputs(inputs: list[str], out: str, suffix: str) -> list[str]:
+    """One path for each input: those given, if they have an extension, else in the folder ``out``, by the input's name."""
+    given = out.split(",")
+    if not any(posixpath.splitext(p)[1] for p in given):
+        return [f"{out.rstrip('/')}/{stem(p)}{suffix}" for p in inputs]
+    if len(given) != len(inputs):
+        raise ValueError(f"{len(given)} outputs for {len(inputs)} inputs")
+    return given
+
+
 def run_extractor(spark, a):
     reference, within = text.read_fasta(spark, a.ref), None
     if a.genomic_region:
         name = a.genomic_region.partition(":")[0]
-        lengths = {r["chr"]: r["length"] for r in reference.where(F.col("chr") == name).select("chr", "length").collect()}
+        lengths = {r["chr"]: r["length"] for r in text.sequence_lengths(reference).where(F.col("chr") == name).collect()}
         within = region(a.genomic_region, lengths)
     inputs = a.input.split(",")
-    for path in inputs:
+    for path, out in zip(inputs, outputs(inputs, a.output, "_extracted.tsv"), strict=True):
         rows = extractor.extract(text.read_pileup(spark, path), reference, a.num_reads, a.mean_quality, a.perc_deletion, a.mismatch_rate, a.mismatch_rate_alt, within, a.window_size, a.neighbour_thresh)
-        folder = a.output if len(inputs) == 1 else f"{a.output}/{path.rstrip('/').rpartition('/')[2]}"
-        text.write_features(rows, f"{folder}/features")
+        text.write_features(rows, out)
         if not a.no_summary:
-            _write(summary.summarise(_features(spark, f"{folder}/features")), f"{folder}/summary")
+            _write(summary.summarise(_features(spark, out)), posixpath.splitext(out)[0] + "_summary")
 
 
 def run_summary(spark, a):
-    _write(summary.summarise(_features(spark, a.input), a.n_bins, a.plot_alt), a.output)
+    (out,) = outputs([a.input], a.output, "_summary")
+    _write(summary.summarise(_features(spark, a.input), a.n_bins, a.plot_alt), out)
 
 
 def run_analyzepoi(spark, a):
     split = lambda s: s.split(",") if s else None
     features, intervals = _features(spark, a.input), text.read_bed(spark, a.bed)
-    found = poi.analyse(features, intervals, text.read_fasta(spark, a.ref), split(a.bed_categories), split(a.counterparts), a.use_mismatch_rate_alt)
-    for category, datasets in found.items():
-        _write(datasets, f"{a.output}/{category}")
+    wanted = split(a.bed_categories)
+    found = poi.analyse(features, intervals, text.read_fasta(spark, a.ref), wanted, split(a.counterparts), a.use_mismatch_rate_alt)
+    names = outputs(wanted, a.output, f"_{stem(a.input)}_summary")
+    for out, datasets in zip(names, found.values(), strict=True):
+        _write(datasets, out)
     if a.update_tsv:
-        text.write_annotated(bed.annotate(features, intervals), f"{a.output}/features")
+        text.write_annotated(bed.annotate(features, intervals), posixpath.splitext(a.input.rstrip("/"))[0] + "_w_bed_info.tsv")
 
 
 def run_twosample(spark, a):
     found = twosample.positions(_replicates(spark, a.sample1), _replicates(spark, a.sample2), a.basename1, a.basename2, a.error_feature, a.error_threshold, a.coverage_threshold)
     intervals = twosample.as_bed(found)
     for name in (f"{a.basename1}_{a.basename2}", f"{a.basename1}_excl", f"{a.basename2}_excl"):
-        text.write_bed(intervals.where(F.col("name") == name), f"{a.output}/{name}")
-    _write({"counts": twosample.count_table(found), "map": twosample.genome_map(found, text.read_fasta(spark, a.ref))}, a.output)
+        text.write_bed(intervals.where(F.col("name") == name), f"{a.output}/{name}.bed")
+    _write({"counts": twosample.count_table(found), "map": twosample.genome_map(found, text.read_fasta(spark, a.ref))}, f"{a.output}/{a.basename1}_{a.basename2}_summary")
 
 
 def run_possummary(spark, a):
     rows = possummary.cube(text.read_bed(spark, a.bed), _replicates(spark, a.sample1), _replicates(spark, a.sample2), a.basename1, a.basename2, a.n_surrounding)
-    _write({"positions": possummary.errors(possummary.composition(rows))}, a.output_dir)
+    _write({"positions": possummary.errors(possummary.composition(rows))}, f"{a.output_dir}/{a.basename1}_{a.basename2}_{stem(a.bed)}_summary")
 
 
 def run_filter(spark, a):
     sets = {k: text.read_bed(spark, p) for k, p in (("filter_bed", a.filter_bed), ("exclude_bed", a.exclude_bed)) if p}
     how = {k: getattr(a, k) for k in "site n_reads base mismatched mismatch_types mismatch_rate mismatch_rate_alt deletion_rate insertion_rate refskip_rate motif q_score".split()}
-    text.write_features(filtering.filter_features(_features(spark, a.input), chrom=a.chromosome, **sets, **how), a.output)
+    text.write_features(filtering.filter_features(_features(spark, a.input), chrom=a.chromosome, **sets, **how), *outputs([a.input], a.output, "_filtered.tsv"))
 
 
 def run_tsv2bed(spark, a):

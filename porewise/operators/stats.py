@@ -92,11 +92,15 @@ def _ways(n1: int, n2: int) -> tuple[int, ...]:
     return tuple(counts)
 
 
+#: The exact distribution is enumerated up to so many pairs of values; beyond, the normal one differs by less than rounding shows.
+EXACT_PAIRS = 100_000
+
+
 def mann_whitney_p(n1: int, n2: int, rank_sum: float, ties: int) -> float:
     """Two-sided; exact for small samples without ties, else normal with corrections for ties and continuity."""
     u1 = rank_sum - n1 * (n1 + 1) / 2
     u = max(u1, n1 * n2 - u1)
-    if min(n1, n2) <= 8 and ties == 0:
+    if min(n1, n2) <= 8 and ties == 0 and n1 * n2 <= EXACT_PAIRS:
         ways = _ways(n1, n2)
         return min(1.0, 2 * sum(ways[int(u) :]) / sum(ways))
     n = n1 + n2
