@@ -132,8 +132,8 @@ def rank_sums(rates: DataFrame, pairs: list[tuple[int, int]], stretches: int = 4
     begins = sums.select("metric", "pair", "stretch", F.coalesce(upto, F.lit(0)).alias("begin"))
     inside = F.sum("n").over(Window.partitionBy("metric", "pair", "stretch").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
     ranked = placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(begins, ["metric", "pair", "stretch"])
-    rank = F.col("begin") + F.col("inside") + (F.col("n") + 1) / 2
-    return ranked.groupBy("metric", "pair").agg(F.sum(F.col("first") * rank).alias("rank_sum"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
+    rank, n = F.col("begin") + F.col("inside") + (F.col("n") + 1) / 2, F.col("n").cast("double")  # cubes exceed a long
+    return ranked.groupBy("metric", "pair").agg(F.sum(F.col("first") * rank).alias("rank_sum"), F.sum(n * n * n - n).alias("ties"))
 
 
 def compare_groups(rates: DataFrame, with_counterpart: bool, alpha: float = 0.05) -> DataFrame:

@@ -56,8 +56,8 @@ def pileup_decode(spark, sf_dir):
       from (select l_linenumber, l_quantity::bigint as a, l_linenumber::bigint as b from lineitem)) group by chr"""
 )
 def pileup_quality(spark, sf_dir):
-    """Without reference skips, qualities are all kept."""
-    rows = extractor.decode(ad.pileup(spark, sf_dir).withColumn("bases", F.lit("")))
+    """The skips of these rows lie behind the last quality, so all qualities are kept."""
+    rows = extractor.decode(ad.pileup(spark, sf_dir))
     return rows.groupBy("chr").agg(F.count("*").alias("n_rows"), F.round(F.avg("q_mean"), 9).alias("q_mean"), F.round(F.avg("q_std"), 9).alias("q_std"))
 
 
@@ -339,14 +339,19 @@ def poi_neighbours(spark, sf_dir):
     return poi.neighbour_counts(found.where(F.col("bed_name") == CATEGORY))
 
 
+_VALUES = f"""v as ({' union all '.join(f"select grp, '{m}' as metric, {m} as value from grouped" for m in poi.METRICS)}),
+      pairs as (select * from (values (0, 0, 1), (1, 2, 3), (2, 0, 2), (3, 1, 3)) p(pair, a, b)),
+      r as (select metric, pair, a, grp, value, rank() over (partition by metric, pair order by value) + (count(*) over (partition by metric, pair, value) - 1) / 2.0 as rk from v join pairs on grp in (a, b))"""
+
+
 @_query(
-    f"""x as (select 1), {_GROUPED}, v as (select grp, mismatch_rate as value from grouped where grp in (0, 1)), r as (
-      select *, rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0 as rk from v)
-      select 'mismatch_rate' as metric, 0 as pair, sum(case when grp = 0 then rk end)::double as rank_sum, (select sum(c * c * c - c)::bigint from (select count(*)::bigint as c from v group by value)) as ties from r"""
+    f"""x as (select 1), {_GROUPED}, {_VALUES}, s as (select metric, pair, sum(case when grp = a then rk end)::double as rank_sum from r group by metric, pair),
+      t as (select metric, pair, sum(n * n * n - n) as ties from (select metric, pair, value, count(*)::double as n from r group by all) group by metric, pair)
+      select metric, pair, rank_sum, ties from s join t using (metric, pair)"""
 )
 def poi_rank_sums(spark, sf_dir):
-    rates = poi.error_rates(poi.groups(_annotated(spark, sf_dir), CATEGORY, COUNTERPART)).where("metric = 'mismatch_rate'")
-    return stats.rank_sums(rates, [(0, 1)])
+    rates = poi.error_rates(poi.groups(_annotated(spark, sf_dir), CATEGORY, COUNTERPART))
+    return stats.rank_sums(materialize(rates, "poi-rates"), [(0, 1), (2, 3), (0, 2), (1, 3)])
 
 
 #: The complementary error function by Simpson's rule for small and by Craig's integral for large arguments.
@@ -358,7 +363,7 @@ _B2 = "(3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n
 
 
 @_query(
-    f"""x as (select 1), {_GROUPED}, v as ({' union all '.join(f"select grp, '{m}' as metric, {m} as value from grouped" for m in poi.METRICS)}),
+    f"""x as (select 1), {_GROUPED}, {_VALUES},
       c as (select *, avg(value) over (partition by metric, grp) as mu from v),
       m as (select metric, grp, count(*)::double as n, avg(value) as mean, var_samp(value) as s2, avg((value - mu) ** 2) as m2, avg((value - mu) ** 3) as m3, avg((value - mu) ** 4) as m4 from c group by metric, grp),
       g as (select *, m3 / m2 ** 1.5 as g1, m4 / m2 ** 2 as kurt from m where n >= 8 and m2 > 0),
@@ -367,8 +372,6 @@ _B2 = "(3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n
               6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) as kb from g),
       z as (select *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) as zs, 6 + 8 / kb * (2 / kb + sqrt(1 + 4 / (kb * kb))) as ka from w),
       k as (select metric, grp, exp(-(zs ** 2 + ((1 - 2 / (9 * ka) - sign(1 + kx * sqrt(2 / (ka - 4))) * pow((1 - 2 / ka) / abs(1 + kx * sqrt(2 / (ka - 4))), 1 / 3.0)) / sqrt(2 / (9 * ka))) ** 2) / 2) >= 0.05 as normal from z),
-      pairs as (select * from (values (0, 0, 1), (1, 2, 3), (2, 0, 2), (3, 1, 3)) p(pair, a, b)),
-      r as (select metric, pair, a, grp, value, rank() over (partition by metric, pair order by value) + (count(*) over (partition by metric, pair, value) - 1) / 2.0 as rk from v join pairs on grp in (a, b)),
       rs as (select metric, pair, sum(case when grp = a then rk end) as s from r group by metric, pair),
       ti as (select metric, pair, sum(n * n * n - n) as t from (select metric, pair, value, count(*)::double as n from r group by all) group by metric, pair),
       j as (select x.metric, a, b, x.n as n1, y.n as n2, s - x.n * (x.n + 1) / 2 as u1, t, coalesce(kx.normal and ky.normal, false) as normal, x.s2 as v1, y.s2 as v2
