@@ -89,3 +89,19 @@ def test_repeated_and_null_ids(spark, small):
     want = [(7, "a"), (None, "b"), (3, "c"), (9, "d"), (5, "e"), (None, "f"), (4, None), (4, None), (8, "g"), (8, "h")]
     assert got.columns == docs.columns
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((i, k and text(k)) for i, k in want)
+
+
+def test_empty_table_and_odd_rows(spark, small, tmp_path):
+    """No documents, and documents with nulls in any column and clashing columns, pass all stages."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name, rows in (("empty", docs.where("false")), ("odd", docs.limit(20).selectExpr("*", "'x' as __row", "'y' as mark").unionByName(spark.range(6).selectExpr("cast(null as long) as doc_id", "case when id > 2 then concat('same words here for all of us ', cast(id % 2 as string)) end as text", "cast(null as string) as lang", "cast(null as string) as source", "cast(null as long) as n_chars", "cast(null as string) as __row", "'z' as mark")))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{small}/labels.parquet").unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int"), allowMissingColumns=True).write.parquet(f"{folder}/labels.parquet")
+        spark.read.parquet(f"{small}/benchmark.parquet").unionByName(spark.createDataFrame([(None, None)], "item_id long, text string"), allowMissingColumns=True).write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == [*rows.columns, "shard", "slot"]
+        got = out.collect()
+        assert bool(got) == (name == "odd")
+        if got:
+            assert {r["text"] for r in got if r["doc_id"] is None} <= {"same words here for all of us 0", "same words here for all of us 1"}
