@@ -126,16 +126,19 @@ def text_pileup(spark, sf_dir):
     return text.read_pileup(spark, _written(rows.select(line.alias("value")), "text-pileup"))
 
 
-@query("select chr, start, \"end\", case when o_custkey % 4 <> 1 then name end as name, case when o_custkey % 4 > 1 then concat(name, ',', o_custkey) when o_custkey % 4 = 0 then name else '' end as extras from bed")
+@query("select chr, start, \"end\", case when o_custkey % 4 <> 1 then name end as name, case when o_custkey % 4 > 1 then concat(name, ',', o_custkey) when o_custkey % 4 = 0 then name else '' end as extras, (o_custkey % 2)::int as file from bed")
 def text_bed(spark, sf_dir):
-    """Interval lines of three, four and more fields through a file; a line with two fields goes."""
+    """Interval lines of three, four and more fields through two files; a line with two fields goes."""
     rows = ad.intervals(spark, sf_dir)
     fields = ["chr", F.col("start").cast("string"), F.col("end").cast("string"), "name", F.col("o_custkey").cast("string")]
     kind = F.col("o_custkey") % 4
     line = F.when(kind == 1, F.concat_ws("\t", *fields[:3])).when(kind == 0, F.concat_ws("\t", *fields[:4])).otherwise(F.concat_ws("\t", *fields))
-    lines = rows.select(line.alias("value")).union(rows.select(F.concat_ws("\t", "chr", F.col("start").cast("string"))))
-    found = text.read_bed(spark, _written(lines, "text-bed"))
-    return found.select("chr", "start", "end", "name", F.array_join("extras", ",").alias("extras"))
+    short = F.concat_ws("\t", "chr", F.col("start").cast("string"))
+    paths = []
+    for i in (0, 1):
+        own = rows.where(F.col("o_custkey") % 2 == i)
+        paths.append(_written(own.select(line.alias("value")).union(own.select(short)), "text-bed"))
+    return text.read_bed(spark, paths).select("chr", "start", "end", "name", F.array_join("extras", ",").alias("extras"), "file")
 
 
 _PLAIN = [c for c in COLUMNS if c not in ("q_std", "neighbour_error_pos") and not c.endswith(("_rate", "_alt"))]
