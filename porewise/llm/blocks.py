@@ -10,7 +10,7 @@ import zstandard
 from .common import U64
 
 #: To so many shards or groups of shards does a task deal its chunks at once.
-FAN_OUT = 2048
+FAN_OUT = 4096
 
 
 def pack(*arrays: np.ndarray) -> bytes:
