@@ -88,8 +88,8 @@ def rate_columns() -> dict[str, Column]:
     }
 
 
-def quality(core: Column, qualities: Column, newline_counts: bool = False) -> Column:
-    """Struct (mean, std) of the phred scores, without those at the places of reference skips; -1 for none.
+def kept_scores(core: Column, qualities: Column, newline_counts: bool = False) -> Column:
+    """The phred scores as an array, without those at the places of reference skips.
 
     Places are counted with deletion marks removed and read-end marks kept. ``newline_counts``
     adds the line's end as one more score.
@@ -99,13 +99,13 @@ def quality(core: Column, qualities: Column, newline_counts: bool = False) -> Co
     # both texts are walked side by side; where the marks are longer, nothing is left to keep
     kept = F.zip_with(F.split(text, ""), F.split(marks, ""), lambda c, m: F.when(m.isin("<", ">"), "").otherwise(c))
     text = F.when(marks.rlike("[<>]"), F.array_join(kept, "")).otherwise(text)
-    return _mean_and_std(F.transform(F.split(text, ""), lambda c: (F.ascii(c) - 33).cast("long")), F.length(text))
+    return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.ascii(c) - 33)).otherwise(F.array().cast("array<int>"))
 
 
-def _mean_and_std(scores: Column, n: Column) -> Column:
-    """Of an array of ``n`` numbers; what it holds does not matter if ``n`` is 0."""
-    zero = F.lit(0).cast("long")
+def mean_and_std(scores: Column) -> dict[str, Column]:
+    """Mean and population deviation of an array of numbers; -1 if it is empty. Exact sums, so no second pass is needed."""
+    n, zero = F.size(scores), F.lit(0).cast("long")
     total = F.aggregate(scores, zero, lambda a, v: a + v)
     squares = F.aggregate(scores, zero, lambda a, v: a + v * v)
     std = F.try_divide(F.sqrt((n * squares - total * total).cast("double")), n)
-    return F.struct(F.coalesce(F.try_divide(total.cast("double"), n), F.lit(-1.0)).alias("mean"), F.coalesce(std, F.lit(-1.0)).alias("std"))
+    return {"q_mean": F.coalesce(F.try_divide(total.cast("double"), n), F.lit(-1.0)), "q_std": F.coalesce(std, F.lit(-1.0))}

@@ -10,17 +10,18 @@ from ..schema import COLUMNS
 from ..sources.text import reference_chunks, sequence_lengths
 from .neighbours import with_neighbour_errors
 
-CHUNK, HALO = 1 << 14, 2
+#: Bases of a piece of the reference, few since a text is walked from its start to cut a motif out; and what it holds beyond.
+CHUNK, HALO = 1 << 9, 2
 
 
 def decode(rows: DataFrame, compat: bool = False) -> DataFrame:
     """Counts, rates, majority base and quality of pileup rows (chr, site, ref_base, n_reads, bases, qualities)."""
     rows = rows.withColumn("__x", pileup.without_starts(F.coalesce("bases", F.lit("")))).withColumn("__core", pileup.without_indels(F.col("__x")))
     rows = rows.withColumns(pileup.base_counts(F.col("__x"), F.col("__core"), F.col("ref_base")))
-    plain = pileup.quality(F.col("__core"), F.col("qualities"))
-    score = F.when(F.col("ends_with_qualities"), pileup.quality(F.col("__core"), F.col("qualities"), True)).otherwise(plain) if compat else plain
-    rows = rows.withColumns(pileup.rate_columns()).withColumn("__q", score)
-    return rows.withColumn("q_mean", F.col("__q.mean")).withColumn("q_std", F.col("__q.std")).drop("__x", "__core", "__q", "bases", "qualities", "ends_with_qualities")
+    plain = pileup.kept_scores(F.col("__core"), F.col("qualities"))
+    scores = F.when(F.col("ends_with_qualities"), pileup.kept_scores(F.col("__core"), F.col("qualities"), True)).otherwise(plain) if compat else plain
+    rows = rows.withColumns(pileup.rate_columns()).withColumn("__scores", scores).withColumns(pileup.mean_and_std(F.col("__scores")))
+    return rows.drop("__x", "__core", "__scores", "bases", "qualities", "ends_with_qualities")
 
 
 def with_motif(rows: DataFrame, reference: DataFrame, most_broadcast: int = 64 << 20) -> DataFrame:

@@ -25,22 +25,38 @@ _BASES = (
 _REFERENCE = "ACGTN"
 
 
+#: One line item stands for each site: the largest by this key, which tells all that the text is made of.
+_KEY = (
+    "cast(l_quantity as bigint) * 1000000 + cast(round(l_discount * 100) as bigint) * 10000 + cast(round(l_tax * 100) as bigint) * 100 "
+    "+ case when l_returnflag = 'R' then 10 else 0 end + case when l_linestatus = 'O' then 1 else 0 end"
+)
+_QUALITIES = "concat(repeat('I', cast(l_quantity as int)), repeat('5', cast(l_linenumber as int)), repeat('#', cast(round(l_tax * 100) as int)), 'A+')"
+
+
+def _of_key(integer_division: str) -> str:
+    """The fields of the key again, with the engine's sign of integer division."""
+    part = lambda low, size: f"((k {integer_division} {low}) % {size})"
+    return f"{part(10**6, 10**6)} as l_quantity, {part(10**4, 100)} / 100.0 as l_discount, {part(100, 100)} / 100.0 as l_tax, case when {part(10, 10)} = 1 then 'R' else 'A' end as l_returnflag, case when {part(1, 10)} = 1 then 'O' else 'F' end as l_linestatus"
+
+
 def _pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each site."""
-    rows = ad.table(spark, sf_dir, "lineitem").select(
+    lines = ad.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.expr(f"max({_KEY})").alias("k"))
+    lines = lines.selectExpr("l_orderkey", "l_linenumber", *_of_key("div").split(", "))
+    return lines.select(
         F.expr("concat('chr', cast(l_linenumber as string))").alias("chr"),
         F.col("l_orderkey").alias("site"),
         F.expr(ad.REF_BASE).alias("ref_base"),
         (F.expr("cast(l_quantity as int)") + F.col("l_linenumber")).alias("n_reads"),
         F.expr(_BASES).alias("bases"),
-        F.expr("concat(repeat('I', cast(l_quantity as int)), repeat('5', l_linenumber), repeat('#', cast(round(l_tax * 100) as int)), 'A+')").alias("qualities"),
+        F.expr(_QUALITIES).alias("qualities"),
     )
-    return rows.groupBy("chr", "site").agg(F.max(F.struct("bases", "n_reads", "qualities", "ref_base")).alias("r")).select("chr", "site", "r.ref_base", "r.n_reads", "r.bases", "r.qualities")
 
 
-def _reference(rows: DataFrame) -> DataFrame:
-    length = F.expr(f"(max(site) div {len(_REFERENCE)} + 1) * {len(_REFERENCE)}").cast("int").alias("length")
-    return rows.groupBy("chr").agg(length).select("chr", F.expr(f"repeat('{_REFERENCE}', cast(length div {len(_REFERENCE)} as int))").alias("seq"), "length")
+def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeating sequence for each chromosome, a little longer than its last site."""
+    lines = ad.table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.expr(f"max(l_orderkey) div {len(_REFERENCE)} + 1").alias("times"))
+    return lines.select(F.expr("concat('chr', cast(l_linenumber as string))").alias("chr"), F.expr(f"repeat('{_REFERENCE}', cast(times as int))").alias("seq"), F.expr(f"cast(times * {len(_REFERENCE)} as int)").alias("length"))
 
 
 _RATE = lambda n, total: f"(case when {total} = 0 then 0.0 else {n}::double / {total} end)"
@@ -56,9 +72,8 @@ def _extract_sql(early: str, late: str, k: int = 2, threshold: float = 0.5) -> s
     rounded = {"a_rate", "c_rate", "g_rate", "u_rate", "deletion_rate", "insertion_rate", "refskip_rate", "mismatch_rate", "mismatch_rate_alt", "q_mean", "q_std"}
     out = ", ".join(f"round({c}, 9) as {c}" if c in rounded else c for c in COLUMNS if c != "neighbour_error_pos")
     return f"""x as (select 1),
-     p as (select * from (select concat('chr', cast(l_linenumber as varchar(4))) as chr, l_orderkey as site, {ad.REF_BASE} as ref_base, (cast(l_quantity as int) + l_linenumber)::int as n_reads, {_BASES} as bases,
-             concat(repeat('I', cast(l_quantity as int)), repeat('5', l_linenumber), repeat('#', cast(round(l_tax * 100) as int)), 'A+') as q from lineitem)
-           qualify row_number() over (partition by chr, site order by bases desc, n_reads desc, q desc) = 1),
+     p as (select concat('chr', cast(l_linenumber as varchar(4))) as chr, l_orderkey as site, {ad.REF_BASE} as ref_base, (cast(l_quantity as int) + l_linenumber)::int as n_reads, {_BASES} as bases, {_QUALITIES} as q
+           from (select l_orderkey, l_linenumber, {_of_key('//')} from (select l_orderkey, l_linenumber, max({_KEY}) as k from lineitem group by all))),
      l as (select chr, (max(site) // 5 + 1) * 5 as length from p group by chr),
      d as (select *, regexp_replace(lower(bases), '\\^.', '', 'g') as x from p join l using (chr) where {early}),
      c as (select *, array_to_string(list_transform(string_split(regexp_replace(x, '([+-][0-9])', chr(1) || '\\1', 'g'), chr(1)), lambda c:
@@ -84,21 +99,21 @@ def _shown(features: DataFrame) -> DataFrame:
 def extract_features(spark, sf_dir):
     """The whole extractor, against a repeating reference."""
     rows = _pileup(spark, sf_dir)
-    return _shown(extractor.extract(rows, _reference(rows), num_reads=2, mismatch_rate=0.0))
+    return _shown(extractor.extract(rows, _reference(spark, sf_dir), num_reads=2, mismatch_rate=0.0))
 
 
 @query(_extract_sql("n_reads >= 20", "q_mean >= 30 and deletion_rate >= 0.02 and mismatch_rate >= 0.1 and mismatch_rate_alt >= 0.15", 3, 0.3))
 def extract_thresholds(spark, sf_dir):
     """All thresholds at once, a wider window and a lower bound for neighbours."""
     rows = _pileup(spark, sf_dir)
-    return _shown(extractor.extract(rows, _reference(rows), 20, 30, 0.02, 0.1, 0.15, window_size=3, neighbour_thresh=0.3))
+    return _shown(extractor.extract(rows, _reference(spark, sf_dir), 20, 30, 0.02, 0.1, 0.15, window_size=3, neighbour_thresh=0.3))
 
 
 @query(_extract_sql("chr = 'chr3' and site between 100 and 1200", "true"))
 def extract_region(spark, sf_dir):
     """One region of one chromosome, given as text."""
     rows = _pileup(spark, sf_dir)
-    return _shown(extractor.extract(rows, _reference(rows), region=region("chr3:100-1,200", {"chr3": 1_200})))
+    return _shown(extractor.extract(rows, _reference(spark, sf_dir), region=region("chr3:100-1,200", {"chr3": 1_200})))
 
 
 # ------------------------------------------------------------------ text files
