@@ -44,7 +44,10 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> objec
 
     def run(batches):
         if held := list(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(held)))], pa.binary())], names=["fitted"])
+            fitted = pickle.dumps(fit(pa.Table.from_batches(held)))
+            del held
+            pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+            yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], names=["fitted"])
 
     row = rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, "fitted binary").first()
     return pickle.loads(row["fitted"]) if row else None

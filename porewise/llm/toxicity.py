@@ -294,7 +294,12 @@ def _hashed(sample: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kinds['id']}, label {kinds['label']}, words binary, stems binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 5000, learn_rows: int = LEARN_ROWS, per_language: int = 500) -> ToxicityModel:
+def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The hashes of each text, without a copy."""
+    return [np.frombuffer(x.as_buffer(), U64) for x in column]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 3000, learn_rows: int = LEARN_ROWS, per_language: int = 500) -> ToxicityModel:
     """Fit on a sample of labelled rows, and set the cuts by all labelled rows.
 
     The sample has at most ``per_label`` rows of either kind; of it, ``learn_rows`` toxic and twice
@@ -308,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     sample = labelled_sample(rows, F.col("__label"), per_label, "__id", "text")
 
     def fitted(table: pa.Table) -> tuple[ToxicityModel, list]:
-        words, stems = ([np.frombuffer(b, U64) for b in table.column(c).to_pylist()] for c in ("words", "stems"))
+        words, stems = (_unpacked(table.column(c)) for c in ("words", "stems"))
         own = table.column("label").to_numpy().astype(np.int64)
         held = _held_out(own, {0: 2 * learn_rows, 1: learn_rows})
         return fit(words, stems, own, learn_rows), [i for i, h in zip(table.column("id").to_pylist(), held, strict=True) if not h]
@@ -319,7 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     if model.fitted:
         if lang in docs.columns:
             named = _hashed(labelled_sample(docs, F.col(lang).cast("string"), per_language, id_col, text, most_rows=20 * per_language))
-            model.language = fit_in_one_task(named, lambda t: WordLanguages.fit(t.column("label").to_pylist(), [np.frombuffer(b, U64) for b in t.column("words").to_pylist()]))
+            model.language = fit_in_one_task(named, lambda t: WordLanguages.fit(t.column("label").to_pylist(), _unpacked(t.column("words"))))
         learned = docs.sparkSession.createDataFrame([(i,) for i in learned], f"__id {id_type}")
         model.thresholds = thresholds(_counts(docs, marks, learned, model, id_col, text))
     return model
