@@ -234,6 +234,21 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     return paths.repartition(min(max(1, paths.count()), 20_000)).mapInArrow(run, schema)
 
 
+def with_payloads(records: DataFrame) -> DataFrame:
+    """The records with each revisit's payload, taken from the response that it refers to.
+
+    A revisit whose response is not among the records, or has another digest, keeps a null payload.
+    Only identifiers and digests of revisits meet the responses they name, and responses that none
+    names are not joined at all; many revisits of one response are left to Spark's skew handling.
+    """
+    revisits = records.where("record_type = 'revisit'")
+    responses = records.where("record_type = 'response'").join(revisits.select(F.col("refers_to").alias("id")).distinct(), "id", "left_semi")
+    # of responses with one identifier, one stands for all with its digest
+    named = responses.groupBy(F.col("id").alias("refers_to"), "payload_digest").agg(F.first("payload").alias("__payload"))
+    found = revisits.drop("payload").join(named, ["refers_to", "payload_digest"], "left").withColumnRenamed("__payload", "payload")
+    return records.where("record_type = 'response'").unionByName(found.select(*records.columns))
+
+
 def fetch(manifest: DataFrame, ids: DataFrame) -> DataFrame:
     """Only the records whose identifier is in ``ids`` (column ``id``), each by reading one frame."""
 

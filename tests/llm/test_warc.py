@@ -34,6 +34,19 @@ def test_round_trip(spark, tmp_path):
         assert r["payload"] == (None if want else raw)
 
 
+def test_revisits_get_the_payload_of_their_response(spark, tmp_path):
+    records = warc.read_bundles(_write(spark, tmp_path))
+    got = warc.with_payloads(records)
+    assert got.columns == records.columns
+    rows = got.collect()
+    assert len(rows) == len(ROWS) and sum(r["record_type"] == "revisit" for r in rows) == 4
+    for r in rows:
+        assert len(r["payload"]) == r["payload_bytes"]
+        assert base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() == r["payload_digest"]
+    lost = warc.with_payloads(records.where("record_type = 'revisit'")).collect()
+    assert len(lost) == 4 and all(r["payload"] is None for r in lost)
+
+
 def test_small_payloads_are_not_compared(spark, tmp_path):
     got = warc.read_bundles(_write(spark, tmp_path, min_bytes=4)).collect()
     assert {r["record_type"] for r in got} == {"response"}
