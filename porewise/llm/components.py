@@ -68,11 +68,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, edges_at_once:
 
     Each task first reduces its own edges to a forest, ``edges_at_once`` at a time, which leaves
     few rounds of stars. Hot nodes are aggregated before the shuffle, and their joins are left to
-    Spark's skew handling. Self-loops and repeated edges do no harm; nulls are not allowed; an
-    empty table gives an empty result.
+    Spark's skew handling. Self-loops and repeated edges do no harm; an edge with a null end links
+    nothing and names no node; an empty table gives an empty result.
     """
     forest = _forest(edges_at_once)
-    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    ends = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = materialize(ends.mapInArrow(forest, EDGE), "components")
     for _ in range(most_rounds):
         if _all_stars(now):

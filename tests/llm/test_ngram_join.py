@@ -116,7 +116,8 @@ def test_query(spark, small):
 def test_components(spark):
     random.seed(5)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(500, 600)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5)]
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    loose = [(None, 1), (2, None), (None, None)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges + loose, "a long, b long")).collect()}
     root = components(1300, edges)
     assert got == {i: root[i] for i in {x for e in edges if e[0] != e[1] for x in e}}
 
