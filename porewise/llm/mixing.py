@@ -57,14 +57,15 @@ def _border(rows: DataFrame, cut: DataFrame, digits: int | None, hint) -> DataFr
     return sums.withColumn("upto", upto).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest"))).select("key", "rest", (F.col("upto") - F.col("words")).alias("before"), F.col("part").alias("border"), "words")
 
 
-def _plan(docs: DataFrame, id_col: str, text: str, source: str, weights: tuple[float, ...], share: float, max_epochs: int, seed: int, most_broadcast: int) -> tuple[DataFrame, dict[str, Column], Column, bool]:
-    """Each source's target and border (a table by ``key``), and how a row of ``docs`` that is joined with it is taken.
+def _plan(docs: DataFrame, id_col: str, text: str, source: str, weights: tuple[float, ...], share: float, max_epochs: int, seed: int, most_broadcast: int) -> tuple[DataFrame, DataFrame, dict[str, Column], Column]:
+    """Each source's target and border (a table by ``key``), and how rows that are joined with it are taken.
 
-    The second value has the columns of a row (key, source, size, h) before the join, the third the words taken after it.
+    The second value has a row (id, key, source, size, h) for each document, the third these columns
+    but the first for rows of ``docs``; the fourth is the words taken, after the join.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     own = {"key": key, "source": F.col(source).cast("string"), "size": word_count(F.col(text)), "h": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))}
-    rows = materialize(docs.select(*(c.alias(k) for k, c in own.items())), "mix-sizes")
+    rows = materialize(docs.select(F.col(id_col).alias("id"), *(c.alias(k) for k, c in own.items())), "mix-sizes")
     sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     plan = materialize(water_fill(sources, weights, share, max_epochs), "mix-targets")
     small = plan.count() <= most_broadcast
@@ -76,7 +77,7 @@ def _plan(docs: DataFrame, id_col: str, text: str, source: str, weights: tuple[f
         cut = materialize(_border(rows, cut, digits, hint), "mix-border")
     plan = plan.join(hint(cut.select("key", "before", "border", "words")), "key", "left")
     part = F.when(F.col("h") < F.col("border"), F.col("size")).when(F.col("h") == F.col("border"), F.floor(F.col("size") * (F.col("rest") - F.col("before")) / F.col("words"))).otherwise(0)
-    return plan, own, (F.col("whole") * F.col("size") + F.coalesce(part, F.lit(0))).cast("long"), small
+    return hint(plan), rows, own, (F.col("whole") * F.col("size") + F.coalesce(part, F.lit(0))).cast("long")
 
 
 HOW = {"id_col": "doc_id", "text": "text", "source": "source", "weights": (5, 2, 1), "share": 1.0, "max_epochs": 3, "seed": 11, "most_broadcast": 100_000}
@@ -84,10 +85,8 @@ HOW = {"id_col": "doc_id", "text": "text", "source": "source", "weights": (5, 2,
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """(id, source, size, source_size, target, taken) of every document; ``taken`` counts repetitions; ``how`` as in HOW."""
-    how = HOW | how
-    plan, own, taken, small = _plan(docs, **how)
-    rows = docs.select(F.col(how["id_col"]).alias("id"), *(c.alias(k) for k, c in own.items()))
-    return rows.join(F.broadcast(plan) if small else plan, "key").select("id", "source", "size", "source_size", "target", taken.alias("taken"))
+    plan, rows, _, taken = _plan(docs, **(HOW | how))
+    return rows.join(plan, "key").select("id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
@@ -95,8 +94,8 @@ def repeated(docs: DataFrame, **how) -> DataFrame:
 
     Columns of ``docs`` only. Each row is taken by its own identifier, source and size, whatever other rows there are.
     """
-    plan, own, taken, small = _plan(docs, **(HOW | how))
+    plan, _, own, taken = _plan(docs, **(HOW | how))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in own.items()))
     times = F.when(F.col("size") > 0, F.round(taken / F.col("size"))).otherwise(0).cast("int").alias("times")
-    found = rows.join(F.broadcast(plan) if small else plan, "key").select("row", times).where("times > 0")
+    found = rows.join(plan, "key").select("row", times).where("times > 0")
     return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
