@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from urllib.parse import urlparse
 
@@ -40,6 +41,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def give_back_memory() -> None:
+    """Return what is freed to the system: workers are reused by later tasks, which would otherwise add to what they keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of a whole text column, by one native aggregate."""
     return int(df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import FAN_OUT, group_size, narrow, pack, shard_of, unpack
-from .common import U64, gram_hashes, materialize, mix, small_batches, text_bytes, word_hashes
+from .common import U64, give_back_memory, gram_hashes, materialize, mix, small_batches, text_bytes, word_hashes
 from .components import connected_components
 
 LOW32 = U64(0xFFFFFFFF)
@@ -104,8 +104,11 @@ def _describe(s: Settings):
             if len(held) >= s.chunk_documents:
                 yield heavy(held)
                 held = []
+                give_back_memory()
         if held:
             yield heavy(held)
+            held = []
+        give_back_memory()
 
     return run
 
@@ -132,9 +135,10 @@ def _blocks(nodes: np.ndarray, sizes: np.ndarray, owner: np.ndarray, flat: np.nd
     """
     shard, home = (shard_of(x, n_shards) // per_group for x in (flat, mix(nodes[h_owner])))
     order, h_order = np.argsort(shard, kind="stable"), np.argsort(home, kind="stable")
+    flat = flat if per_group > 1 else (flat & LOW32).astype(np.uint32)
     owner, flat, shard = owner[order], flat[order], shard[order]
     h_owner, h_token, home = h_owner[h_order], h_token[h_order], home[h_order]
-    flat = flat if per_group > 1 else (flat & LOW32).astype(np.uint32)
+    del order
     shards = np.union1d(shard, home)
     at, h_at = (np.append(np.searchsorted(x, shards), len(x)) for x in (shard, home))
     out = []
@@ -152,9 +156,15 @@ def _deal(s: Settings, n_shards: int, per_group: int, heavy):
     def blocks(held: dict[int, np.ndarray]):
         nodes = np.fromiter(held, U64, len(held))
         sizes = np.array([len(x) for x in held.values()], np.int64)
-        owner, flat = np.repeat(np.arange(len(nodes)), sizes), np.concatenate(list(held.values()))
+        owner, flat = np.repeat(np.arange(len(nodes), dtype=np.int32), sizes), np.concatenate(list(held.values()))
+        held.clear()
         common = _member(heavy.value, flat)
-        return _blocks(nodes, sizes, owner[~common], flat[~common], owner[common], mix(flat[common]), n_shards, per_group)
+        h_owner, h_token = owner[common], mix(flat[common])
+        if len(h_owner):
+            np.logical_not(common, out=common)
+            owner, flat = owner[common], flat[common]
+        del common
+        return _blocks(nodes, sizes, owner, flat, h_owner, h_token, n_shards, per_group)
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
@@ -164,9 +174,10 @@ def _deal(s: Settings, n_shards: int, per_group: int, heavy):
                     held[set_hash(x)] = x
             if len(held) >= s.chunk_documents:
                 yield blocks(held)
-                held = {}
+                give_back_memory()
         if held:
             yield blocks(held)
+        give_back_memory()
 
     return run
 
@@ -223,30 +234,36 @@ def _shared(n_shards: int, n_buckets: int):
         nodes, node_sizes, per, tokens, h_marks, h_sizes, h_tokens = _gathered([unpack(b.as_py()) for b in table.column("block")])
         owner = np.repeat(np.arange(len(nodes), dtype=np.int32), per)
         order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        del order
-        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
-        if len(starts):
+        tokens = tokens[order]
+        # nearly all tokens stand alone and go at once
+        again = tokens[1:] == tokens[:-1]
+        keep = np.zeros(len(tokens), bool)
+        keep[1:] = again
+        keep[:-1] |= again
+        tokens, owner = tokens[keep], owner[order[keep]]
+        del order, again, keep
+        kind = np.empty(0, np.uint8)
+        if len(tokens):
+            starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
             count = np.diff(np.append(starts, len(tokens)))
             several = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
             keep = np.repeat(several, count)
             tokens, owner, count = tokens[keep], owner[keep], count[several]
             kind = np.repeat(np.where(count < 16, count, 12 + np.log2(count).astype(np.int64)).astype(np.uint8), count)
-        else:
-            kind = np.empty(0, np.uint8)
         full = np.concatenate([U64(shard) << U64(32) | tokens.astype(U64), h_tokens])
         marks = np.concatenate([nodes[owner], h_marks])
         sizes = np.concatenate([node_sizes[owner], h_sizes.astype(np.uint32)])
         kind = np.concatenate([kind, np.full(len(full) - len(kind), HEAVY_CLASS, np.uint8)])
         bucket = shard_of(mix(marks), n_buckets)
         order = np.lexsort((marks, bucket))
-        bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        buckets, begins = np.unique(bucket[order], return_index=True)
         out = []
-        for i in np.flatnonzero(np.diff(bounds)):
-            rows = order[bounds[i] : bounds[i + 1]]
+        for i, a, b in zip(buckets.tolist(), begins, [*begins[1:], len(order)], strict=True):
+            rows = order[a:b]
             m = marks[rows]
             first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-            out.append((int(i), pack(m[first], sizes[rows[first]], narrow(np.diff(np.append(first, len(m)))), full[rows] if len(rows) and (full[rows] >> U64(32)).max() != (full[rows] >> U64(32)).min() else np.append((full[rows] & LOW32).astype(np.uint32), np.uint32(full[rows[0]] >> U64(32))), kind[rows])))
+            out.append((i, pack(m[first], sizes[rows[first]], narrow(np.diff(np.append(first, len(m)))), full[rows] if len(rows) and (full[rows] >> U64(32)).max() != (full[rows] >> U64(32)).min() else np.append((full[rows] & LOW32).astype(np.uint32), np.uint32(full[rows[0]] >> U64(32))), kind[rows])))
+        give_back_memory()
         return pa.table({"bucket": pa.array([i for i, _ in out], pa.int32()), "block": pa.array([b for _, b in out], pa.binary())})
 
     return run

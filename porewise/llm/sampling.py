@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back_memory
+
 
 def labelled_sample(docs: DataFrame, label: Column, per_label: int, id_col: str = "doc_id", text: str = "text", seed: int = 7, most_rows: int | None = None, most_broadcast: int = 100_000) -> DataFrame:
     """(id, label, text) of at most ``per_label`` identifiers of each label; with ``most_rows``, the labels share that many.
@@ -46,7 +48,7 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> objec
         if held := list(batches):
             fitted = pickle.dumps(fit(pa.Table.from_batches(held)))
             del held
-            pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+            give_back_memory()
             yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], names=["fitted"])
 
     row = rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, "fitted binary").first()

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, small_batches, word_hashes
+from .common import U64, give_back_memory, mix, small_batches, word_hashes
 from .sampling import fit_in_one_task, labelled_sample
 
 BUCKETS, HALF, FILTERS, WIDTHS, MIN_TEXTS, STEM = 1 << 16, 8, 12, (1, 2, 3), 3, 5
@@ -341,6 +341,8 @@ def _counts(docs: DataFrame, marks: DataFrame, learned: DataFrame, model: Toxici
         for batch in batches:
             counts, words, stems = words_of(batch.column(1))
             at = shared.value.language_of(counts, words) * 2 * LIMIT * BIN + _bins(shared.value.all_logits(counts, words, stems)) + LIMIT * BIN
+            del counts, words, stems
+            give_back_memory()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32))], names=["__id", "at"])
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).where(F.col("__id").isNotNull())
@@ -362,6 +364,8 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text"):
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(pa.array(texts, pa.string(), from_pandas=True)))
+        scores = shared.value.score(pa.array(texts, pa.string(), from_pandas=True))
+        give_back_memory()
+        return pd.Series(scores)
 
     return run(F.col(text).cast("string"))
