@@ -203,7 +203,8 @@ def _look_up(folder: str, kind: str, n_shards: int, empty: frozenset[int], keys:
     """Values of sorted ``keys`` in the mapped shards; 0 where a key is absent."""
     out = [np.zeros(len(keys), np.int64) for _ in names]
     shards, begins = np.unique(shard_of(keys, n_shards), return_index=True)
-    for s, a, b in zip(shards.tolist(), begins, [*begins[1:], len(keys)], strict=True):
+    begins = np.append(begins, len(keys))
+    for s, a, b in zip(shards.tolist(), begins[:-1], begins[1:], strict=True):
         if s in empty:
             continue
         there = _mapped(f"{folder}/{kind}-{s}.key.npy")

@@ -42,6 +42,9 @@ from .components import connected_components
 
 LOW32 = U64(0xFFFFFFFF)
 HEAVY_CLASS = 255
+#: A shingle in so small a part of all documents is heavy; a chunk reports those in half as large a part of its own, so that
+#: one that is spread evenly is reported by nearly all chunks, with nearly all its documents.
+HEAVY_SHARE, LOCAL_SHARE = 256, 512
 
 
 @dataclass(frozen=True)
@@ -89,7 +92,7 @@ def _describe(s: Settings):
 
     def heavy(held):
         kinds, count = np.unique(np.concatenate(held), return_counts=True)
-        often = count >= max(4, len(held) // 125)
+        often = count >= max(4, len(held) // LOCAL_SHARE)
         kinds, count = kinds[often].view(np.int64), count[often].astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(kinds), np.int8)), pa.array(kinds), pa.array(count), pa.array(np.full(len(kinds), len(held))), pa.array(np.zeros(len(kinds), np.int64))], names=names)
 
@@ -114,8 +117,11 @@ def _describe(s: Settings):
 
 
 def _heavy_shingles(described: DataFrame, documents: int, s: Settings) -> np.ndarray:
-    """Shingles in a large share of all documents; at most 256 times as many as a document has on average."""
-    least = max(s.heavy_documents, documents // 256)
+    """Shingles in a large share of all documents; at most ``HEAVY_SHARE`` times as many as a document has on average.
+
+    Counts are those of the chunks that report a shingle, so it is heavy from nine tenths of the bound on.
+    """
+    least = max(s.heavy_documents, documents * 9 // (10 * HEAVY_SHARE))
     rows = described.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(np.array([r["id"] for r in rows.select("id").collect()], np.int64).view(U64))
 
@@ -256,9 +262,9 @@ def _shared(n_shards: int, n_buckets: int):
         kind = np.concatenate([kind, np.full(len(full) - len(kind), HEAVY_CLASS, np.uint8)])
         bucket = shard_of(mix(marks), n_buckets)
         order = np.lexsort((marks, bucket))
-        buckets, begins = np.unique(bucket[order], return_index=True)
-        out = []
-        for i, a, b in zip(buckets.tolist(), begins, [*begins[1:], len(order)], strict=True):
+        buckets, at = np.unique(bucket[order], return_index=True)
+        at, out = np.append(at, len(order)), []
+        for i, a, b in zip(buckets.tolist(), at[:-1], at[1:], strict=True):  # none where no shingle is shared
             rows = order[a:b]
             m = marks[rows]
             first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])

@@ -147,3 +147,27 @@ def test_components_over_partitions(spark):
     found = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(8), edges_at_once=16)
     assert {r["node"]: r["root"] for r in found.collect()} == _brute_roots(edges)
     assert found.count() == found.select("node").distinct().count()
+
+
+@pytest.mark.parametrize(
+    ("texts", "settings"),
+    [
+        (["one text of a few words only"], None),
+        (["red fox runs over the hill", "blue fish swims under the sea", "a third text of other words", "x", ""], None),
+        (["the same text stands here twice today"] * 2, TINY),
+        (["the same text stands here twice today"] * 3 + [f"number {i} has words of its own {i * i}" for i in range(40)], GROUPS),
+    ],
+)
+def test_without_near_copies(spark, texts, settings):
+    """Shards, one or many, in which no shingle is in two different sets."""
+    rows = list(enumerate(texts))
+    _compare(ngram_join.jaccard_components(documents(spark, [(i, t, "en", "s") for i, t in rows]), settings=settings).collect(), rows)
+
+
+def test_common_shingle_below_a_chunks_share(spark):
+    """A shingle in 1/200 of all documents, evenly spread, is reported by every chunk and found to be common."""
+    texts = [("so common a passage of words" if i % 200 == 0 else "") + f" a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(4000)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").selectExpr("id", "text", "xxhash64(text) as tag").coalesce(1)
+    s = ngram_join.Settings(heavy_documents=4, chunk_documents=1000)
+    described = rows.mapInArrow(ngram_join._describe(s), "kind byte, id long, n long, mark long, tag long")
+    assert len(ngram_join._heavy_shingles(described, 4000, s)) == 2
