@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, langid, licenses, mixing, ngram_join, sharding, tiff, toxicity, warc
+from . import decontaminate, hard_negatives, kneser_ney, langid, licenses, mixing, nearest, ngram_join, sharding, tiff, toxicity, warc, yinyang
 from .common import fold, small_batches
 
 
@@ -117,8 +117,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_tiff_pages, op4_decontamination, op5_toxicity, op6_warc_bundles, op7_source_mixing, op8_license_scan, op9_sharding, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_tiff_pages, op4_decontamination, op5_toxicity, op6_warc_bundles, op7_source_mixing, op8_license_scan, op9_sharding, op10_ngram_join, op11_hard_negatives, op12_nearest_neighbours, op13_centroid_clustering)}
 
 
 #: Water-filling and the seeded border by window functions over whole tables.
@@ -155,5 +169,48 @@ from ordered
 """
 
 
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+#: Every anchor against every row.
+OP11_SQL = f"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e
+  from embeddings where label is not null and {_FINITE}),
+s as (
+  select a.vec_id as anchor_id, a.label = v.label as same, v.vec_id, list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * v.e[i]))::bigint as score
+  from v a join v on a.vec_id <> v.vec_id where a.vec_id % 50 = 0),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, row_number() over w as rank, s.vec_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by p.anchor_id, positive_id order by score desc, s.vec_id) qualify row_number() over w <= 3
+"""
+
+
+def _clusters_sql(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
+    """Plain rounds: all distances, then the means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (
+  select rid, arg_min(c, (d, c)) as c, min(d) as d from (
+    select rid, c, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.e[i] - c{i}.e[i]) * (v.e[i] - c{i}.e[i])))::bigint as d from v, c{i}) group by rid)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} as materialized (
+  select c{i}.c, coalesce(m.e, c{i}.e) as e from c{i} left join (
+    select c, list(case when t >= 0 then t // n else -((n - 1 - t) // n) end order by i)::bigint[] as e from (
+      select c, i, sum(v.e[i]) as t, count(*) as n from a{i} join v using (rid), (select unnest(range(1, {dims + 1})) as i) group by c, i) group by c) m on m.c = c{i}.c)""")
+    return f"""
+with v as materialized (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e
+  from embeddings where len(embedding) = {dims} and {_FINITE}),
+c0 as materialized (
+  select row_number() over (order by h, e) - 1 as c, e from (select sha256('3:' || coalesce(vec_id::varchar, '')) as h, e from v order by h, e limit {k})),
+{", ".join(steps)}
+select vec_id, a.c::int as cluster, d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(c.e, ',')) as centroid_sha256
+from a{rounds} a join v using (rid) join c{rounds} c on c.c = a.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": OP7_SQL}
+    return {"op7_source_mixing": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_centroid_clustering": _clusters_sql()}
