@@ -67,7 +67,7 @@ def run_extractor(spark, a):
         within = region(a.genomic_region, lengths)
     inputs = a.input.split(",")
     for path, out in zip(inputs, outputs(inputs, a.output, "_extracted.tsv"), strict=True):
-        rows = extractor.extract(text.read_pileup(spark, path), reference, a.num_reads, a.mean_quality, a.perc_deletion, a.mismatch_rate, a.mismatch_rate_alt, within, a.window_size, a.neighbour_thresh)
+        rows = extractor.extract(text.read_pileup(spark, path, ordered=True), reference, a.num_reads, a.mean_quality, a.perc_deletion, a.mismatch_rate, a.mismatch_rate_alt, within, a.window_size, a.neighbour_thresh, keep=text.PLACE)
         text.write_features(rows, out)
         if not a.no_summary:
             _write(summary.summarise(_features(spark, out)), posixpath.splitext(out)[0] + "_summary")
@@ -87,7 +87,7 @@ def run_analyzepoi(spark, a):
     for out, datasets in zip(names, found.values(), strict=True):
         _write(datasets, out)
     if a.update_tsv:
-        text.write_annotated(bed.annotate(features, intervals), posixpath.splitext(a.input.rstrip("/"))[0] + "_w_bed_info.tsv")
+        text.write_annotated(bed.annotate(text.read_features(spark, a.input, ordered=True), intervals), posixpath.splitext(a.input.rstrip("/"))[0] + "_w_bed_info.tsv")
 
 
 def run_twosample(spark, a):
@@ -106,7 +106,9 @@ def run_possummary(spark, a):
 def run_filter(spark, a):
     sets = {k: text.read_bed(spark, p) for k, p in (("filter_bed", a.filter_bed), ("exclude_bed", a.exclude_bed)) if p}
     how = {k: getattr(a, k) for k in "site n_reads base mismatched mismatch_types mismatch_rate mismatch_rate_alt deletion_rate insertion_rate refskip_rate motif q_score".split()}
-    text.write_features(filtering.filter_features(_features(spark, a.input), chrom=a.chromosome, **sets, **how), *outputs([a.input], a.output, "_filtered.tsv"))
+    rows = text.read_feature_lines(spark, a.input).where("not head")
+    kept = filtering.filter_features(rows, chrom=a.chromosome, **sets, **how)
+    text.write_lines(kept, *outputs([a.input], a.output, "_filtered.tsv"), header=text.read_header(spark, a.input))
 
 
 def run_tsv2bed(spark, a):
@@ -120,7 +122,8 @@ def run_intersect(spark, a):
 def run_addinfo(spark, a):
     intervals = text.read_bed(spark, a.bed)
     n = intervals.agg(F.max(F.size("extras"))).first()[0] or 0
-    text.write_features(bed.add_info(_features(spark, a.input), intervals, n), a.output, [*text.COLUMNS, *(f"bed_col_{i + 1}" for i in range(n))])
+    rows, added = text.read_feature_lines(spark, a.input).where("not head"), [f"bed_col_{i + 1}" for i in range(n)]
+    text.write_lines(text.append_fields(bed.add_info(rows, intervals, n), added), a.output, text.append_header(text.read_header(spark, a.input), added))
 
 
 def run_merge(spark, a):

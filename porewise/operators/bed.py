@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Width of a bin of positions.
-BIN = 1024
+from .stretches import NAME, STRETCH, carry, inside, stretch_of
+
+#: Width of a bin of positions, and of a word of them.
+BIN, WORD = 1024, 64
 
 
 def to_bed(features: DataFrame) -> DataFrame:
@@ -33,13 +35,48 @@ def position_set(intervals: DataFrame, compat: bool = False) -> DataFrame:
     return bases.select("chr", (F.col("start") + 1).alias("site")).distinct()
 
 
-def _held(features: DataFrame, intervals: DataFrame, how: str, compat: bool) -> DataFrame:
-    """Rows of the features by whether an interval holds their site; the range meets an equality on (chr, bin)."""
+def cover(intervals: DataFrame, *columns: str, size: int = STRETCH) -> DataFrame:
+    """Disjoint ranges (chr, start, end, columns...) that hold the same positions as the intervals.
+
+    In the order of start and end, an interval keeps what lies beyond the furthest end of those before
+    it, so each position belongs to the first interval that holds it, and what an interval keeps is one
+    range. The furthest end is a running maximum within stretches of starts; the one of the stretches
+    before comes from one row for each stretch. Of equal intervals the smallest columns count.
+    """
+    rows = intervals.where("end > start").groupBy("chr", "start", "end")
+    rows = rows.agg(F.min(F.struct(*columns)).alias("v")).select("chr", "start", "end", "v.*") if columns else rows.agg(F.count("*").alias("n")).drop("n")
+    rows = rows.withColumn(NAME, stretch_of("start", size))
+    reached = F.max("end").over(inside("start", "end", last=-1))
+    rows = carry(rows, __before=(F.max("end"), F.max, 1)).withColumn("__reached", reached)
+    begin = F.greatest("start", "__reached", "__before")
+    return rows.select("chr", begin.alias("start"), "end", *columns).where("start < end")
+
+
+def _words(ranges: DataFrame, *columns: str) -> DataFrame:
+    """A row of each range for each word of positions that it meets; long ranges are opened in two steps."""
+    step = WORD << 10
+    blocks = F.sequence(F.floor(F.col("start") / step), F.floor((F.col("end") - 1) / step))
+    opened = ranges.select("chr", "start", "end", *columns, F.explode(blocks).alias("__block"))
+    first, last = F.greatest("start", F.col("__block") * step), F.least("end", (F.col("__block") + 1) * step) - 1
+    return opened.select("chr", "start", "end", *columns, F.explode(F.sequence(F.floor(first / WORD), F.floor(last / WORD))).alias("word"))
+
+
+def position_bits(intervals: DataFrame) -> DataFrame:
+    """(chr, word, bits): one row for each word of 0-based positions of which any is held; bit i is that of word * 64 + i."""
+    low, high = F.greatest(F.col("start") - F.col("word") * WORD, F.lit(0)).cast("int"), F.least(F.col("end") - F.col("word") * WORD, F.lit(WORD)).cast("int")
+    # as many ones as the range holds of the word, moved up to its first position there
+    words = _words(cover(intervals)).select("chr", "word", low.alias("low"), (high - low).alias("n"))
+    bits = F.expr(f"shiftleft(shiftrightunsigned(-1L, {WORD} - n), low)")
+    return words.groupBy("chr", "word").agg(F.bit_or(bits).alias("bits"))
+
+
+def _held(features: DataFrame, intervals: DataFrame, how: str, compat: bool = False) -> DataFrame:
+    """Rows of the features by whether an interval holds their site: each meets one word of positions at most."""
     if compat:
         return features.join(position_set(intervals, True), ["chr", "site"], how)
-    f, i = features.withColumn("__bin", F.floor((F.col("site") - 1) / BIN)).alias("f"), _bins(intervals).distinct().alias("i")
-    there = (F.col("f.chr") == F.col("i.chr")) & (F.col("f.__bin") == F.col("i.bin")) & (F.col("i.start") < F.col("f.site")) & (F.col("f.site") <= F.col("i.end"))
-    return f.join(i, there, how).drop("__bin")
+    f, w = features.alias("f"), position_bits(intervals).alias("w")
+    there = (F.col("f.chr") == F.col("w.chr")) & (F.floor((F.col("f.site") - 1) / WORD) == F.col("w.word")) & F.expr(f"(shiftright(w.bits, cast(pmod(f.site - 1, {WORD}) as int)) & 1L) = 1L")
+    return f.join(w, there, how)
 
 
 def include(features: DataFrame, intervals: DataFrame, compat: bool = False) -> DataFrame:
@@ -53,13 +90,14 @@ def exclude(features: DataFrame, intervals: DataFrame, compat: bool = False) ->
 def annotate(features: DataFrame, intervals: DataFrame, column: str = "bed_name") -> DataFrame:
     """Adds the name of an interval that holds each site, or null; of several, the first by start, end and name.
 
-    Intervals are dealt to bins of positions, so the range condition meets an equality on
-    (chr, bin) and a wide interval costs one row for each bin.
+    Since ``cover`` gives a position to the first interval that holds it, each row meets one word of
+    positions, with the few disjoint ranges in it.
     """
-    sites = features.select("chr", "site", F.floor((F.col("site") - 1) / BIN).alias("bin")).distinct()
-    hits = sites.join(_bins(intervals, "name"), ["chr", "bin"]).where("start < site and site <= end")
-    names = hits.groupBy("chr", "site").agg(F.min_by("name", F.struct("start", "end", "name")).alias(column))
-    return features.join(names, ["chr", "site"], "left")
+    ranges = _words(cover(intervals, "name"), "name").groupBy("chr", "word").agg(F.collect_list(F.struct("start", "end", "name")).alias("__ranges"))
+    ranges = ranges.withColumnRenamed("word", "__word")
+    found, at = features.withColumn("__word", F.floor((F.col("site") - 1) / WORD)), F.col("site") - 1
+    holds = F.get(F.filter("__ranges", lambda r: (r["start"] <= at) & (at < r["end"])), F.lit(0))
+    return found.join(ranges, ["chr", "__word"], "left").withColumn(column, holds["name"]).drop("__word", "__ranges")
 
 
 def add_info(features: DataFrame, intervals: DataFrame, n_columns: int, compat: bool = False) -> DataFrame:
@@ -88,8 +126,7 @@ def merge(files: list[DataFrame]) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame, compat: bool = False) -> DataFrame:
     """Bases of ``a`` that ``b`` lacks, with the last name; ``compat`` gives those that both have."""
-    bases = single_bases(a, "name", "line")
-    named = bases.groupBy("chr", "start").agg(F.coalesce(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("line"))), F.lit("")).alias("name"))
-    other = single_bases(b).select("chr", "start")
-    kept = named.join(other, ["chr", "start"], "left_semi" if compat else "left_anti")
-    return kept.select("chr", "start", (F.col("start") + 1).alias("end"), "name")
+    bases = single_bases(a, "name", "line").withColumn("site", F.col("start") + 1)
+    named = bases.groupBy("chr", "start", "site").agg(F.coalesce(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("line"))), F.lit("")).alias("name"))
+    kept = _held(named, b, "left_semi" if compat else "left_anti")
+    return kept.select("chr", "start", F.col("site").alias("end"), "name")

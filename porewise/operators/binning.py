@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import quantiles
+
 
 def number_rows(rows: DataFrame, group: Sequence[str] = (), stretch: int = 4096) -> DataFrame:
     """Adds ``idx`` (0-based, by chr and site within the group) and ``total``.
@@ -35,5 +37,4 @@ def bin_means(rows: DataFrame, values: Sequence[str], bins: int, group: Sequence
 
 def box(rows: DataFrame, values: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Minimum, quartiles and maximum of each value, exact."""
-    points = F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))
-    return rows.groupBy(*group).agg(*(F.percentile(v, points).alias(v) for v in values))
+    return quantiles(rows, values, (0.0, 0.25, 0.5, 0.75, 1.0), group).drop("n")

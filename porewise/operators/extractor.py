@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,17 @@ def decode(rows: DataFrame, compat: bool = False) -> DataFrame:
     return rows.drop("__x", "__core", "__scores", "bases", "qualities", "ends_with_qualities")
 
 
-def with_motif(rows: DataFrame, reference: DataFrame, most_broadcast: int = 64 << 20) -> DataFrame:
+def with_motif(rows: DataFrame, reference: DataFrame, most_broadcast: int = 64 << 20, most_names: int = 100_000) -> DataFrame:
     """Adds the 2k+1 bases around each site; rows of unknown chromosomes go, sites out of range get ''.
 
     The reference meets the rows in pieces, so a long chromosome is neither sent nor scanned whole.
     """
     pieces, names = reference_chunks(reference, CHUNK, HALO), sequence_lengths(reference)
-    if (names.agg(F.sum("length")).first()[0] or 0) <= most_broadcast:
-        pieces, names = F.broadcast(pieces), F.broadcast(names)
+    size = names.agg(F.count("*").alias("names"), F.sum("length").alias("bases")).first()
+    if size["names"] <= most_names:  # one short row for each chromosome
+        names = F.broadcast(names)
+    if (size["bases"] or 0) <= most_broadcast:
+        pieces = F.broadcast(pieces)
     known = rows.join(names, "chr").withColumn("chunk", F.floor((F.col("site") - 1) / CHUNK))
     near = known.join(pieces.drop("length"), ["chr", "chunk"], "left")
     inside = F.col("site").between(1, F.col("length"))
@@ -51,12 +56,13 @@ def extract(
     window_size: int = 2,
     neighbour_thresh: float = 0.5,
     compat: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The feature table. Cheap conditions come before decoding; the decoded rows are filtered once."""
+    """The feature table, with further columns to ``keep``. Cheap conditions come before decoding; the decoded rows are filtered once."""
     early = F.col("n_reads") >= num_reads
     rows = rows.where(early if region is None else early & region)
     decoded = decode(with_motif(rows, reference), compat)
     late = [F.col(c) >= v for c, v in (("q_mean", mean_quality), ("deletion_rate", perc_deletion), ("mismatch_rate", mismatch_rate), ("mismatch_rate_alt", mismatch_rate_alt)) if v is not None]
     for condition in late:
         decoded = decoded.where(condition)
-    return with_neighbour_errors(decoded, window_size, neighbour_thresh).select(*COLUMNS)
+    return with_neighbour_errors(decoded, window_size, neighbour_thresh).select(*COLUMNS, *keep)

@@ -11,6 +11,7 @@ from ..schema import RATES
 from ..sources import text
 from ..sources.storage import materialize
 from . import bed, stats, summary
+from .selection import quantiles
 
 METRICS = ("mismatch_rate", "deletion_rate", "insertion_rate", "refskip_rate", "q_mean")
 
@@ -44,7 +45,7 @@ def sequence_map(category_rows: DataFrame, reference: DataFrame) -> DataFrame:
 
 def composition(grouped: DataFrame) -> DataFrame:
     """Exact median rate of each base in each group, and the four scaled to sum up to 1."""
-    medians = grouped.groupBy("grp").agg(F.count("*").alias("n"), *(F.median(r).alias(r) for r in RATES))
+    medians = quantiles(grouped, RATES, (0.5,), ["grp"]).withColumns({r: F.col(r)[0] for r in RATES})
     total = reduce(lambda x, y: x + y, (F.col(r) for r in RATES))
     return medians.withColumns({f"scaled_{r}": F.try_divide(F.col(r), total) for r in RATES})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions import pileup as p
-from ..operators import bed, binning, extractor, filtering, neighbours, poi, possummary, stats, summary, twosample
+from ..operators import bed, binning, extractor, filtering, nearby, neighbours, poi, possummary, stats, summary, twosample
 from ..sources.storage import materialize
 from . import adapters as ad
 from .registry import QUERIES, SQL  # noqa: F401 - all queries, for callers
@@ -170,6 +170,44 @@ def bed_difference(spark, sf_dir):
     return bed.difference(*_halves(spark, sf_dir))
 
 
+_NEAREST = """x as (select 1), u as (select chr, "end" as e, arg_min(name, struct_pack(s := -start, n := name)) as name from bed group by chr, "end"),
+  d as (select chr, start + 1 as s, arg_min(name, struct_pack(e := "end", n := name)) as name from bed group by chr, start)
+  select f.chr, f.site, f.site - u.e as up_distance, u.name as up_name, d.s - f.site as down_distance, d.name as down_name
+  from f asof left join u on f.chr = u.chr and f.site > u.e asof left join d on f.chr = d.chr and f.site < d.s"""
+_DISTANCES = ("chr", "site", "up_distance", "up_name", "down_distance", "down_name")
+
+
+@_query(_NEAREST)
+def nearest_intervals(spark, sf_dir):
+    """Both neighbours among the intervals of every site."""
+    return nearby.nearest_intervals(ad.features(spark, sf_dir), ad.intervals(spark, sf_dir)).select(*_DISTANCES)
+
+
+@_query(_NEAREST.replace(" from bed ", " from (select * from bed where o_custkey % 1000 = 5) "))
+def nearest_intervals_sparse(spark, sf_dir):
+    """Few intervals and short stretches, so most neighbours are carried over borders."""
+    return nearby.nearest_intervals(ad.features(spark, sf_dir), ad.intervals(spark, sf_dir).where("o_custkey % 1000 = 5"), size=64).select(*_DISTANCES)
+
+
+def _runs_sql(threshold: float, gap: int) -> str:
+    return f"""x as (select 1), {_NAMED}, w as (select a.chr, a.site, mismatch_rate, a.bed_name, n.site as held from a left join n on a.chr = n.chr and a.site = n.site where mismatch_rate >= {threshold}),
+      g as (select *, case when site - lag(site) over (partition by chr order by site) <= {gap} then 0 else 1 end as begins from w),
+      r as (select *, sum(begins) over (partition by chr order by site) as run from g)
+      select chr, min(site) - 1 as start, max(site) as "end", count(*) as sites, count(held) as covered, arg_min(bed_name, site) filter (held is not null) as bed_name, round(max(mismatch_rate), 9) as worst from r group by chr, run"""
+
+
+@_query(_runs_sql(0.5, 1))
+def error_runs(spark, sf_dir):
+    """Runs of neighbouring positions in error and what intervals hold of them."""
+    return nearby.error_runs(ad.features(spark, sf_dir), ad.intervals(spark, sf_dir)).withColumn("worst", F.round("worst", 9))
+
+
+@_query(_runs_sql(0.4, 30))
+def error_runs_wide(spark, sf_dir):
+    """Sites up to 30 apart are one run, and stretches are shorter than many runs."""
+    return nearby.error_runs(ad.features(spark, sf_dir), ad.intervals(spark, sf_dir), 0.4, 30, size=32).withColumn("worst", F.round("worst", 9))
+
+
 # ------------------------------------------------------------------ two samples
 
 

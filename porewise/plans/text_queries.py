@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import region
 from ..functions.labels import chromosome_order, decode_neighbours, encode_neighbours
-from ..operators import extractor, neighbours, poi, summary, twosample
+from ..operators import extractor, filtering, neighbours, poi, summary, twosample
 from ..schema import COLUMNS
 from ..sources import text
 from ..sources.storage import new_folder
@@ -174,6 +174,29 @@ def text_features(spark, sf_dir):
     return found.select(*_PLAIN, *(F.round(c, 9).alias(c) for c in ("mismatch_rate", "deletion_rate")), "q_std", F.array_join(near.cast("array<string>"), ",").alias("neighbours"), encode_neighbours(near).alias("code"))
 
 
+#: A line of a feature table with fields as other programs write them, and two columns beyond those known.
+_VERBATIM = (
+    "concat_ws(chr(9), chr, cast(site as varchar(20)), cast(n_reads as varchar(20)), ref_base, majority_base, '1', '02', '3', '4', '5', '6', '7', '1e-07', '0.10', '.5', '0', '1E-3', '-0', '0.0', "
+    "case when mismatch_rate >= 0.5 then '5.00e-1' else '4.99e-1' end, 'nan', motif, '30', '1.50', '', concat('\"', motif), cast(site % 7 as varchar(20)))"
+)
+
+
+@query(
+    f"""x as (select 1), o as (select *, {_VERBATIM} as value, row_number() over (order by md5(concat(chr, ':', site::varchar))) as number_in from f)
+      select number_in, row_number() over (order by number_in) as number_out, value from o where mismatch_rate >= 0.5"""
+)
+def text_order(spark, sf_dir):
+    """A table in random order of chromosomes through the filter: whole lines, in the order of the input."""
+    rows = ad.features(spark, sf_dir).withColumn("value", F.expr(_VERBATIM.replace("chr(9)", "char(9)")))
+    source, out = new_folder(spark, "text-order-in"), new_folder(spark, "text-order-out")
+    text.write_lines(rows.withColumn("h", F.md5(F.concat("chr", F.lit(":"), F.col("site").cast("string")))), source, "\t".join([*COLUMNS, "bed_col_1", "bed_col_2"]), ["h"])
+    found = text.read_feature_lines(spark, source).where("not head")
+    text.write_lines(filtering.filter_features(found, mismatch_rate=">=0.5"), out, text.read_header(spark, source))
+    # line 0 of each file is the header, and no two lines are equal
+    numbered = lambda path, name: text.number_lines(text.read_feature_lines(spark, path)).where("not head").select("value", F.col("number").alias(name))
+    return numbered(out, "number_out").join(numbered(source, "number_in"), "value").select("number_in", "number_out", "value")
+
+
 @query("x as (select 1), t as (select l_orderkey, l_linenumber, l_suppkey % 5 as n from lineitem) select distinct case n when 0 then '' else array_to_string(list_transform(range(n), lambda i: i * 3 - 4), ',') || ',' end as code, n as numbers from t")
 def neighbour_codes(spark, sf_dir):
     """Offsets from text to arrays and back."""

@@ -16,24 +16,47 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
     return paths.split(",") if isinstance(paths, str) else list(paths)
 
 
-def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of the files, each with the number of its file and a key that keeps their order in it."""
-    parts = [spark.read.text(p).select("value", F.lit(i).alias("file"), F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("line")) for i, p in enumerate(paths)]
+#: Where a line stands: the number of its file among those given, and its place in it. These columns in order are the order of the input.
+PLACE = ("file", "line")
+
+
+def _lines(spark: SparkSession, paths: list[str], whole: bool = False) -> DataFrame:
+    """Lines of the files, each with the number of its file and a key that keeps their order in it.
+
+    A key holds the path, the block of the file and a number that grows within the block, whatever
+    tasks read the blocks; it goes through any shuffle. ``whole`` keeps carriage returns in lines.
+    """
+    parts = [spark.read.text(p, lineSep="\n" if whole else None).select("value", F.lit(i).alias("file"), F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("line")) for i, p in enumerate(paths)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return out
 
 
-def read_pileup(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Six fields of each line; lines with fewer, or without numbers where they belong, are dropped."""
-    return parse_pileup(_lines(spark, _paths(paths)).select("value"))
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Adds ``number``, the 0-based number of a line among all that were read; the lines must be whole files.
+
+    Lines of a block bear consecutive keys, so only the first key and the count of each block are
+    needed, and one row for each block of a file meets in one task.
+    """
+    block = [F.col("file"), F.col("line.path").alias("path"), F.col("line.block").alias("block")]
+    counts = lines.groupBy(*block).agg(F.min("line.line").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "path", "block").rowsBetween(Window.unboundedPreceding, -1))
+    begins = counts.select("file", F.struct("path", "block").alias("__in"), "first", F.coalesce(before, F.lit(0)).alias("begin"))
+    keyed = lines.withColumn("__in", F.struct(F.col("line.path").alias("path"), F.col("line.block").alias("block")))
+    return keyed.join(begins, ["file", "__in"]).withColumn("number", F.col("begin") + F.col("line.line") - F.col("first")).drop("__in", "first", "begin")
+
+
+def read_pileup(spark: SparkSession, paths: str | Sequence[str], ordered: bool = False) -> DataFrame:
+    """Six fields of each line; lines with fewer, or without numbers where they belong, are dropped. ``ordered`` adds the line's place."""
+    lines = _lines(spark, _paths(paths))
+    return parse_pileup(lines if ordered else lines.select("value"), PLACE if ordered else ())
 
 
-def parse_pileup(lines: DataFrame) -> DataFrame:
-    """The same for a (streaming or batch) frame with a ``value`` column."""
+def parse_pileup(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The same for a (streaming or batch) frame with a ``value`` column and columns to ``keep``."""
     f = F.split("value", "\t", -1)
-    rows = lines.select(f[0].alias("chr"), f[1].try_cast("long").alias("site"), to_rna(f[2]).alias("ref_base"), F.when(F.size(f) >= 6, f[3].try_cast("int")).alias("n_reads"), F.get(f, 4).alias("bases"), F.get(f, 5).alias("qualities"), (F.size(f) == 6).alias("ends_with_qualities"))
+    rows = lines.select(*keep, f[0].alias("chr"), f[1].try_cast("long").alias("site"), to_rna(f[2]).alias("ref_base"), F.when(F.size(f) >= 6, f[3].try_cast("int")).alias("n_reads"), F.get(f, 4).alias("bases"), F.get(f, 5).alias("qualities"), (F.size(f) == 6).alias("ends_with_qualities"))
     return rows.where("site is not null and n_reads is not null")
 
 
@@ -96,22 +119,70 @@ def read_bed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return rows.select(f[0].alias("chr"), f[1].try_cast("long").alias("start"), f[2].try_cast("long").alias("end"), F.get(f, 3).alias("name"), F.slice(f, 4, F.greatest(F.size(f) - 3, F.lit(0))).alias("extras"), "file", "line").where("start is not null and end is not null")
 
 
-def read_features(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = COLUMNS) -> DataFrame:
-    """Feature tables in text form; with several files, ``replicate`` numbers them."""
-    kinds = {f.name: f.dataType.simpleString() for f in FEATURES.fields}
-    text = ", ".join(f"{c} {'string' if c == 'neighbour_error_pos' else kinds[c]}" for c in COLUMNS)
-    out = None
-    for i, p in enumerate(_paths(paths)):
-        rows = spark.read.csv(p, sep="\t", schema=text, header=True, quote="", enforceSchema=True).withColumn("replicate", F.lit(i))
-        out = rows if out is None else out.union(rows)
-    picked = [decode_neighbours(F.col(c)).alias(c) if c == "neighbour_error_pos" else F.col(c) for c in columns]
-    return out.select(*picked, "replicate")
+_KINDS = {f.name: f.dataType.simpleString() for f in FEATURES.fields}
+_HEAD = "\t".join(COLUMNS[:2])
+
+
+def read_feature_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines of feature tables as they are (``value``), each with its place, and the columns that are read out of it.
+
+    ``head`` tells lines with column names, of which every part file may have one. Further fields of a line
+    belong to no column. A field that is missing or no number is null.
+    """
+    fields = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
+    cell = lambda i, c: decode_neighbours(F.get(fields, i)) if c == "neighbour_error_pos" else F.get(fields, i) if _KINDS[c] == "string" else F.get(fields, i).try_cast(_KINDS[c])
+    columns = [cell(F.lit(i), c).alias(c) for i, c in enumerate(COLUMNS)]
+    return _lines(spark, _paths(paths), whole=True).select(*PLACE, "value", F.col("value").startswith(_HEAD).alias("head"), *columns)
+
+
+def read_header(spark: SparkSession, paths: str | Sequence[str]) -> str | None:
+    """The first line with column names that is found; files begin with it, so little is read."""
+    for path in _paths(paths):
+        if row := spark.read.text(path, lineSep="\n").where(F.col("value").startswith(_HEAD)).first():
+            return row["value"]
+    return None
+
+
+def read_features(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = COLUMNS, ordered: bool = False) -> DataFrame:
+    """Feature tables in text form; ``replicate`` numbers the files. ``ordered`` adds the line's place."""
+    rows = read_feature_lines(spark, paths).where(~F.col("head") & (F.col("value") != ""))
+    return rows.select(*columns, F.col("file").alias("replicate"), *(PLACE if ordered else ()))
+
+
+def write_lines(rows: DataFrame, path: str, header: str | None = None, order: Sequence[str] = PLACE) -> None:
+    """The lines ``value`` in order, after the header: part files of one folder, which are the whole file one after the other.
+
+    Rows are dealt to ranges of the order, so the parts' numbers follow it and none is sorted as a whole.
+    """
+    body = rows.select(F.lit(1).alias("__body"), *order, "value")
+    if header is not None:
+        head = rows.sparkSession.range(1).select(F.lit(0).alias("__body"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order), F.lit(header).alias("value"))
+        body = head.union(body)
+    body.orderBy("__body", *order).select("value").write.text(path, lineSep="\n")
+
+
+def append_fields(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as further fields at the end of each line; a null is an empty field."""
+    return rows.withColumn("value", F.concat_ws("\t", F.regexp_replace("value", "\r$", ""), *(F.coalesce(c, F.lit("")) for c in columns)))
+
+
+def append_header(header: str | None, columns: Sequence[str]) -> str | None:
+    return None if header is None else "\t".join([header.removesuffix("\r"), *columns])
+
+
+def _line(rows: DataFrame, columns: Sequence) -> DataFrame:
+    """Adds ``value``: the columns as one line; a null is an empty field."""
+    return rows.withColumn("value", F.concat_ws("\t", *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns)))
+
+
+def _order(rows: DataFrame) -> Sequence[str]:
+    return PLACE if set(PLACE) <= set(rows.columns) else ("chr", "site")
 
 
 def write_features(features: DataFrame, path: str, columns: Sequence[str] = COLUMNS) -> None:
-    """Text form with a header, in site order; one folder of part files."""
-    rows = features.orderBy("chr", "site").select(*(encode_neighbours(F.col(c)).alias(c) if c == "neighbour_error_pos" else F.col(c) for c in columns))
-    rows.write.csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
+    """Text form with one header, in the order of the input if rows know their place in it, else by chromosome and site."""
+    shown = [encode_neighbours(F.col(c)) if c == "neighbour_error_pos" else F.col(c) for c in columns]
+    write_lines(_line(features, shown), path, "\t".join(columns), _order(features))
 
 
 def write_bed(intervals: DataFrame, path: str) -> None:
@@ -127,5 +198,5 @@ ANNOTATED = "chr site n_reads ref_base majority_base a_rate c_rate g_rate u_rate
 def write_annotated(rows: DataFrame, path: str) -> None:
     """The table with names of intervals, where an unknown name and a row without neighbours in error read ``None``."""
     near = F.when(F.size("neighbour_error_pos") > 0, encode_neighbours(F.col("neighbour_error_pos")))
-    shown = rows.orderBy("chr", "site").select(*(F.coalesce(near, F.lit("None")).alias(c) if c == "neighbour_error_pos" else F.coalesce(c, F.lit("None")).alias(c) if c == "bed_name" else F.col(c) for c in ANNOTATED))
-    shown.write.csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
+    shown = [F.coalesce(near, F.lit("None")) if c == "neighbour_error_pos" else F.coalesce(c, F.lit("None")) if c == "bed_name" else F.col(c) for c in ANNOTATED]
+    write_lines(_line(rows, shown), path, "\t".join(ANNOTATED), _order(rows))
