@@ -5,8 +5,8 @@ not matter; in scripts without spaces each character is a word. A test item of m
 differ in k = floor(error_rate * m) words. Cut into k + 1 pieces, an occurrence with at most k
 edits holds one piece unchanged. Pieces are found by the hash of their first words, checked in
 full, and the surroundings of each hit are verified with Myers' bit-parallel edit distance, over
-words. Items shorter than ``min_words`` have no budget, hence one piece: they are found where
-they stand exactly. Since prose contains short phrases by chance, such an item makes
+words. Items of so few words that k is 0 (up to 6 at a rate of 0.15) are one piece: they are found
+where they stand exactly. Since prose contains short phrases by chance, such an item makes
 ``remove_leaks`` drop a document only where it is a whole line of the text.
 
 Items are hashed by the executors and compared in blocks of bounded size, each sent to all
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, small_batches, word_hashes
+from .common import U64, gram_hashes, materialize, small_batches, word_hashes
 
 #: Scripts that are written without spaces between words.
 UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
@@ -93,10 +93,10 @@ class ItemBlock:
     short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def build(rows: list[tuple[int | None, np.ndarray]], error_rate: float, min_words: int) -> ItemBlock:
+    def build(rows: list[tuple[int | None, np.ndarray]], error_rate: float) -> ItemBlock:
         items = [w for _, w in rows]
-        budgets = [int(error_rate * len(w)) if len(w) >= min_words else 0 for w in items]
-        long_ones = [i for i, w in enumerate(items) if len(w) >= min_words]
+        budgets = [int(error_rate * len(w)) for w in items]
+        long_ones = [i for i, k in enumerate(budgets) if k]
         cuts = [np.linspace(0, len(items[i]), budgets[i] + 2).astype(int) for i in long_ones]
         none = [np.empty(0, np.int64)]
         owners = np.repeat(np.array(long_ones, np.int64), [len(c) - 1 for c in cuts])
@@ -105,7 +105,7 @@ class ItemBlock:
         heads = np.array([gram_hashes(items[o][s : s + q], q)[0] for o, s in zip(owners, starts, strict=True)], U64)
         order = np.argsort(heads, kind="stable")
         short = {}
-        for m in sorted({len(w) for w in items} - {len(items[i]) for i in long_ones}):
+        for m in sorted({len(w) for w, k in zip(items, budgets, strict=True) if not k}):
             own = np.array([i for i, w in enumerate(items) if len(w) == m])
             hashes = np.array([gram_hashes(items[i], m)[0] for i in own], U64)
             short[m] = np.sort(hashes), own[np.argsort(hashes, kind="stable")]
@@ -162,7 +162,7 @@ class ItemBlock:
                     i += 1
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text: str, error_rate: float, min_words: int, block_words: int) -> Iterator[ItemBlock]:
+def item_blocks(benchmark: DataFrame, id_col: str, text: str, error_rate: float, block_words: int) -> Iterator[ItemBlock]:
     """Blocks of at most ``block_words`` words (a longer item makes a block of its own), drawn one at a time."""
 
     def hashed(batches):
@@ -176,27 +176,28 @@ def item_blocks(benchmark: DataFrame, id_col: str, text: str, error_rate: float,
     for row in items.toLocalIterator():
         words = np.frombuffer(row["words"], U64)
         if held and size + len(words) > block_words:
-            yield ItemBlock.build(held, error_rate, min_words)
+            yield ItemBlock.build(held, error_rate)
             held, size = [], 0
         held.append((row["id"], words))
         size += len(words)
     if held:
-        yield ItemBlock.build(held, error_rate, min_words)
+        yield ItemBlock.build(held, error_rate)
 
 
 FOUND = "`{id}` long, item_id long, distance int, budget int, item_words int, first_word int, end_word int"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.15, min_words: int = 8, block_words: int = 1_000_000) -> DataFrame:
-    """One row for each document and test item that it holds with at most the item's budget of edits."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.15, block_words: int = 1_000_000) -> DataFrame:
+    """One row for each document and test item that it holds with at most the item's budget of edits.
+
+    Blocks of items are searched one after another, so one block at a time is sent to the tasks.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias("__text"))
     schema = FOUND.format(id=id_col)
 
-    def against(block: ItemBlock) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
+    def against(shared) -> DataFrame:
         def run(batches):
             for batch in batches:
                 counts, words = words_of(batch.column(1))
@@ -211,19 +212,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return rows.mapInArrow(run, schema)
 
-    found = [against(b) for b in item_blocks(benchmark, item_id, item_text, error_rate, min_words, block_words)]
+    found = []
+    for block in item_blocks(benchmark, item_id, item_text, error_rate, block_words):
+        shared = spark.sparkContext.broadcast(block)
+        found.append(materialize(against(shared), "leaks"))
+        shared.unpersist()
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text: str = "text", error_rate: float = 0.15, min_words: int = 8, block_words: int = 1_000_000) -> DataFrame:
-    """The documents that hold no test item; one shorter than ``min_words`` counts only where it is a whole line.
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text: str = "text", error_rate: float = 0.15, block_words: int = 1_000_000) -> DataFrame:
+    """The documents that hold no test item; one without a budget (of up to 6 words) counts only where it is a whole line.
 
-    The text itself decides row by row, so no join by identifier can drop a clean row.
+    The text itself decides row by row, so no join by identifier can drop a clean row. With several blocks
+    of items, what a block leaves is written before the next is drawn, so one block at a time is sent to the tasks.
     """
     small_batches(docs.sparkSession)
-    clean = docs
-    for block in item_blocks(benchmark, id_col, text, error_rate, min_words, block_words):
-        clean = clean.where(~_leaks(docs.sparkSession.sparkContext.broadcast(block))(F.col("text").cast("string")))
+    clean, before = docs, None
+    for block in item_blocks(benchmark, id_col, text, error_rate, block_words):
+        if before is not None:
+            clean = materialize(clean, "without-leaks")
+            before.unpersist()
+        before = docs.sparkSession.sparkContext.broadcast(block)
+        clean = clean.where(~_leaks(before)(F.col("text").cast("string")))
     return clean
 
 

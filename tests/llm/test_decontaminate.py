@@ -27,12 +27,12 @@ def _least(pattern, text):
 
 
 def _budget(pattern):
-    return int(0.15 * len(pattern)) if len(pattern) >= 8 else 0
+    return int(0.15 * len(pattern))
 
 
 def _held(pattern, text):
     """Whether a text with this item is dropped."""
-    if 0 < len(pattern) < 8:
+    if 0 < len(pattern) and not _budget(pattern):
         return pattern in [_words(line) for line in regex.split(r"[\r\n]+", text or "")]
     return bool(pattern) and _least(pattern, _words(text)) <= _budget(pattern)
 
@@ -48,7 +48,7 @@ def test_myers():
 def case():
     random.seed(2)
     vocabulary = [f"w{i}" for i in range(60)] + ["é", "Straße"]
-    items = [(i, " ".join(random.choices(vocabulary, k=random.choice([8, 9, 13, 20, 40])))) for i in range(12)]
+    items = [(i, " ".join(random.choices(vocabulary, k=random.choice([7, 8, 13, 14, 20, 40])))) for i in range(12)]
     items += [(20, items[0][1]), (21, "too short"), (22, ""), (23, None), (None, items[1][1])]
     docs = [(100, None), (101, ""), (102, "!!! ??"), (103, "w1")]
     for n in range(150):
@@ -111,3 +111,12 @@ def test_scripts_spaces_and_long_texts(spark):
     found = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(docs, benchmark).collect()}
     assert found == {(1, 1), (2, 2), (3, 2), (5, 2), (6, 3), (7, 3)}
     assert sorted(r["doc_id"] for r in d.remove_leaks(docs, benchmark).collect()) == [4, 6]
+
+
+def test_an_item_of_seven_words_with_an_edit(spark):
+    """Budgets follow from the rate alone: seven words allow one edit, six none, inside a line too."""
+    seven, six = "what is the capital city of france", "name the longest river of europe"
+    rows = [(1, f"so {seven} then"), (2, f"so {seven.replace('city', 'town')} then"), (3, f"so {seven.replace('city', 'town').replace('is', 'was')} then"), (4, f"{six.replace('longest', 'deepest')}\nx"), (5, f"one {six} two"), (6, f"one\n{six}\ntwo")]
+    docs, benchmark = documents(spark, [(i, t, "en", "s") for i, t in rows]), spark.createDataFrame([(1, seven), (2, six)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in d.find_leaks(docs, benchmark).collect()} == {(1, 1, 0), (2, 1, 1), (5, 2, 0), (6, 2, 0)}
+    assert sorted(r["doc_id"] for r in d.remove_leaks(docs, benchmark).collect()) == [3, 4, 5]

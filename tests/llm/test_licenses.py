@@ -134,3 +134,25 @@ def test_similar_licenses_are_told_apart(spark):
     lines = ["CC-BY-4.0", "CC-BY-NC-4.0", "GPL-2.0", "LGPL-2.1", "LGPL-3.0 notice", "GPL-3.0 notice"]
     found = _scan(spark, ["\n".join(templates[k] for k in lines), "Licensed under CC BY-NC 2.5."])
     assert [r["license"] for r in sorted(found, key=lambda r: r["first_word"])] == lines
+
+
+def test_long_templates_lose_nothing(monkeypatch):
+    """Templates beyond the bound at likely starts against every start: a shuffled decoy before an edited copy, among prose."""
+    found = {}
+    for every in (licenses.EVERY_START, 1 << 30):
+        monkeypatch.setattr(licenses, "EVERY_START", every)
+        rng = random.Random(9)
+        vocabulary = [f"w{i}" for i in range(90)]
+        for case in range(60):
+            template = rng.choices(vocabulary, k=rng.choice([150, 400]))
+            scanner = licenses.Scanner.build({"t": " ".join(template)}, 0.8, 0.6)
+            decoy, copy = rng.sample(template, len(template)), list(template)
+            for _ in range(rng.randint(0, len(copy) // 6)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 1)] = rng.choices(vocabulary, k=rng.randint(0, 1))
+            prose = lambda: rng.choices(vocabulary, k=rng.randint(0, 80))  # noqa: E731, B023
+            text = [*prose(), *decoy[: rng.randint(0, len(decoy))], *prose(), *copy, *prose()]
+            words = licenses.words_of(pa.array([" ".join(text)]))[1]
+            found.setdefault(case, []).append([(r[0], r[4] // 50) for r in scanner.scan(words, scanner.numbers(words))])
+    assert sum(bool(every) for _, every in found.values()) >= 40
+    assert sum(len(likely) for likely, _ in found.values()) >= sum(len(every) for _, every in found.values())

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from porewise.llm import mixing, toxicity
@@ -105,3 +106,17 @@ def test_empty_table_and_odd_rows(spark, small, tmp_path):
         assert bool(got) == (name == "odd")
         if got:
             assert {r["text"] for r in got if r["doc_id"] is None} <= {"same words here for all of us 0", "same words here for all of us 1"}
+
+
+def test_values_of_clashing_columns(spark, small):
+    """Columns that are called as internal ones are, or have dots in their names, keep their values in all stages."""
+    names = ["__row", "row", "shard", "slot", "__shard", "__slot", "a.b", "C0", "record", "times"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(25)
+    docs = docs.select("*", *(F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = corpus_pipeline.materialize(stage(spark, docs, small), name)
+        assert docs.columns == (columns if name != "sharding" else [*columns, "shard_", "slot_"])
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n} of {r['doc_id']}" for r in rows for n in names)
+    assert sorted(r["slot_"] for r in rows if r["shard_"] == rows[0]["shard_"])[0] == 0
