@@ -1,6 +1,9 @@
 """A corpus pipeline: stages over the documents table, each written and read by the next one.
 
-The first four stages return the columns of documents; each keeps only what it decides to keep.
+The first four stages return the columns of documents; each keeps only what it decides to keep. Further
+columns pass all stages whatever they are called. Nulls in any column, repeated rows and empty tables
+pass too: a null text is an empty one, which is not toxic, has no copies, holds no test item and is never
+taken by the mix, since it has no words; a null doc_id is an identifier like any other, the largest.
 """
 
 from __future__ import annotations
@@ -12,8 +15,19 @@ from porewise.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from porewise.llm.common import fold, materialize
 
 N_SHARDS = 40
-#: The column with a row's number, while near duplicates are looked for.
-ROW = "__row"
+
+
+def _neutral(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The documents with columns c0, c1, ... whatever their names are, and what doc_id and text are called there."""
+    name = {c.lower(): f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*name.values()), name["doc_id"], name["text"]
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores after it until no column of the documents has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +43,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by a number of their own, since a doc_id may be null or repeated.
     """
-    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
-    found = ngram_join.jaccard_components(keyed, ROW)
-    linked = materialize(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(ROW), "component_id"), "pipeline-linked")
+    rows, doc_id, text = _neutral(docs)
+    keyed = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = ngram_join.jaccard_components(keyed, "row", text)
+    linked = materialize(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("row"), "component_id"), "pipeline-linked")
     few = linked.count() <= 500_000
     # a component's own number is one of its rows, which is not in ``linked``; it comes along with each other row
-    members = linked.select(F.inline(F.array(F.struct(ROW, "component_id"), F.struct(F.col("component_id").alias(ROW), "component_id"))))
-    named = keyed.select("doc_id", ROW).join(F.broadcast(members) if few else members, ROW)
-    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", ROW))[ROW].alias("stays"))
-    gone = members.join(stays, "component_id").where(F.col(ROW) != F.col("stays")).select(ROW).distinct()
+    members = linked.select(F.inline(F.array(F.struct("row", "component_id"), F.struct(F.col("component_id").alias("row"), "component_id"))))
+    named = keyed.select(F.col(doc_id).alias("id"), "row").join(F.broadcast(members) if few else members, "row")
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row"))["row"].alias("stays"))
+    gone = members.join(stays, "component_id").where(F.col("row") != F.col("stays")).select("row").distinct()
     gone = materialize(gone, "pipeline-copies")
     gone = F.broadcast(gone) if few else gone
-    return keyed.join(gone, ROW, "left_anti").select(*docs.columns)
+    return keyed.join(gone, "row", "left_anti").select(*rows.columns).toDF(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +69,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
-    dealt = sharding.shuffle_into_shards(docs, N_SHARDS)
-    return dealt.select(*docs.columns, F.col(sharding.SHARD).alias("shard"), F.col(sharding.SLOT).alias("slot"))
+    """All documents with ``shard`` and ``slot``; where a document has such a column, the new one has underscores after its name."""
+    rows, doc_id, text = _neutral(docs)
+    dealt = sharding.shuffle_into_shards(rows, N_SHARDS, doc_id, text)
+    found = dealt.select(*rows.columns, sharding.SHARD, sharding.SLOT)
+    return found.toDF(*docs.columns, _free("shard", docs), _free("slot", docs))
 
 
 STAGES = [
