@@ -26,9 +26,9 @@ def chromosome_order(chromosome: str = "chr") -> list[Column]:
 
 
 def decode_neighbours(text: Column) -> Column:
-    """``"-2,1,"`` as an array of integers; null or empty text gives null."""
+    """``"-2,1,"`` as an array of integers; null or empty text gives null, as does a part that is no number."""
     body = F.regexp_replace(text, ",$", "")
-    return F.when(F.length(body) > 0, F.split(body, ",").cast("array<int>"))
+    return F.when(F.length(body) > 0, F.split(body, ",").try_cast("array<int>"))
 
 
 def encode_neighbours(offsets: Column) -> Column:

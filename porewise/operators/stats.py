@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from fractions import Fraction
 from functools import lru_cache
-from math import asinh, copysign, erfc, exp, isnan, lgamma, log, sqrt
+from itertools import pairwise
+from math import asinh, comb, copysign, erfc, exp, isnan, lcm, lgamma, log, sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,32 +80,51 @@ def t_test_p(n1: int, m1: float, v1: float, n2: int, m2: float, v2: float) -> fl
 
 
 @lru_cache
-def _ways(n1: int, n2: int) -> tuple[int, ...]:
-    """How many orders give each value of U."""
-    counts = [1]
-    for k in range(1, n1 + 1):
-        grown = [0] * (len(counts) + n2 + k)
-        for i, c in enumerate(counts):
-            grown[i] += c
-        for i in range(len(grown) - n2 - k):
-            grown[i + n2 + k] -= counts[i] if i < len(counts) else 0
-        for i in range(k, len(grown)):
-            grown[i] += grown[i - k]
-        counts = grown[: k * n2 + 1]
-    return tuple(counts)
+def _differences(m: int) -> tuple[int, list[list[int]]]:
+    """A period and, for each remainder, the differences by which the number of partitions of at most s into parts up to m goes on.
+
+    On each remainder of the period these numbers are a polynomial of degree m in s, so m + 1 of them tell all.
+    """
+    period = lcm(*range(1, m + 1))
+    counts = [1] * (period * (m + 1))  # parts of 1, of "at most"
+    for part in range(1, m + 1):
+        for i in range(part, len(counts)):
+            counts[i] += counts[i - part]
+    out = []
+    for r in range(period):
+        values, first = counts[r::period], []
+        while values:
+            first.append(values[0])
+            values = [b - a for a, b in pairwise(values)]
+        out.append(first)
+    return period, out
 
 
-#: The exact distribution is enumerated up to so many pairs of values; beyond, the normal one differs by less than rounding shows.
-EXACT_PAIRS = 100_000
+def _orders_up_to(m: int, n: int, u: int) -> int:
+    """How many orders of samples of m and n values give a U of at most ``u``, exact at any size of n.
+
+    U counts partitions into at most m parts of at most n: those into parts up to m, less what exceeds n
+    by inclusion and exclusion over the sizes that do.
+    """
+    period, differences = _differences(m)
+    terms = Counter({(0, 0): 1})
+    for k in range(1, m + 1):
+        terms.update({(c + 1, w + k): -v for (c, w), v in list(terms.items())})
+    total = 0
+    for (c, w), sign in terms.items():
+        rest = u - c * n - w
+        if rest >= 0:
+            total += sign * sum(comb(rest // period, j) * d for j, d in enumerate(differences[rest % period]))
+    return total
 
 
 def mann_whitney_p(n1: int, n2: int, rank_sum: float, ties: int) -> float:
-    """Two-sided; exact for small samples without ties, else normal with corrections for ties and continuity."""
+    """Two-sided; exact without ties where a sample has 8 values at most, else normal with corrections for ties and continuity."""
     u1 = rank_sum - n1 * (n1 + 1) / 2
     u = max(u1, n1 * n2 - u1)
-    if min(n1, n2) <= 8 and ties == 0 and n1 * n2 <= EXACT_PAIRS:
-        ways = _ways(n1, n2)
-        return min(1.0, 2 * sum(ways[int(u) :]) / sum(ways))
+    if min(n1, n2) <= 8 and ties == 0:
+        m, n = sorted((n1, n2))
+        return min(1.0, float(Fraction(2 * _orders_up_to(m, n, int(n1 * n2 - u)), comb(m + n, m))))
     n = n1 + n2
     variance = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))
     if variance <= 0:

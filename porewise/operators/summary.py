@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import centre_of_motif, match_class, mismatch_label, percent_of
 from ..schema import BASES
+from ..sources.storage import materialize
 from .binning import bin_means
 
 SYMBOLS = (*BASES, "-")
@@ -47,14 +48,22 @@ def _grid(features: DataFrame, refs: tuple[str, ...]) -> DataFrame:
     return rows.select("ref_base", F.explode(F.array(*map(F.lit, SYMBOLS))).alias("majority_base"))
 
 
+def _pairs(features: DataFrame) -> DataFrame:
+    return features.groupBy("ref_base", "majority_base").agg(F.count("*").alias("n"))
+
+
 def confusion(features: DataFrame, rows_of_gaps: bool = False) -> DataFrame:
     """All pairs of reference and majority base, with their share of the pairs that differ.
 
     Pairs with a gap as reference count only with ``rows_of_gaps``; other symbols are left out.
     """
+    return _confusion(_pairs(features), rows_of_gaps)
+
+
+def _confusion(pairs: DataFrame, rows_of_gaps: bool = False) -> DataFrame:
     known = F.col("ref_base").isin(*(SYMBOLS if rows_of_gaps else BASES)) & F.col("majority_base").isin(*SYMBOLS)
-    counts = features.where(known).groupBy("ref_base", "majority_base").agg(F.count("*").alias("n"))
-    full = F.broadcast(_grid(features, SYMBOLS)).join(counts, ["ref_base", "majority_base"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = pairs.where(known)
+    full = F.broadcast(_grid(pairs, SYMBOLS)).join(counts, ["ref_base", "majority_base"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     off = F.col("ref_base") != F.col("majority_base")
     total = F.sum(F.when(off, F.col("n"))).over(Window.partitionBy())  # over the 25 cells
     return full.select("ref_base", "majority_base", "n", F.when((F.col("n") > 0) & off, percent_of(F.col("n"), total)).alias("percent"))
@@ -66,8 +75,12 @@ def _differing() -> Column:
 
 def mismatch_counts(features: DataFrame) -> DataFrame:
     """The 16 kinds of mismatch, those without positions included."""
-    counts = features.where(_differing()).groupBy("ref_base", "majority_base").agg(F.count("*").alias("n"))
-    kinds = F.broadcast(_grid(features, BASES).where("ref_base <> majority_base"))
+    return _mismatch_counts(_pairs(features))
+
+
+def _mismatch_counts(pairs: DataFrame) -> DataFrame:
+    counts = pairs.where(_differing())
+    kinds = F.broadcast(_grid(pairs, BASES).where("ref_base <> majority_base"))
     full = kinds.join(counts, ["ref_base", "majority_base"], "left")
     return full.select(mismatch_label().alias("mismatch"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -83,17 +96,50 @@ def by_motif(features: DataFrame, bins: int = BINS, alt: bool = False) -> DataFr
     return bin_means(rows, error_rates(alt), bins, ["motif3"]).withColumn("centre", F.substring("motif3", 2, 1))
 
 
+#: What ``counts`` counts by, and the number that tells a row's grouping: a bit for each column that it does not tell apart.
+GROUPINGS = {"all": (), "chr": ("chr",), "class": ("class",), "pair": ("ref_base", "majority_base")}
+LEVELS = {"all": 15, "chr": 7, "class": 11, "pair": 12}
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """(level, chr, class, ref_base, majority_base, n): rows of every grouping that datasets count, in one aggregation."""
+    columns = ("chr", "class", "ref_base", "majority_base")
+    return rows.groupingSets([list(g) for g in GROUPINGS.values()], *columns).agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
+def binned(rows: DataFrame, bins: int = BINS, alt: bool = False) -> DataFrame:
+    """(dataset, key, bin, means): the bins of every grouping, in one pass; a row counts in each grouping that it has a key of."""
+    of = lambda name, key: F.struct(F.lit(name).alias("dataset"), key.alias("key"))
+    mismatch = F.when(_differing(), mismatch_label())
+    groups = F.array(of("general", F.lit("")), of("by_chromosome", F.col("chr")), of("by_class", F.col("class")), of("by_mismatch", mismatch), of("by_motif", F.when(F.substring("motif3", 2, 1).isin(*BASES), F.col("motif3"))))
+    values = ["n_reads", "q_mean", *error_rates(alt)]
+    sent = rows.select("chr", "site", *values, F.explode(F.filter(groups, lambda g: g["key"].isNotNull())).alias("g"))
+    return bin_means(sent.select("chr", "site", *values, "g.*"), values, bins, ["dataset", "key"])
+
+
 def summarise(features: DataFrame, bins: int = BINS, alt: bool = False) -> dict[str, DataFrame]:
-    """All datasets by name."""
+    """All datasets by name, from one scan of the features.
+
+    What the datasets need of a row is written once; from there one aggregation by grouping sets makes
+    all that is counted, and one pass by grouping all that is binned.
+    """
+    rates = error_rates(alt)
+    rows = features.select("chr", "site", "n_reads", "q_mean", *rates, "ref_base", "majority_base", match_class().alias("class"), centre_of_motif(F.col("motif")).alias("motif3"))
+    rows = materialize(rows, "summary-rows")
+    level = lambda name: counted.where(F.col("level") == LEVELS[name])
+    counted = materialize(counts(rows), "summary-counts")
+    bins_of = materialize(binned(rows, bins, alt), "summary-bins")
+    part = lambda name, key, values: bins_of.where(F.col("dataset") == name).select(*([F.col("key").alias(key)] if key else []), "bin", *values)
+    totals_ = counted.agg(F.coalesce(F.sum(F.when(F.col("level") == LEVELS["all"], F.col("n"))), F.lit(0)).alias("positions"), F.count(F.when(F.col("level") == LEVELS["chr"], F.col("chr"))).alias("chromosomes"))
     return {
-        "totals": totals(features),
-        "general": general(features, bins),
-        "chromosome_counts": chromosome_counts(features),
-        "by_chromosome": by_chromosome(features, bins),
-        "class_counts": class_counts(features),
-        "by_class": by_class(features, bins, alt),
-        "confusion": confusion(features),
-        "mismatch_counts": mismatch_counts(features),
-        "by_mismatch": by_mismatch(features, bins, alt),
-        "by_motif": by_motif(features, bins, alt),
+        "totals": totals_,
+        "general": part("general", None, ["n_reads", "q_mean"]),
+        "chromosome_counts": level("chr").select("chr", F.col("n").alias("positions")),
+        "by_chromosome": part("by_chromosome", "chr", ["n_reads", "q_mean"]),
+        "class_counts": level("class").select("class", F.col("n").alias("positions")),
+        "by_class": part("by_class", "class", rates),
+        "confusion": _confusion(level("pair")),
+        "mismatch_counts": _mismatch_counts(level("pair")),
+        "by_mismatch": part("by_mismatch", "mismatch", rates),
+        "by_motif": part("by_motif", "motif3", rates).withColumn("centre", F.substring("motif3", 2, 1)),
     }

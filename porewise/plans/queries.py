@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions import pileup as p
-from ..operators import bed, binning, extractor, filtering, nearby, neighbours, poi, possummary, stats, summary, twosample
+from ..operators import bed, binning, extractor, filtering, nearby, neighbours, poi, possummary, sketches, stats, summary, topk, twosample
 from ..sources.storage import materialize
 from . import adapters as ad
 from .registry import QUERIES, SQL  # noqa: F401 - all queries, for callers
@@ -426,6 +426,51 @@ def poi_tests(spark, sf_dir):
     return stats.compare_groups(rates, True).withColumn("p", F.round("p", 9))
 
 
+# ------------------------------------------------------------------ first rows, samples and sketches
+
+
+@_query("select chr, site, n_reads, row_number() over w as rank from f window w as (partition by chr order by mismatch_rate desc, n_reads desc, site) qualify row_number() over w <= 20")
+def top_sites(spark, sf_dir):
+    """The worst sites of each chromosome; of equal ones those with more reads, then the smaller site."""
+    order = [F.desc("mismatch_rate"), F.desc("n_reads"), F.asc("site")]
+    return topk.top_k(ad.features(spark, sf_dir), 20, order, ["chr"]).select("chr", "site", "n_reads", "rank")
+
+
+@_query(
+    """x as (select 1), p as (select motif, chr, site, -ln((('0x' || substr(md5(concat('7:', chr, ':', site::varchar)), 1, 13))::bigint + 1) / 4503599627370496.0::double) / n_reads as place from f where n_reads > 0)
+      select motif, chr, site, round(place, 9) as place, row_number() over w as rank from p window w as (partition by motif order by place, chr, site) qualify row_number() over w <= 10"""
+)
+def sampled_sites(spark, sf_dir):
+    """Ten sites of each motif, drawn in proportion to their reads."""
+    found = topk.sample_k(ad.features(spark, sf_dir), 10, ["chr", "site"], ["motif"], "n_reads")
+    return found.select("motif", "chr", "site", F.round("place", 9).alias("place"), "rank")
+
+
+_REGIONS = "r as (select o_orderpriority as region, concat('chr', o_custkey % 7 + 1) as chr, min(o_orderkey) as start, (min(o_orderkey) + max(o_orderkey)) // 2 as \"end\" from orders group by 1, 2)"
+
+
+@_query(
+    f"""x as (select 1), {_REGIONS}, s as (select distinct region, chr, unnest(range((start + 1) // 1000, "end" // 1000 + 1)) as stretch from r)
+      select region, count(*) as rows, true as quantiles_within, true as motifs_within from s join f on f.chr = s.chr and f.site // 1000 = s.stretch group by region"""
+)
+def region_sketches(spark, sf_dir):
+    """Regions of several chromosomes from stored sketches: exact rows, and whether estimates keep the stated errors."""
+    features = ad.features(spark, sf_dir)
+    stored = materialize(sketches.sketch(features, ["mismatch_rate"], size=1000), "sketches")
+    regions = ad.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("region"), F.expr("concat('chr', o_custkey % 7 + 1)").alias("chr")).agg(F.min("o_orderkey").alias("start"), F.expr("(min(o_orderkey) + max(o_orderkey)) div 2").alias("end"))
+    told = materialize(sketches.region_summary(stored, regions, (0.1, 0.5, 0.9), ["mismatch_rate"]), "sketched")
+    # the rows themselves, to see where the estimates lie among them
+    at = F.explode(F.sequence(F.floor((F.col("start") + 1) / 1000), F.floor(F.col("end") / 1000))).alias("stretch")
+    real = features.withColumn("stretch", F.floor(F.col("site") / 1000)).join(regions.select("region", "chr", at).distinct(), ["chr", "stretch"])
+    real = real.select("region", "motif", F.col("mismatch_rate").alias("value")).join(F.broadcast(told.select("region", "mismatch_rate")), "region")
+    below = [F.avg((F.col("value") < F.col("mismatch_rate")[i]).cast("double")) <= q + sketches.RANK_ERROR for i, q in enumerate((0.1, 0.5, 0.9))]
+    upto = [F.avg((F.col("value") <= F.col("mismatch_rate")[i]).cast("double")) >= q - sketches.RANK_ERROR for i, q in enumerate((0.1, 0.5, 0.9))]
+    seen = real.groupBy("region").agg(*(b.alias(f"b{i}") for i, b in enumerate([*below, *upto])), F.countDistinct("motif").alias("motifs"))
+    ok = F.col("b0") & F.col("b1") & F.col("b2") & F.col("b3") & F.col("b4") & F.col("b5")
+    near = F.abs(F.col("motif") - F.col("motifs")) <= F.greatest(F.lit(1), F.ceil(F.col("motifs") * sketches.COUNT_ERROR))
+    return told.join(seen, "region").select("region", "rows", ok.alias("quantiles_within"), near.alias("motifs_within"))
+
+
 @_query("select chr, site, chr as name from f where mismatch_rate >= 0.5")
 def flagship(spark, sf_dir):
     """Positions in error, labelled; rows of the two-step minimum: feature table, then filter."""

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 from porewise.plans import queries as core
-from porewise.plans import text_queries  # noqa: F401 - adds its queries
+from porewise.plans import stream_queries, text_queries  # noqa: F401 - add their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

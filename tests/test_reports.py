@@ -1,0 +1,174 @@
+"""First rows and samples of groups, sketches, the summary in one scan, exact ranks, and lines as they are."""
+
+import math
+import random
+from collections import Counter
+from hashlib import md5
+from itertools import combinations
+from math import comb
+
+import pytest
+from pyspark.sql import functions as F
+
+from porewise.__main__ import main
+from porewise.operators import sketches, stats, summary, topk
+from porewise.sources import text
+
+
+# ------------------------------------------------------------------ first rows and samples
+
+
+def test_top_k(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["x", "y", None]), rng.randint(0, 9), i) for i in range(500)] + [("one", 1, 1000)]
+    df = spark.createDataFrame(rows, "g string, v int, id int").repartition(7)
+    found = topk.top_k(df, 5, [F.desc("v"), F.asc("id")], ["g"])
+    want = [(*r, i) for g in ("x", "y", None, "one") for i, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:5], 1)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_sample_k(spark):
+    rows = [(g, i, w) for g in ("a", "b") for i, w in enumerate([1.0, 2.0, 5.0, 0.0, None, -1.0] * 30)]
+    df = spark.createDataFrame(rows, "g string, id int, w double").repartition(5)
+    place = lambda i, w: -math.log((int(md5(f"7:{i}".encode()).hexdigest()[:13], 16) + 1) / 2**52) / w
+    want = sorted(((place(i, w), i) for g, i, w in rows if g == "a" and w and w > 0))[:8]
+    for _ in range(2):
+        got = topk.sample_k(df, 8, ["id"], ["g"], "w").collect()
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["g"] == "a"] == [i for _, i in want] and len(got) == 16
+    assert topk.sample_k(df, 3, ["id"], ["g"]).count() == 6
+    # of rows with weights 1, 2 and 5, the first of many draws is of each in proportion
+    draws = spark.range(3000).select(F.col("id").alias("draw"), F.explode(F.array(*map(F.lit, (1, 2, 5)))).alias("w"))
+    first = Counter(r["w"] for r in topk.sample_k(draws, 1, ["draw", "w"], ["draw"], "w").collect())
+    assert [first[w] / 3000 for w in (1, 2, 5)] == pytest.approx([1 / 8, 2 / 8, 5 / 8], abs=0.03)
+
+
+# ------------------------------------------------------------------ sketches
+
+
+def test_regions_from_sketches(spark):
+    n = 60_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("chr"), F.col("id").alias("site"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("mismatch_rate"), F.when(F.col("id") % 11 > 0, 1.5).alias("q_mean"), F.concat(F.lit("m"), F.col("id") % 700).alias("motif"))
+    df = df.union(spark.createDataFrame([(None, 1, 1.0, 1.0, "z"), ("empty", 5, None, None, None)], "chr string, site long, mismatch_rate double, q_mean double, motif string"))
+    stored = sketches.sketch(df, size=1000)
+    assert stored.where("chr = 'a'").count() == 60
+    regions = spark.createDataFrame([("whole", "a", 0, n), ("whole", "b", 0, n), ("part", "a", 10_000, 20_500), ("part", "a", 12_000, 13_000), ("empty", "empty", 0, 10), ("none", "c", 0, 9), ("turned", "a", 9, 3)], "region string, chr string, start long, end long")
+    got = {r["region"]: r for r in sketches.region_summary(stored, regions, (0.1, 0.5, 0.9)).collect()}
+    assert set(got) == {"whole", "part", "empty"} and got["empty"]["rows"] == 1 and got["empty"]["mismatch_rate"] is None
+    assert got["whole"]["rows"] == n and got["part"]["rows"] == sum(i % 3 == 0 for i in range(10_000, 21_000))
+    for name, values in (("whole", sorted(i * 7919 % n for i in range(n))), ("part", sorted(i * 7919 % n for i in range(10_000, 21_000) if i % 3 == 0))):
+        for q, v in zip((0.1, 0.5, 0.9), got[name]["mismatch_rate"], strict=True):
+            assert abs(sum(x <= v for x in values) / len(values) - q) <= sketches.RANK_ERROR + 1 / len(values)
+        assert abs(got[name]["motif"] - 700) <= 700 * sketches.COUNT_ERROR and got[name]["q_mean"] == [1.5] * 3
+
+
+# ------------------------------------------------------------------ summary
+
+
+def test_summary_from_one_scan(spark):
+    """All datasets equal the ones that are computed one by one, and every row of the features is computed once."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["c1", "c2"]), i, rng.choice("ACGUN"), rng.choice("ACGU-"), rng.randint(1, 90), *(rng.random() for _ in range(5)), "AA" + rng.choice("ACGUN") + "CU") for i in range(800)]
+    columns = "chr string, site long, ref_base string, majority_base string, n_reads int, mismatch_rate double, deletion_rate double, insertion_rate double, refskip_rate double, q_mean double, motif string"
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(n):
+        seen.add(1)
+        return n
+
+    plain = spark.createDataFrame(rows, columns)
+    found = summary.summarise(plain.withColumn("n_reads", counted("n_reads")), 50)
+    each = {
+        "totals": summary.totals(plain), "general": summary.general(plain, 50), "chromosome_counts": summary.chromosome_counts(plain), "by_chromosome": summary.by_chromosome(plain, 50),
+        "class_counts": summary.class_counts(plain), "by_class": summary.by_class(plain, 50), "confusion": summary.confusion(plain), "mismatch_counts": summary.mismatch_counts(plain),
+        "by_mismatch": summary.by_mismatch(plain, 50), "by_motif": summary.by_motif(plain, 50),
+    }
+    assert found.keys() == each.keys()
+    show = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    for name, one in each.items():
+        assert found[name].columns == one.columns and show(found[name]) == show(one), name
+    assert seen.value == len(rows)
+    empty = summary.summarise(plain.limit(0), 50)
+    assert [tuple(r) for r in empty["totals"].collect()] == [(0, 0)] and empty["general"].count() == 0 and empty["mismatch_counts"].count() == 16
+
+
+# ------------------------------------------------------------------ exact ranks
+
+
+def test_orders_of_two_samples():
+    for m in range(1, 5):
+        for n in range(m, 8):
+            u = Counter(sum(c) - m * (m - 1) // 2 for c in combinations(range(m + n), m))
+            assert [stats._orders_up_to(m, n, k) for k in range(m * n + 1)] == [sum(v for x, v in u.items() if x <= k) for k in range(m * n + 1)]
+    assert stats._orders_up_to(8, 500, 4000) == comb(508, 8)
+
+
+def test_rank_test_at_any_size():
+    """Exact beyond what can be listed, on either side of what a normal one would say."""
+    assert stats.mann_whitney_p(1, 100_001, 1.0, 0) == pytest.approx(2 / 100_002)
+    assert stats.mann_whitney_p(2, 10**9, 3.0, 0) == pytest.approx(2 / comb(10**9 + 2, 2))
+    n1, n2 = 8, 12_501
+    u = next(u for u in range(n1 * n2 // 2) if stats.mann_whitney_p(n1, n2, u + n1 * (n1 + 1) / 2, 0) > 0.0487)
+    p = stats.mann_whitney_p(n1, n2, u + n1 * (n1 + 1) / 2, 0)
+    assert 0.0487 < p < 0.0488 and stats.mann_whitney_p(n2, n1, n1 * n2 - u + n2 * (n2 + 1) / 2, 0) == pytest.approx(p)
+    assert stats.mann_whitney_p(n1, n2, u + n1 * (n1 + 1) / 2, 1e-9) > 0.05  # a tie, or the normal approximation
+
+
+# ------------------------------------------------------------------ lines as they are
+
+
+def _table(rng, n):
+    rows = []
+    for _ in range(n):
+        c, s = rng.choice(["chr10", "chr2", "X", "chr1"]), rng.randint(1, 900)
+        rate = rng.choice(["1e-07", "0.50", "5.0E-1", ".75", "nan", ""])
+        rows.append("\t".join([c, str(s), rng.choice(["7", "07", "x"]), "A", "G", *"1234567", *["0.10"] * 7, rate, "0.5", "ACGUN", "3e1", "1.50", "-1,", f"extra {rng.random()}", '"quoted']))
+    return rows
+
+
+HEAD = "\t".join([*text.COLUMNS, "bed_col_1", "bed_col_2"])
+
+
+def _written(folder):
+    return b"".join(p.read_bytes() for p in sorted(folder.glob("part-*")))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_filter_keeps_lines_and_their_order(spark, tmp_path, end):
+    """Random order of chromosomes, numbers as others write them, further columns: byte for byte, in several blocks of the file."""
+    rows = _table(random.Random(1), 3000)
+    (tmp_path / "in.tsv").write_bytes("".join(r + end for r in [HEAD, *rows]).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        main(f"filter -i file://{tmp_path}/in.tsv -p >=0.5 -o {tmp_path}/out.tsv".split())
+        main(f"filter -i file://{tmp_path}/in.tsv -o {tmp_path}/all.tsv".split())
+        numbers = [(r["number"], r["value"]) for r in text.number_lines(text.read_feature_lines(spark, f"file://{tmp_path}/in.tsv")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(numbers) == list(enumerate([x + end[:-1] for x in [HEAD, *rows]]))
+    kept = [r for r in rows if r.split("\t")[19] in ("0.50", "5.0E-1", ".75", "nan")]
+    lines = _written(tmp_path / "out.tsv").decode().split("\n")
+    assert lines[0] == HEAD + end[:-1] and [x.removesuffix("\r") for x in lines[1:-1]] == kept
+    assert _written(tmp_path / "all.tsv") == (tmp_path / "in.tsv").read_bytes()
+
+
+def test_added_fields_follow_the_line(spark, tmp_path):
+    rows = ["chr10\t5\t1e-07", "chr2\t7\tx", "chr10\t1\t"]
+    (tmp_path / "in.tsv").write_text("".join(r + "\n" for r in ["\t".join(text.COLUMNS[:3]), *rows]))
+    (tmp_path / "a.bed").write_text("chr2\t6\t7\tname\tmore\nchr10\t0\t1\tlast\n")
+    main(f"bedops addinfo -i {tmp_path}/in.tsv -b {tmp_path}/a.bed -o {tmp_path}/out.tsv".split())
+    assert _written(tmp_path / "out.tsv").decode() == "chr\tsite\tn_reads\tbed_col_1\tbed_col_2\nchr10\t5\t1e-07\t\t\nchr2\t7\tx\tname\tmore\nchr10\t1\t\tlast\t\n"
+    main(f"filter -i {tmp_path}/out.tsv -c chr10 -o {tmp_path}/again.tsv".split())
+    assert _written(tmp_path / "again.tsv").decode() == "chr\tsite\tn_reads\tbed_col_1\tbed_col_2\nchr10\t5\t1e-07\t\t\nchr10\t1\t\tlast\t\n"
+
+
+def test_extractor_keeps_the_order_of_its_input(spark, tmp_path):
+    sites = [("c10", 3), ("c2", 4), ("c10", 1), ("c1", 2), ("c2", 1)]
+    (tmp_path / "in.pileup").write_text("".join(f"{c}\t{s}\tA\t2\t.g\tII\n" for c, s in sites))
+    (tmp_path / "ref.fasta").write_text("".join(f">{c}\nACGTACGT\n" for c in ("c1", "c2", "c10")))
+    main(f"extractor -i {tmp_path}/in.pileup -r {tmp_path}/ref.fasta --no_summary -o {tmp_path}/out.tsv".split())
+    head, *rest = _written(tmp_path / "out.tsv").decode().splitlines()
+    assert head == "\t".join(text.COLUMNS) and [tuple(r.split("\t")[:2]) for r in rest] == [(c, str(s)) for c, s in sites]
