@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import variants
 from ..sources.storage import new_folder
 from ..streaming import neighbours, windows
 from . import adapters as ad
@@ -88,3 +89,36 @@ def neighbour_stream(spark, sf_dir):
     stream = spark.readStream.schema(dealt.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(_in_files(dealt, "features-in", "part", 3))
     found, _ = windows.write_to_end(neighbours.neighbour_updates(stream), "neighbours")
     return neighbours.latest(found).select("chr", "site", F.array_join(F.col("neighbour_error_pos").cast("array<string>"), ",").alias("neighbour_error_pos"))
+
+
+#: Properties as events might bring them: as they are, other types, nested ones, cut text, none.
+_PROPS = """case event_id % 6 when 0 then props when 1 then concat('{"k": "', event_type, '"}') when 2 then substr(props, 1, 4)
+  when 3 then concat('{"k": ', cast(user_id as varchar(20)), ', "more": {"a": [1, null]}, "on": true}') when 4 then concat('[', cast(user_id as varchar(20)), ']') end"""
+
+
+def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.stored(ad.table(spark, sf_dir, "events").select("event_type", F.expr(_PROPS).alias("text")), "text")
+
+
+_KIND = "case json_type({x}) when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'number' when 'VARCHAR' then 'text' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'null' end"
+
+
+@query(
+    f"""x as (select 1), t as (select {_PROPS} as text from events), g as (select text::json as j from t where json_valid(text)),
+      k as (select '$.' || key as path, json_extract(j, '$.' || key) as v from (select j, unnest(json_keys(j)) as key from g where json_type(j) = 'OBJECT'))
+      select '$' as path, {_KIND.format(x='j')} as kind, count(*) as n from g group by all union all select path, {_KIND.format(x='v')}, count(*) from k group by all"""
+)
+def event_paths(spark, sf_dir):
+    """Paths and types in the properties of events."""
+    return variants.path_kinds(_props(spark, sf_dir))
+
+
+@query(
+    f"""x as (select 1), t as (select event_type, {_PROPS} as text from events), g as (select *, json_valid(text) as ok, case when json_valid(text) then json_extract(text, '$.k') end as k from t)
+      select event_type, count(*) filter (text is not null and not ok) as malformed, count(*) filter (json_type(k) = 'UBIGINT') as numbers, coalesce(sum(case when json_type(k) = 'UBIGINT' then k::bigint end), 0)::bigint as total, count(*) filter (json_type(k) = 'VARCHAR') as words from g group by event_type"""
+)
+def event_properties(spark, sf_dir):
+    """Typed values of one path by type of event; malformed text is counted."""
+    number, is_text = variants.typed("$.k", "bigint"), variants.kind_of(F.try_variant_get("v", "$.k", "variant")) == "text"
+    rows = _props(spark, sf_dir).groupBy("event_type")
+    return rows.agg(F.count(F.when(F.col("malformed"), 1)).alias("malformed"), F.count(number).alias("numbers"), F.coalesce(F.sum(number), F.lit(0)).alias("total"), F.count(F.when(is_text, 1)).alias("words"))

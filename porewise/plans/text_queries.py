@@ -9,7 +9,7 @@ from ..functions.conditions import region
 from ..functions.labels import chromosome_order, decode_neighbours, encode_neighbours
 from ..operators import extractor, filtering, neighbours, poi, summary, twosample
 from ..schema import COLUMNS
-from ..sources import text
+from ..sources import blocks, text
 from ..sources.storage import new_folder
 from . import adapters as ad
 from .queries import _GROUPED, _NAMED, _TWO, BINS, CATEGORY, COUNTERPART, _samples
@@ -174,6 +174,28 @@ def text_features(spark, sf_dir):
     return found.select(*_PLAIN, *(F.round(c, 9).alias(c) for c in ("mismatch_rate", "deletion_rate")), "q_std", F.array_join(near.cast("array<string>"), ",").alias("neighbours"), encode_neighbours(near).alias("code"))
 
 
+_SITES = f"""select concat('chr', cast(l_linenumber as varchar(4))) as chr, l_orderkey as site, {ad.REF_BASE} as ref_base, (cast(l_quantity as int) + l_linenumber)::int as n_reads, {_BASES} as bases, {_QUALITIES} as qualities
+  from (select l_orderkey, l_linenumber, {_of_key('//')} from (select l_orderkey, l_linenumber, max({_KEY}) as k from lineitem group by all))"""
+
+
+def _in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "pileup-blocks")
+    blocks.write_blocks(_pileup(spark, sf_dir), path)
+    return blocks.read_blocks(spark, path, split_bytes=1 << 20)
+
+
+@query(_SITES)
+def block_pileup(spark, sf_dir):
+    """Pileup lines through block-compressed files."""
+    return _in_blocks(spark, sf_dir)
+
+
+@query(f"x as (select 1) select * from ({_SITES}) where chr in ('chr3', 'chr5') and site between 100 and 1200")
+def block_region(spark, sf_dir):
+    """A region of two chromosomes, of which only its blocks are read."""
+    return _in_blocks(spark, sf_dir).where("chr in ('chr3', 'chr5') and site between 100 and 1200")
+
+
 #: A line of a feature table with fields as other programs write them, and two columns beyond those known.
 _VERBATIM = (
     "concat_ws(chr(9), chr, cast(site as varchar(20)), cast(n_reads as varchar(20)), ref_base, majority_base, '1', '02', '3', '4', '5', '6', '7', '1e-07', '0.10', '.5', '0', '1E-3', '-0', '0.0', "
