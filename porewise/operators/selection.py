@@ -23,13 +23,13 @@ PIECES = 4096
 MOST_BROADCAST = 200_000
 
 
-def _exponent(v: Column) -> Column:
+def exponent(v: Column) -> Column:
     """Sign and binary exponent as one number that grows with the value."""
     size = F.greatest(F.least(F.floor(F.log2(F.abs(v))), F.lit(1024)), F.lit(-1080)) + 1100
     return F.when(v == 0, 0).when(v > 0, size).otherwise(-size).cast("long")
 
 
-def _piece(v: Column, low: Column, high: Column) -> Column:
+def piece(v: Column, low: Column, high: Column) -> Column:
     """The piece of a range that a value is in, from 0 on; halves avoid an overflow of wide ranges."""
     share = F.try_divide(v / 2 - low / 2, high / 2 - low / 2)
     return F.when(high > low, F.least(F.floor(share * PIECES), F.lit(PIECES - 1))).otherwise(0).cast("long")
@@ -46,7 +46,7 @@ def select_ranks(values: DataFrame, ranks: DataFrame, group: Sequence[str], pass
     open_, done, first = ranks.select(*keys, "rank", F.col("rank").alias("rest")), None, True
     while True:
         if first:
-            counts = values.groupBy(*keys, _exponent(F.col("value")).alias("__piece"))
+            counts = values.groupBy(*keys, exponent(F.col("value")).alias("__piece"))
             counts = counts.agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
             span = keys
         else:
@@ -54,8 +54,8 @@ def select_ranks(values: DataFrame, ranks: DataFrame, group: Sequence[str], pass
             few = F.broadcast(ranges) if size <= MOST_BROADCAST else ranges
             inside = (F.col("v.value") >= F.col("r.low")) & (F.col("v.value") <= F.col("r.high"))
             met = values.alias("v").join(few.alias("r"), [*same("v", "r"), inside])
-            piece = _piece(F.col("v.value"), F.col("r.low"), F.col("r.high"))
-            counts = met.groupBy(*(F.col(f"v.{k}").alias(k) for k in keys), "r.low", "r.high", piece.alias("__piece"))
+            place = piece(F.col("v.value"), F.col("r.low"), F.col("r.high"))
+            counts = met.groupBy(*(F.col(f"v.{k}").alias(k) for k in keys), "r.low", "r.high", place.alias("__piece"))
             counts = counts.agg(F.count("*").alias("n"), F.min("v.value").alias("least"), F.max("v.value").alias("most"))
             span = [*keys, "low", "high"]
         upto = F.sum("n").over(Window.partitionBy(*span).orderBy("__piece"))

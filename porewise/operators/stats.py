@@ -11,6 +11,8 @@ from math import asinh, comb, copysign, erfc, exp, isnan, lcm, lgamma, log, sqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import PIECES, exponent, piece
+
 
 def skew_score(n: int, g1: float) -> float:
     """D'Agostino's transformed skewness."""
@@ -138,17 +140,19 @@ def moments(rates: DataFrame) -> DataFrame:
     return rates.where(v.isNotNull()).groupBy("metric", "grp").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"))
 
 
-def rank_sums(rates: DataFrame, pairs: list[tuple[int, int]], stretches: int = 4096) -> DataFrame:
+def rank_sums(rates: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     """(metric, pair, rank_sum of the first sample, ties = sum of t^3 - t), average ranks.
 
     Equal values are counted first; ranks then come from counts in stretches of the value range
-    and within each stretch, so that no metric is sorted in one task.
+    and within each stretch, so that no metric is sorted in one task, whatever outliers it has.
     """
     pair = F.explode(F.array(*(F.struct(F.lit(i).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(pairs)))).alias("p")
     rows = rates.where("value is not null").select("metric", "grp", "value", pair).where((F.col("grp") == F.col("p.a")) | (F.col("grp") == F.col("p.b")))
     counts = rows.groupBy("metric", F.col("p.pair").alias("pair"), "value").agg(F.count("*").alias("n"), F.count(F.when(F.col("grp") == F.col("p.a"), 1)).alias("first"))
-    span = counts.groupBy("metric", "pair").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    placed = counts.join(F.broadcast(span), ["metric", "pair"]).withColumn("stretch", F.coalesce(F.floor(F.try_divide((F.col("value") - F.col("low")) * stretches, F.col("high") - F.col("low"))), F.lit(0)))
+    # by sign and binary exponent, then in pieces of what each exponent spans: an outlier has an exponent of its own
+    counts = counts.withColumn("exponent", exponent(F.col("value")))
+    span = counts.groupBy("metric", "pair", "exponent").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    placed = counts.join(F.broadcast(span), ["metric", "pair", "exponent"]).withColumn("stretch", F.col("exponent") * PIECES + piece(F.col("value"), F.col("low"), F.col("high")))
     sums = placed.groupBy("metric", "pair", "stretch").agg(F.sum("n").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("metric", "pair").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
     begins = sums.select("metric", "pair", "stretch", F.coalesce(upto, F.lit(0)).alias("begin"))

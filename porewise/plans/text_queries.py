@@ -12,7 +12,7 @@ from ..schema import COLUMNS
 from ..sources import blocks, text
 from ..sources.storage import new_folder
 from . import adapters as ad
-from .queries import _GROUPED, _NAMED, _TWO, BINS, CATEGORY, COUNTERPART, _samples
+from .queries import _CELLS, _CLASS, _GRID, _GROUPED, _NAMED, _PERCENT, _TWO, BINS, CATEGORY, COUNTERPART, RATES, _bins_sql, _samples
 from .registry import query
 
 # ------------------------------------------------------------------ the extractor
@@ -109,6 +109,12 @@ def extract_thresholds(spark, sf_dir):
     return _shown(extractor.extract(rows, _reference(spark, sf_dir), 20, 30, 0.02, 0.1, 0.15, window_size=3, neighbour_thresh=0.3))
 
 
+@query(_extract_sql("chr not in ('chr2', 'chr7')", "mismatch_rate >= 0.2"))
+def extract_unknown(spark, sf_dir):
+    """Rows of chromosomes that the reference lacks are left out."""
+    return _shown(extractor.extract(_pileup(spark, sf_dir), _reference(spark, sf_dir).where("chr not in ('chr2', 'chr7')"), mismatch_rate=0.2))
+
+
 @query(_extract_sql("chr = 'chr3' and site between 100 and 1200", "true"))
 def extract_region(spark, sf_dir):
     """One region of one chromosome, given as text."""
@@ -324,3 +330,36 @@ def summary_sizes(spark, sf_dir):
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("dataset"), "n")
         out = one if out is None else out.union(one)
     return out
+
+
+def _dataset_sql(name: str, sql: str, key: str, bin_: str, *values: str) -> str:
+    shown = ", ".join(f"{v}::double as v{i}" for i, v in enumerate([*values, *["null"] * (4 - len(values))], 1))
+    return f"select '{name}' as dataset, {key} as key, {bin_} as bin, {shown} from ({sql})"
+
+
+_VALUES = {
+    "totals": ("select count(*) as positions, count(distinct chr) as chromosomes from f", "''", "null", "positions", "chromosomes"),
+    "chromosome_counts": ("select chr, count(*) as positions from f group by chr", "chr", "null", "positions"),
+    "class_counts": (f"select {_CLASS} as class, count(*) as positions from f group by 1", "class", "null", "positions"),
+    "general": (_bins_sql(("n_reads", "q_mean")), "''", "bin", "n_reads", "q_mean"),
+    "by_chromosome": (_bins_sql(("n_reads", "q_mean"), "chr"), "chr", "bin", "n_reads", "q_mean"),
+    "by_class": (_bins_sql(RATES, "class", f"(select *, {_CLASS} as class from f)"), "class", "bin", *RATES),
+    "confusion": (_PERCENT, "concat(ref_base, majority_base)", "null", "n", "percent"),
+    "mismatch_counts": ("select concat(ref_base, ' - ', majority_base) as mismatch, n from c where ref_base <> majority_base and ref_base <> '-'", "mismatch", "null", "n"),
+    "by_mismatch": (_bins_sql(RATES, "mismatch", "(select *, concat(ref_base, ' - ', majority_base) as mismatch from f where ref_base <> majority_base)"), "mismatch", "bin", *RATES),
+    "by_motif": (_bins_sql(RATES, "motif3", "(select *, substring(motif, 2, 3) as motif3 from f where substring(motif, 3, 1) in ('A', 'C', 'G', 'U'))"), "motif3", "bin", *RATES),
+}
+_KEYS = {"chromosome_counts": "chr", "class_counts": "class", "by_chromosome": "chr", "by_class": "class", "mismatch_counts": "mismatch", "by_mismatch": "mismatch", "by_motif": "motif3"}
+
+
+@query(f"x as (select 1), {_GRID}, t as (select * from f), {_CELLS} " + " union all ".join(_dataset_sql(name, *how) for name, how in _VALUES.items()))
+def summary_datasets(spark, sf_dir):
+    """All values of the summary, from one scan."""
+    found, out = summary.summarise(ad.features(spark, sf_dir), BINS), None
+    for name, (_, _, bin_, *values) in _VALUES.items():
+        rows = found[name]
+        key = F.concat("ref_base", "majority_base") if name == "confusion" else F.col(_KEYS[name]) if name in _KEYS else F.lit("")
+        shown = [F.round(F.col(v).cast("double"), 6) if bin_ == "bin" else F.col(v).cast("double") for v in values] + [F.lit(None).cast("double")] * (4 - len(values))
+        one = rows.select(F.lit(name).alias("dataset"), key.alias("key"), (F.col("bin") if bin_ == "bin" else F.lit(None)).cast("long").alias("bin"), *(c.alias(f"v{i}") for i, c in enumerate(shown, 1)))
+        out = one if out is None else out.union(one)
+    return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import decode_neighbours, encode_neighbours
 from ..functions.pileup import to_rna
 from ..schema import COLUMNS, FEATURES
+from .storage import materialize
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -68,21 +69,27 @@ def _segments(rows: DataFrame, size: int) -> DataFrame:
     return whole.union(long.select("chr", F.col("offset") + F.col("place") * size, "part", "length"))
 
 
+#: Lines of a FASTA file that one task puts in order.
+CHUNK_LINES = 1 << 16
+
+
 def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(chr, offset, seq, length): stretches of each record's sequence; the last record of a repeated name counts.
 
-    Lines are numbered where they lie, and only the totals of file blocks are added up in one task,
-    so a chromosome is never held as a whole. Each record has a stretch, an empty one at least.
+    Lines are numbered where they lie, in chunks of a bounded number of lines, and only the totals of
+    chunks are added up in one task, so neither a chromosome nor a file that can't be split is held as a
+    whole. Each record has a stretch, an empty one at least.
     """
     head = F.col("value").startswith(">")
-    lines = _lines(spark, _paths(path)).select("file", "line.path", "line.block", "line.line", head.alias("head"), F.when(head, F.split(F.substring("value", 2, 1 << 20), r"\s")[0]).alias("chr"), F.when(head, "").otherwise(F.upper(F.regexp_replace("value", r"\s", ""))).alias("seq"))
-    block = ["file", "path", "block"]
-    so_far = Window.partitionBy(*block).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    lines = _lines(spark, _paths(path)).select("file", "line.path", "line.block", F.floor(F.col("line.line") / CHUNK_LINES).alias("chunk"), "line.line", head.alias("head"), F.when(head, F.split(F.substring("value", 2, 1 << 20), r"\s")[0]).alias("chr"), F.when(head, "").otherwise(F.upper(F.regexp_replace("value", r"\s", ""))).alias("seq"))
+    part = ["file", "path", "block", "chunk"]
+    so_far = Window.partitionBy(*part).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     placed = lines.withColumn("record", F.sum(F.col("head").cast("long")).over(so_far)).withColumn("offset", F.sum(F.length("seq").cast("long")).over(so_far) - F.length("seq"))
-    totals = lines.groupBy(*block).agg(F.sum(F.col("head").cast("long")).alias("heads"), F.sum(F.length("seq").cast("long")).alias("bases"))
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    begins = totals.select(*block, F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("heads"), F.coalesce(F.sum("bases").over(before), F.lit(0)).alias("bases"))
-    placed = placed.join(begins, block).select((F.col("record") + F.col("heads")).alias("record"), (F.col("offset") + F.col("bases")).alias("offset"), "chr", "seq", "head")
+    totals = lines.groupBy(*part).agg(F.sum(F.col("head").cast("long")).alias("heads"), F.sum(F.length("seq").cast("long")).alias("bases"))
+    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    begins = totals.select(*part, F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("heads"), F.coalesce(F.sum("bases").over(before), F.lit(0)).alias("bases"))
+    placed = placed.join(begins, part).select((F.col("record") + F.col("heads")).alias("record"), (F.col("offset") + F.col("bases")).alias("offset"), "chr", "seq", "head")
+    placed = materialize(placed, "fasta-lines")
     records = placed.groupBy("record").agg(F.max("chr").alias("chr"), F.min(F.when(F.col("head"), F.col("offset"))).alias("begin"), F.sum(F.length("seq").cast("long")).alias("length"))
     last = records.where("chr is not null").groupBy("chr").agg(F.max_by(F.struct("record", "begin", "length"), "record").alias("r")).select("chr", "r.*")
     found = placed.select("record", "offset", "seq").join(last, "record")

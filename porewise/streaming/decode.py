@@ -1,4 +1,4 @@
-"""Pileup lines that arrive as a stream: decoding is stateless, neighbours are not and stay in batch."""
+"""Pileup lines that arrive as a stream; decoding them needs no state."""
 
 from __future__ import annotations
 
