@@ -202,10 +202,10 @@ def error_runs(spark, sf_dir):
     return nearby.error_runs(ad.features(spark, sf_dir), ad.intervals(spark, sf_dir)).withColumn("worst", F.round("worst", 9))
 
 
-@_query(_runs_sql(0.4, 30))
+@_query(_runs_sql(0.4, 10))
 def error_runs_wide(spark, sf_dir):
-    """Sites up to 30 apart are one run, and stretches are shorter than many runs."""
-    return nearby.error_runs(ad.features(spark, sf_dir), ad.intervals(spark, sf_dir), 0.4, 30, size=32).withColumn("worst", F.round("worst", 9))
+    """Sites up to 10 apart are one run, and stretches are shorter than many runs."""
+    return nearby.error_runs(ad.features(spark, sf_dir), ad.intervals(spark, sf_dir), 0.4, 10, size=4).withColumn("worst", F.round("worst", 9))
 
 
 # ------------------------------------------------------------------ two samples
