@@ -46,19 +46,8 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.append(tiff.encode(raw + b"\xff" * (-len(raw) % unit if raw else unit)))
         return pd.Series(out)
 
-    @F.pandas_udf("payload binary, feature string")
-    def read_back(pages: pd.Series) -> pd.DataFrame:
-        rows = []
-        for found in pages:
-            wrong = [p["error"] for p in found if p["error"]]
-            if wrong:
-                raise ValueError(wrong[0])
-            payload = b"".join(p["samples"] for p in found)
-            rows.append((payload, tiff.feature(payload, [(p["width"], p["height"]) for p in found])))
-        return pd.DataFrame(rows, columns=["payload", "feature"])
-
     stored = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), store("text").alias("media"))
-    back = stored.select("doc_id", "n_bytes", "media", read_back(tiff.decode_pages(F.col("media"))).alias("b"))
+    back = stored.select("doc_id", "n_bytes", "media", tiff.decode_payload(F.col("media")).alias("b"))
     return back.select(
         "doc_id",
         "n_bytes",

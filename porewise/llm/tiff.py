@@ -29,6 +29,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS =
 FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 266, 284, 317, 322, 323, 324, 325
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 LZW_CLEAR, LZW_END = 256, 257
+#: Our encoder clears its table after this many entries; a table is full after that many new ones.
+LZW_LAST, LZW_FULL = 4094, 4096 - 258
 #: A page of more decoded bytes is refused before anything is allocated.
 MOST_BYTES = 1 << 29
 
@@ -61,75 +63,112 @@ def packbits_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _widths(n: int) -> np.ndarray:
+    """Bits of the first n codes after a clear code; the width grows one code early, as TIFF wants."""
+    return np.digitize(np.arange(LZW_END + 1, LZW_END + 1 + n), (512, 1024, 2048)) + 9
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first; the width grows one code early, as TIFF wants."""
-    start = {bytes((i,)): i for i in range(256)}
-    table, out, held, n_held, width = dict(start), bytearray(), LZW_CLEAR, 9, 9
-    word, code = b"", 0
-    size = LZW_END + 1
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        found = table.get(longer)
-        if found is not None:
-            word, code = longer, found
+    """Codes of 9 to 12 bits, most significant bit first."""
+    codes, table, size = [LZW_CLEAR], {}, LZW_END + 1
+    put = codes.append
+    code = data[0] if data else None
+    for byte in data[1:]:
+        key = code << 8 | byte
+        if key in table:
+            code = table[key]
             continue
-        held, n_held = held << width | code, n_held + width
-        table[longer] = size
+        put(code)
+        table[key] = size
         size += 1
-        if size > 4094:
-            held, n_held = held << width | LZW_CLEAR, n_held + width
-            table, size, width = dict(start), LZW_END + 1, 9
-        elif size >> width:
-            width += 1
-        word = data[i : i + 1]
-        code = word[0]
-        if n_held > 256:
-            out += (held >> (n_held & 7)).to_bytes(n_held >> 3, "big")
-            held &= (1 << (n_held & 7)) - 1
-            n_held &= 7
-    if word:
-        held, n_held = held << width | code, n_held + width
-        if size == (1 << width) - 1 and width < 12:
-            width += 1
-    held, n_held = held << width | LZW_END, n_held + width
-    pad = -n_held % 8
-    out += (held << pad).to_bytes((n_held + pad) >> 3, "big")
-    return bytes(out)
+        if size > LZW_LAST:
+            put(LZW_CLEAR)
+            table.clear()
+            size = LZW_END + 1
+        code = byte
+    codes += [LZW_END] if code is None else [code, LZW_END]
+    x, place = np.array(codes, ">u2"), np.arange(len(codes))
+    cleared = np.maximum.accumulate(np.where(x == LZW_CLEAR, place, 0))
+    since = place[1:] - cleared[:-1] - 1
+    widths = np.concatenate([[9], _widths(LZW_LAST)[since]])
+    bits = np.unpackbits(x.view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - widths[:, None]]).tobytes()
+
+
+def _lzw_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the word of each code of a table starts, and its length.
+
+    The word that a code adds is that of the code before and the next byte, which lie side by
+    side in the output; so each code points at an earlier one, and lengths are numbers of steps.
+    """
+    up = np.where(codes > LZW_END, codes - (LZW_END + 1), -1)
+    length = (up >= 0).astype(np.int64)
+    while (up >= 0).any():
+        length += np.where(up >= 0, length[up], 0)
+        up = np.where(up >= 0, up[up], -1)
+    length += 1
+    return np.cumsum(length) - length, length
+
+
+def _lzw_table(codes: np.ndarray, most: int) -> list[bytes]:
+    """The bytes of the codes between two clear codes, in parts."""
+    if not len(codes):
+        return []
+    if codes[0] > 255:
+        raise ValueError(f"LZW code {codes[0]} at the start of a table")
+    wrong = np.flatnonzero(codes > LZW_END + np.arange(len(codes)))
+    if len(wrong):
+        raise ValueError(f"LZW code {codes[wrong[0]]} in a table of {LZW_END + wrong[0]}")
+    head, full = codes[: LZW_FULL + 1], codes[LZW_FULL + 1 :]
+    start, length = _lzw_words(head)
+    n = int(length.sum())
+    if n > most:
+        raise ValueError(f"more than the {most} bytes of a strip or tile")
+    up = np.where(head > LZW_END, head - (LZW_END + 1), np.arange(len(head)))
+    source = np.arange(n, dtype=np.int32) + np.repeat((start[up] - start).astype(np.int32), length)
+    while True:  # each byte to the one that it copies, until all have come to single codes
+        further = source[source]
+        if np.array_equal(further, source):
+            break
+        source = further
+    single = np.zeros(n, np.uint8)
+    single[start] = np.minimum(head, 255)
+    out = [single[source].tobytes()]
+    for code in full.tolist():  # a full table stays as it is
+        at = code - LZW_END - 1
+        word = bytes((code,)) if at < 0 else out[0][start[at] : start[at] + length[at] + 1]
+        n += len(word)
+        if n > most:
+            raise ValueError(f"more than the {most} bytes of a strip or tile")
+        out.append(word)
+    return out
 
 
 def lzw_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
-    start = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, out, width, last = list(start), [], 9, None
-    held = n_held = size = 0
-    for byte in data:
-        held, n_held = held << 8 | byte, n_held + 8
-        if n_held < width:
-            continue
-        n_held -= width
-        code = held >> n_held
-        held &= (1 << n_held) - 1
-        if code == LZW_CLEAR:
-            table, width, last = list(start), 9, None
-            continue
-        if code == LZW_END:
-            break
-        if last is None:
-            if code > 255:
-                raise ValueError(f"LZW code {code} at the start of a table")
-            word = table[code]
+    """All codes of a table are read at once, since their places follow from their number after a clear code."""
+    x = np.frombuffer(bytes(data) + bytes(2), np.uint8).astype(np.uint32)
+    x = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+    out, at, n, more = [], 0, 0, True
+    while more:
+        asked = LZW_FULL + 2
+        while True:
+            widths = _widths(asked)
+            places = at + np.cumsum(widths) - widths
+            whole = places + widths <= 8 * len(x)
+            places, widths = places[whole], widths[whole]
+            codes = (x[places >> 3] >> (24 - (places & 7) - widths) & ((1 << widths) - 1)).astype(np.int64)
+            ends = np.flatnonzero((codes == LZW_CLEAR) | (codes == LZW_END))
+            if len(ends) or len(codes) < asked:
+                break
+            asked *= 2
+        if len(ends):
+            more, at = codes[ends[0]] == LZW_CLEAR, int(places[ends[0]] + widths[ends[0]])
+            codes = codes[: ends[0]]
         else:
-            if code > len(table) or code == len(table) == 4096:
-                raise ValueError(f"LZW code {code} in a table of {len(table)}")
-            word = table[code] if code < len(table) else last + last[:1]
-            if len(table) < 4096:
-                table.append(last + word[:1])
-        size += len(word)
-        if size > most:
-            raise ValueError(f"more than the {most} bytes of a strip or tile")
-        out.append(word)
-        last = word
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
+            more = False
+        parts = _lzw_table(codes, most - n)
+        n += sum(map(len, parts))
+        out += parts
     return b"".join(out)
 
 
@@ -248,6 +287,27 @@ def decode_pages(media: Column) -> Column:
     return run(media)
 
 
+def decode_payload(media: Column) -> Column:
+    """The samples of all pages of a file as one binary, with ``feature`` of them; a page in error fails the task.
+
+    Null where a file has no page.
+    """
+
+    @F.pandas_udf("payload binary, feature string")
+    def run(files: pd.Series) -> pd.DataFrame:
+        rows = []
+        for file in files:
+            found = list(pages(file))
+            wrong = [p["error"] for p in found if p["error"]]
+            if wrong:
+                raise ValueError(wrong[0])
+            payload = b"".join(p["samples"] for p in found)
+            rows.append((payload, feature(payload, [(p["width"], p["height"]) for p in found])) if found else (None, None))
+        return pd.DataFrame(rows, columns=["payload", "feature"])
+
+    return run(media)
+
+
 def read_tiff(df: DataFrame, media: str, id_col: str) -> DataFrame:
     """One row per page: the identifier and the fields of PAGE."""
     small_batches(df.sparkSession, 500)
@@ -311,5 +371,5 @@ def feature(payload: bytes, sizes: list[tuple[int, int]]) -> str:
     x = np.frombuffer(payload, np.uint8)
     bounds = np.linspace(0, len(x), 65).astype(int)
     means = np.add.reduceat(x.astype(np.int64), bounds[:-1]) / np.diff(bounds)
-    bits = int("".join("1" if m > means.mean() else "0" for m in means), 2)
+    bits = int.from_bytes(np.packbits(means > means.mean()).tobytes(), "big")
     return f"{len(sizes)}:{sizes[0][0]}x{sizes[0][1]}:{x.mean():.2f}:{bits:016x}"

@@ -27,6 +27,56 @@ def test_codecs(data):
     assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
 
 
+def _plain_codes(data, most_entries=4094, clear=True):
+    """The codes of a plain coder over a dictionary of words, with their widths."""
+    table, word, out = {bytes([i]): i for i in range(256)}, b"", [(256, 9)]
+    size = 258
+    width = lambda: 9 + sum(size > k for k in (511, 1023, 2047))
+    for i in range(len(data)):
+        longer = word + data[i : i + 1]
+        if longer in table:
+            word = longer
+            continue
+        out.append((table[word], width()))
+        if size < 4096:
+            table[longer] = size
+            size += 1
+        if clear and size > most_entries:
+            out.append((256, width()))
+            table, size = {bytes([i]): i for i in range(256)}, 258
+        word = data[i : i + 1]
+    if word:
+        out.append((table[word], width()))
+        size += size < 4096
+    return [*out, (257, width())]
+
+
+def _packed(codes):
+    bits = "".join(f"{c:0{w}b}" for c, w in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+@pytest.mark.parametrize("data", list(_samples()))
+def test_lzw_against_a_plain_coder(data):
+    plain = _packed(_plain_codes(data))
+    assert tiff.lzw_encode(data) == plain
+    assert tiff.lzw_decode(plain) == tiff.lzw_decode(plain + b"rest") == data
+    early = _packed(_plain_codes(data, most_entries=700))
+    assert tiff.lzw_decode(early) == data
+
+
+@pytest.mark.parametrize("data", [random.Random(9).randbytes(20_000), b"abc" * 3000 + random.Random(8).randbytes(6000) + b"abc" * 3000])
+def test_lzw_goes_on_with_a_full_table(data):
+    codes = _plain_codes(data, clear=False)
+    assert len(codes) > 4200
+    assert tiff.lzw_decode(_packed(codes)) == data
+    with pytest.raises(ValueError, match="more than"):
+        tiff.lzw_decode(_packed(codes), len(data) - 1)
+    assert tiff.lzw_decode(_packed(codes), len(data)) == data
+    for cut in (1, 2, 3):  # a strip that ends early keeps its whole codes
+        assert data.startswith(tiff.lzw_decode(_packed(codes)[:-cut]))
+
+
 def test_known_codes():
     """The packed example of the format's description, and LZW codes written out by hand."""
     packed = bytes.fromhex("FEAA028000 2AFDAA0380002A22F7AA".replace(" ", ""))
