@@ -1,5 +1,7 @@
 """Language and toxicity: held-out accuracy, odd texts, missing labels."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -46,6 +48,64 @@ def test_odd_texts_and_clashing_columns(spark):
     assert [r["p"] for r in got] == [r["p"] for r in again]
 
 
+def _plain_decoder(model, text):
+    """Loss of every codeword bit by bit, in plain Python; the nearest codeword and the gap to the next."""
+    x = [float(v) for v in langid.features(text)]
+    used = [i for i, v in enumerate(x) if v]
+    losses = []
+    for code, trust in zip(model.codes.tolist(), model.trust.tolist(), strict=True):
+        loss = 0.0
+        for bit, (sign, weight) in enumerate(zip(code, trust, strict=True)):
+            margin = sum(x[i] * float(model.weights[i, bit]) for i in used) + float(model.bias[bit])
+            loss += weight * math.log1p(math.exp(-sign * margin))
+        losses.append(loss)
+    belief = [math.exp(4 * (min(losses) - v)) for v in losses]
+    ranked = sorted(((b / sum(belief), -i) for i, b in enumerate(belief)), reverse=True)
+    return model.languages[-ranked[0][1]], ranked[0][0], ranked[0][0] - ranked[1][0]
+
+
+def _plain_features(text):
+    """Damped, normalised counts of hashed byte n-grams by whole numbers."""
+    folded = [b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()]
+    counts = [0] * langid.DIMENSIONS
+    for n in range(1, 5):
+        for i in range(len(folded) - n + 1):
+            gram = 0
+            for b in folded[i : i + n]:
+                gram = (gram * 257 + b) % 2**32
+            counts[(gram + n) * 0x9E3779B1 % 2**32 >> 19] += 1
+    damped = [math.log1p(c) for c in counts]
+    size = math.sqrt(sum(v * v for v in damped))
+    return [v / max(size, 1e-9) for v in damped]
+
+
+@pytest.mark.parametrize("n", [2, 5, 9])
+def test_languages_are_those_of_a_plain_decoder(n):
+    random = np.random.default_rng(n)
+    syllables = [["".join(chr(97 + c) for c in random.integers(0, 26, 3)) for _ in range(12)] for _ in range(n)]
+    text = lambda k, size: " ".join(syllables[k][i] for i in random.integers(0, 12, size))
+    labels = [f"l{i % n}" for i in range(30 * n)]
+    model = langid.fit(labels, np.stack([langid.features(text(int(k[1:]), 6)) for k in labels]))
+    asked = [text(i % n, 4) for i in range(20)] + [f"{text(i % n, 3)} {text((i + 1) % n, 3)}" for i in range(20)] + ["x", "\U0001f600 a", "É"]
+    for t in asked:
+        lang, score, gap = _plain_decoder(model, t)
+        got = model.predict(t)
+        assert got[1] == pytest.approx(score, abs=1e-4)
+        assert got[0] == lang or gap < 1e-4
+        assert got[2] == (gap < model.ambiguity) or abs(gap - model.ambiguity) < 1e-4
+    for t in asked[::5]:
+        assert langid.features(t).tolist() == pytest.approx(_plain_features(t), abs=1e-5)
+
+
+def test_mixed_texts_are_ambiguous():
+    """Texts half in one and half in another language are flagged, those of one language are not."""
+    english, german = "the cat sat here and there with them", "der hund lief nach hause und schlief"
+    model = langid.fit(["en", "de"] * 40, np.stack([langid.features(t) for t in (english, german)] * 40))
+    assert model.predict(english)[0::2] == ("en", False) and model.predict(german)[0::2] == ("de", False)
+    assert model.predict(f"{english} {german}")[2]
+    assert not model.predict(None)[2]
+
+
 def test_no_labels(spark):
     docs = documents(spark, [(1, "some text", None, "s")])
     model = langid.train(docs)
@@ -114,6 +174,28 @@ def _toy():
     return toxicity.fit(texts, texts, np.array([i % 2 for i in range(40)]))
 
 
+def _ordered_pairs(n, seed):
+    """Texts that are toxic where one word stands right before another, clean where it stands right after; no single word tells."""
+    random, texts, labels = np.random.default_rng(seed), [], []
+    for i in range(n):
+        filler = random.integers(10, 40, 12).astype(np.uint64)
+        at = int(random.integers(0, 11))
+        filler[at : at + 2] = (1, 2) if i % 2 else (2, 1)
+        texts.append(filler)
+        labels.append(i % 2)
+    return texts, np.array(labels)
+
+
+def test_the_convolution_learns_what_single_words_do_not_tell():
+    texts, labels = _ordered_pairs(600, 1)
+    model = toxicity.fit(texts, texts, labels)
+    held_out, want = _ordered_pairs(400, 2)
+    flat = np.concatenate(held_out)
+    told = model.logits(np.array([len(t) for t in held_out]), flat, flat)
+    auc = (told[want == 1][:, None] > told[want == 0][None, :]).mean()
+    assert auc >= 0.95
+
+
 def test_batches_do_not_change_scores():
     model = _toy()
     texts = ["a b c", None, "", "d " * 500, "a b c"]
