@@ -17,13 +17,18 @@ CHUNK, HALO = 1 << 9, 2
 
 
 def decode(rows: DataFrame, compat: bool = False) -> DataFrame:
-    """Counts, rates, majority base and quality of pileup rows (chr, site, ref_base, n_reads, bases, qualities)."""
+    """Counts, rates, majority base and quality of pileup rows (chr, site, ref_base, n_reads, bases, qualities).
+
+    The results are attributes of a generator's row, so a later condition on one of them reads it. Over plain
+    columns Spark would push the condition down and decode each row again for each use of a count in it.
+    """
     rows = rows.withColumn("__x", pileup.without_starts(F.coalesce("bases", F.lit("")))).withColumn("__core", pileup.without_indels(F.col("__x")))
     rows = rows.withColumns(pileup.base_counts(F.col("__x"), F.col("__core"), F.col("ref_base")))
     plain = pileup.kept_scores(F.col("__core"), F.col("qualities"))
     scores = F.when(F.col("ends_with_qualities"), pileup.kept_scores(F.col("__core"), F.col("qualities"), True)).otherwise(plain) if compat else plain
     rows = rows.withColumns(pileup.rate_columns()).withColumn("__scores", scores).withColumns(pileup.mean_and_std(F.col("__scores")))
-    return rows.drop("__x", "__core", "__scores", "bases", "qualities", "ends_with_qualities")
+    rows = rows.drop("__x", "__core", "__scores", "bases", "qualities", "ends_with_qualities")
+    return rows.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in rows.columns)))))
 
 
 def with_motif(rows: DataFrame, reference: DataFrame, most_broadcast: int = 64 << 20, most_names: int = 100_000) -> DataFrame:
