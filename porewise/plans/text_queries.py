@@ -53,10 +53,16 @@ def _pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Repeats in a stretch of the reference.
+_TIMES = 1 << 14
+
+
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A repeating sequence for each chromosome, a little longer than its last site."""
+    """A repeating sequence for each chromosome, a little longer than its last site, in stretches as ``read_fasta`` gives them."""
     lines = ad.table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.expr(f"max(l_orderkey) div {len(_REFERENCE)} + 1").alias("times"))
-    return lines.select(F.expr("concat('chr', cast(l_linenumber as string))").alias("chr"), F.expr(f"repeat('{_REFERENCE}', cast(times as int))").alias("seq"), F.expr(f"cast(times * {len(_REFERENCE)} as int)").alias("length"))
+    parts = lines.select("*", F.expr(f"explode(sequence(0L, times - 1, {_TIMES}L))").alias("first"))
+    seq = F.expr(f"repeat('{_REFERENCE}', cast(least(times - first, {_TIMES}L) as int))")
+    return parts.select(F.expr("concat('chr', cast(l_linenumber as string))").alias("chr"), (F.col("first") * len(_REFERENCE)).alias("offset"), seq.alias("seq"), (F.col("times") * len(_REFERENCE)).alias("length"))
 
 
 _RATE = lambda n, total: f"(case when {total} = 0 then 0.0 else {n}::double / {total} end)"

@@ -1,12 +1,20 @@
 """What grows with the input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from porewise.plans import queries as core
-from porewise.plans import text_queries  # noqa: F401 - adds its queries
+from porewise.plans import text_queries
 
 
 @pytest.mark.parametrize("name", ["extract_features", "extract_thresholds", "extract_unknown"])
 def test_conditions_do_not_decode_again(spark, small, name):
     plan = core.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") <= 4
+
+
+def test_reference_in_stretches(spark, small):
+    rows = text_queries._reference(spark, small).where("chr = 'chr1'")
+    assert "offset" in rows.columns
+    got = rows.agg(F.sum(F.length("seq")).alias("bases"), F.max("length").alias("length")).first()
+    assert got["bases"] == got["length"]
