@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,17 @@ def event_windows(spark, sf_dir):
     return _shown(windows.sliding(_events(spark, sf_dir)))
 
 
-def _in_files(rows: DataFrame, name: str, by: str, files: int) -> str:
-    """The rows as that many files, written one after another in the order of ``by`` (0 to files - 1), as a stream meets them."""
-    path = new_folder(rows.sparkSession, name)
-    for i in range(files):
-        rows.where(F.col(by) == i).drop(by).coalesce(1).write.mode("append").parquet(path)
-    return path
+def _arriving(rows: DataFrame, name: str, by: str, parts: int, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream ``of`` the rows writes that come in parts (``by``, 0 to parts - 1), each as many files as its tasks write.
+
+    The stream runs after each part and goes on from its state at the next, so a part is never one task's.
+    """
+    spark, schema = rows.sparkSession, rows.drop(by).schema
+    path, out = new_folder(spark, f"{name}-in"), new_folder(spark, name)
+    for i in range(parts):
+        rows.where(F.col(by) == i).drop(by).write.mode("append").parquet(path)
+        found, _ = windows.write_to_end(of(spark.readStream.schema(schema).parquet(path)), name, out=out)
+    return found
 
 
 def _closed(events: DataFrame) -> DataFrame:
@@ -55,28 +62,25 @@ def _closed(events: DataFrame) -> DataFrame:
     return events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select("ts", F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The events in three files by time, and the closing one in a fourth."""
+def _events_arriving(spark: SparkSession, sf_dir: str, name: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The events in three parts by time, and the closing one in a fourth."""
     events = _events(spark, sf_dir).where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
     span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
     third = F.least(F.floor(F.try_divide((F.unix_micros("ts") - F.unix_micros("low")) * 3, F.unix_micros("high") - F.unix_micros("low"))), F.lit(2))
     dealt = events.join(F.broadcast(span)).withColumn("part", F.coalesce(third, F.lit(0))).drop("low", "high")
-    path = _in_files(dealt.union(_closed(events).withColumn("part", F.lit(3))), name, "part", 4)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _arriving(dealt.union(_closed(events).withColumn("part", F.lit(3))), name, "part", 4, lambda s: of(windows.with_lateness(s, "10 minutes")))
 
 
 @query(_SESSIONS)
 def event_sessions_stream(spark, sf_dir):
     """The same sessions from a stream that nothing is late for."""
-    found, _ = windows.write_to_end(windows.sessions(windows.with_lateness(_stream(spark, sf_dir, "events-in"), "10 minutes")), "sessions")
-    return _shown(found.where("user_id is null or user_id <> -1"))
+    return _shown(_events_arriving(spark, sf_dir, "sessions", windows.sessions).where("user_id is null or user_id <> -1"))
 
 
 @query(_WINDOWS)
 def event_windows_stream(spark, sf_dir):
     """The same windows from a stream."""
-    found, _ = windows.write_to_end(windows.sliding(windows.with_lateness(_stream(spark, sf_dir, "events-in"), "10 minutes")), "windows")
-    return _shown(found.where("event_type <> 'end'"))
+    return _shown(_events_arriving(spark, sf_dir, "windows", windows.sliding).where("event_type <> 'end'"))
 
 
 @query(SQL["neighbour_errors"].split("from orders) ", 1)[1])
@@ -86,8 +90,7 @@ def neighbour_stream(spark, sf_dir):
     part = F.pmod(F.xxhash64("chr", "site"), F.lit(3)).cast("int")
     again = rows.where("site % 5 = 0").withColumn("part", F.pmod(part + 1, F.lit(3)))
     dealt = rows.withColumn("part", part).union(again).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("part") * 60 + F.col("site") % 60))
-    stream = spark.readStream.schema(dealt.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(_in_files(dealt, "features-in", "part", 3))
-    found, _ = windows.write_to_end(neighbours.neighbour_updates(stream), "neighbours")
+    found = _arriving(dealt, "neighbours", "part", 3, neighbours.neighbour_updates)
     return neighbours.latest(found).select("chr", "site", F.array_join(F.col("neighbour_error_pos").cast("array<string>"), ",").alias("neighbour_error_pos"))
 
 

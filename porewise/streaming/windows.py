@@ -34,14 +34,15 @@ def with_lateness(events: DataFrame, delay: str) -> DataFrame:
     return events.withWatermark("ts", delay)
 
 
-def write_to_end(stream: DataFrame, name: str, trigger: dict | None = None) -> tuple[DataFrame, StreamingQuery]:
+def write_to_end(stream: DataFrame, name: str, trigger: dict | None = None, out: str | None = None) -> tuple[DataFrame, StreamingQuery]:
     """Run a stream over all that has arrived and return the table that it wrote, with the ended query.
 
     Only windows that the watermark has passed are written, each once. The table and the state lie in
-    the shared folder, so a lost executor goes on from the last batch.
+    the shared folder, so a lost executor goes on from the last batch, as does the same stream that is
+    given the folder ``out`` again.
     """
     spark = stream.sparkSession
-    out = new_folder(spark, name)
+    out = out or new_folder(spark, name)
     query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows"), query

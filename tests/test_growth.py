@@ -1,10 +1,10 @@
-"""What grows with the input."""
+"""What grows with the input: no row is decoded over and over, and no task gets a whole part."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from porewise.plans import queries as core
-from porewise.plans import text_queries
+from porewise.plans import stream_queries, text_queries
 
 
 @pytest.mark.parametrize("name", ["extract_features", "extract_thresholds", "extract_unknown"])
@@ -18,3 +18,10 @@ def test_reference_in_stretches(spark, small):
     assert "offset" in rows.columns
     got = rows.agg(F.sum(F.length("seq")).alias("bases"), F.max("length").alias("length")).first()
     assert got["bases"] == got["length"]
+
+
+def test_parts_of_a_stream_come_in_many_files(spark):
+    rows = spark.range(0, 400, 1, 4).select("id", (F.col("id") % 2).alias("part"))
+    seen = stream_queries._arriving(rows, "parts", "part", 2, lambda s: s.select("id", F.input_file_name().alias("file")))
+    assert sorted(r["id"] for r in seen.collect()) == list(range(400))
+    assert seen.select("file").distinct().count() == 8
