@@ -16,14 +16,16 @@ def cube(intervals: DataFrame, a: list[DataFrame], b: list[DataFrame], label_a:
 
     Of repeated rows of one site in one replicate, the one with the most reads counts.
     """
-    slots = [F.struct(F.lit(s).alias("sample"), F.lit(r).alias("replicate")) for s, files in ((label_a, a), (label_b, b)) for r in range(len(files))]
-    dense = intervals.select("chr", F.col("end").alias("position")).distinct().select("chr", "position", F.explode(F.array(*slots)).alias("slot"))
-    dense = dense.select("chr", "position", "slot.*", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("offset")).withColumn("site", F.col("position") + F.col("offset"))
+    slots = [(s, r, f) for s, files in ((label_a, a), (label_b, b)) for r, f in enumerate(files)]
+    near = intervals.select("chr", F.col("end").alias("position")).distinct().select("chr", "position", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("offset")).withColumn("site", F.col("position") + F.col("offset"))
     values = ["ref_base", "majority_base", "n_reads", "n_a", "n_c", "n_g", "n_u", "n_ins", "mismatch_rate", "deletion_rate", "insertion_rate", "refskip_rate", "a_rate", "c_rate", "g_rate", "u_rate"]
-    tagged = [f.select("chr", "site", F.lit(s).alias("sample"), F.lit(r).alias("replicate"), F.struct("n_reads", *(c for c in values if c != "n_reads")).alias("v")) for s, files in ((label_a, a), (label_b, b)) for r, f in enumerate(files)]
-    wanted = dense.select("chr", "site").distinct()
-    rows = reduce(DataFrame.unionAll, tagged).join(wanted, ["chr", "site"], "left_semi").groupBy("chr", "site", "sample", "replicate").agg(F.max("v").alias("v"))
-    return dense.join(rows, ["chr", "site", "sample", "replicate"], "left").select("chr", "position", "sample", "replicate", "offset", "site", *(F.col(f"v.{c}").alias(c) for c in values))
+    tagged = [f.select("chr", "site", F.lit(i).alias("slot"), F.struct("n_reads", *(c for c in values if c != "n_reads")).alias("v")) for i, (_, _, f) in enumerate(slots)]
+    # a site meets all that is known of it in one row, and is told apart by sample and replicate only then
+    rows = reduce(DataFrame.unionAll, tagged).join(near.select("chr", "site").distinct(), ["chr", "site"], "left_semi").groupBy("chr", "site")
+    rows = rows.agg(*(F.max(F.when(F.col("slot") == i, F.col("v"))).alias(f"v{i}") for i in range(len(slots))))
+    each = F.array(*(F.struct(F.lit(s).alias("sample"), F.lit(r).alias("replicate"), F.col(f"v{i}").alias("v")) for i, (s, r, _) in enumerate(slots)))
+    found = near.join(rows, ["chr", "site"], "left").select("chr", "position", "offset", "site", F.inline(each))
+    return found.select("chr", "position", "sample", "replicate", "offset", "site", *(F.col(f"v.{c}").alias(c) for c in values))
 
 
 def composition(rows: DataFrame) -> DataFrame:

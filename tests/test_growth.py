@@ -1,5 +1,7 @@
 """What grows with the input: no row is decoded over and over, and no task gets a whole part."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,3 +27,8 @@ def test_parts_of_a_stream_come_in_many_files(spark):
     seen = stream_queries._arriving(rows, "parts", "part", 2, lambda s: s.select("id", F.input_file_name().alias("file")))
     assert sorted(r["id"] for r in seen.collect()) == list(range(400))
     assert seen.select("file").distinct().count() == 8
+
+
+def test_cube_tells_slots_apart_after_the_join(spark, small):
+    plan = core.QUERIES["position_cube"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*(sample|replicate)", plan)
