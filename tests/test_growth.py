@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from porewise.operators import stretches
 from porewise.plans import queries as core
 from porewise.plans import stream_queries, text_queries
 
@@ -32,3 +33,13 @@ def test_parts_of_a_stream_come_in_many_files(spark):
 def test_cube_tells_slots_apart_after_the_join(spark, small):
     plan = core.QUERIES["position_cube"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^)]*(sample|replicate)", plan)
+
+
+def test_totals_over_blocks_of_stretches(spark, monkeypatch):
+    monkeypatch.setattr(stretches, "BLOCK", 3)
+    places = [0, 1, 2, 5, 6, 11, 12, 13, 30]
+    rows = spark.createDataFrame([(c, n, n * 7 % 10) for c in "ab" for n in places], f"chr string, {stretches.NAME} long, v int")
+    got = stretches.totals(rows, most=(F.max("v"), F.max, 1), least=(F.min("v"), F.min, -1)).collect()
+    value = lambda of, ns: of((n * 7 % 10 for n in ns), default=None)
+    want = [(c, n, value(max, [m for m in places if m < n]), value(min, [m for m in places if m > n])) for c in "ab" for n in places]
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == want
