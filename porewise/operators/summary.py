@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import centre_of_motif, match_class, mismatch_label, percent_of
 from ..schema import BASES
 from ..sources.storage import materialize
+from . import binning
 from .binning import bin_means
 
 SYMBOLS = (*BASES, "-")
@@ -104,28 +105,42 @@ LEVELS = {"all": 15, "chr": 7, "class": 11, "pair": 12}
 def counts(rows: DataFrame) -> DataFrame:
     """(level, chr, class, ref_base, majority_base, n): rows of every grouping that datasets count, in one aggregation."""
     columns = ("chr", "class", "ref_base", "majority_base")
-    return rows.groupingSets([list(g) for g in GROUPINGS.values()], *columns).agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+    each = rows.groupBy(*columns).agg(F.count("*").alias("n"))
+    return each.groupingSets([list(g) for g in GROUPINGS.values()], *columns).agg(F.grouping_id().alias("level"), F.sum("n").alias("n"))
 
 
-def binned(rows: DataFrame, bins: int = BINS, alt: bool = False) -> DataFrame:
-    """(dataset, key, bin, means): the bins of every grouping, in one pass; a row counts in each grouping that it has a key of."""
+def _of_groupings(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row (dataset, key, columns) for each binned grouping that a row has a key of."""
     of = lambda name, key: F.struct(F.lit(name).alias("dataset"), key.alias("key"))
     mismatch = F.when(_differing(), mismatch_label())
     groups = F.array(of("general", F.lit("")), of("by_chromosome", F.col("chr")), of("by_class", F.col("class")), of("by_mismatch", mismatch), of("by_motif", F.when(F.substring("motif3", 2, 1).isin(*BASES), F.col("motif3"))))
-    values = ["n_reads", "q_mean", *error_rates(alt)]
-    sent = rows.select("chr", "site", *values, F.explode(F.filter(groups, lambda g: g["key"].isNotNull())).alias("g"))
-    return bin_means(sent.select("chr", "site", *values, "g.*"), values, bins, ["dataset", "key"])
+    return rows.select(*columns, F.explode(groups).alias("g")).select("g.*", *columns).where("key is not null")
+
+
+def binned(rows: DataFrame, bins: int = BINS, alt: bool = False) -> DataFrame:
+    """(dataset, key, bin, means): the bins of every grouping; a row counts in each grouping that it has a key of.
+
+    Rows come as ``placed``, from a written table. They are added up by stretch and all that groupings tell
+    apart, and only these sums are sent to every grouping; rows themselves only where a bin ends in their stretch.
+    """
+    rows, values, group = rows.where(binning.PLACED), ["n_reads", "q_mean", *error_rates(alt)], ["dataset", "key"]
+    finest = rows.groupBy("chr", "stretch", "class", "ref_base", "majority_base", "motif3").agg(*binning.amounts(values))
+    sums = [c for c in finest.columns if c == "n" or c.startswith(("sum_", "count_"))]
+    stretches = _of_groupings(finest, "chr", "stretch", *sums).groupBy(*group, "chr", "stretch").agg(*binning.added(values))
+    stretches = materialize(binning.in_bins(stretches, bins, group), "summary-stretches")
+    border = materialize(stretches.where("bin < last").select(*group, "chr", "stretch", "begin", "total"), "summary-borders")  # its size tells whether all tasks may have it
+    return binning.means(stretches, border, _of_groupings(rows, "chr", "stretch", "site", *values), values, bins, group)
 
 
 def summarise(features: DataFrame, bins: int = BINS, alt: bool = False) -> dict[str, DataFrame]:
     """All datasets by name, from one scan of the features.
 
-    What the datasets need of a row is written once; from there one aggregation by grouping sets makes
-    all that is counted, and one pass by grouping all that is binned.
+    What the datasets need of a row is written once, stretch by stretch; from there one aggregation by
+    grouping sets makes all that is counted, and sums of stretches nearly all that is binned.
     """
     rates = error_rates(alt)
     rows = features.select("chr", "site", "n_reads", "q_mean", *rates, "ref_base", "majority_base", match_class().alias("class"), centre_of_motif(F.col("motif")).alias("motif3"))
-    rows = materialize(rows, "summary-rows")
+    rows = materialize(binning.placed(rows), "summary-rows")
     level = lambda name: counted.where(F.col("level") == LEVELS[name])
     counted = materialize(counts(rows), "summary-counts")
     bins_of = materialize(binned(rows, bins, alt), "summary-bins")

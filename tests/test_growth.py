@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from porewise.operators import stretches
+from porewise.operators import binning, stretches
 from porewise.plans import queries as core
 from porewise.plans import stream_queries, text_queries
 
@@ -43,3 +43,24 @@ def test_totals_over_blocks_of_stretches(spark, monkeypatch):
     value = lambda of, ns: of((n * 7 % 10 for n in ns), default=None)
     want = [(c, n, value(max, [m for m in places if m < n]), value(min, [m for m in places if m > n])) for c in "ab" for n in places]
     assert sorted(map(tuple, got), key=lambda r: r[:2]) == want
+
+
+def test_bins_number_rows_at_their_ends_only(spark, monkeypatch):
+    """A stretch within one bin counts by its sums: of 30,000 rows in two groups, those of six stretches are numbered."""
+    rows = spark.range(30_000).selectExpr("concat('c', id % 3) as chr", "id * 7 % 30011 as site", "id % 2 as g", "case when id % 5 > 0 then id % 11 / 3 end as v")
+    seen, means = [], binning.means
+    monkeypatch.setattr(binning, "means", lambda stretches, border, *how: seen.append(border) or means(stretches, border, *how))
+    monkeypatch.setattr(binning, "placed", lambda df, placed=binning.placed: placed(df, 512))
+    got = {(r["g"], r["bin"]): r["v"] for r in binning.bin_means(rows, ["v"], 4, ["g"]).collect()}
+    want = rows.selectExpr("g", "v", "ntile(4) over (partition by g order by chr, site) - 1 as bin").groupBy("g", "bin").agg(F.avg("v")).collect()
+    assert got == pytest.approx({(g, b): v for g, b, v in want})
+    assert 0 < seen[0].agg(F.sum("n")).first()[0] <= 6 * 512
+
+
+def test_stretches_lie_together(spark, small):
+    """Sums of stretches need no shuffle of rows; rows without a place are in no bin."""
+    features = core.ad.features(spark, small)
+    placed = binning.placed(features.select("chr", "site"), 64).withColumn("part", F.spark_partition_id())
+    assert placed.groupBy("chr", "stretch").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
+    rows = spark.createDataFrame([(None, 1, 1.0), ("c", None, 2.0), ("c", 3, 3.0)], "chr string, site long, v double")
+    assert [tuple(r) for r in binning.bin_means(rows, ["v"], 5).collect()] == [(0, 3.0)]
