@@ -93,11 +93,12 @@ def annotate(features: DataFrame, intervals: DataFrame, column: str = "bed_name"
     Since ``cover`` gives a position to the first interval that holds it, each row meets one word of
     positions, with the few disjoint ranges in it.
     """
-    ranges = _words(cover(intervals, "name"), "name").groupBy("chr", "word").agg(F.collect_list(F.struct("start", "end", "name")).alias("__ranges"))
+    # words come first in keys: most comparisons of a sort end with them, where names of chromosomes are alike
+    ranges = _words(cover(intervals, "name"), "name").groupBy("word", "chr").agg(F.collect_list(F.struct("start", "end", "name")).alias("__ranges"))
     ranges = ranges.withColumnRenamed("word", "__word")
     found, at = features.withColumn("__word", F.floor((F.col("site") - 1) / WORD)), F.col("site") - 1
     holds = F.get(F.filter("__ranges", lambda r: (r["start"] <= at) & (at < r["end"])), F.lit(0))
-    return found.join(ranges, ["chr", "__word"], "left").withColumn(column, holds["name"]).drop("__word", "__ranges")
+    return found.join(ranges, ["__word", "chr"], "left").withColumn(column, holds["name"]).drop("__word", "__ranges")
 
 
 def add_info(features: DataFrame, intervals: DataFrame, n_columns: int, compat: bool = False) -> DataFrame:

@@ -21,6 +21,13 @@ def with_neighbour_errors(features: DataFrame, k: int = 2, threshold: float = 0.
         raise ValueError("a stretch must be longer than the reach")
     sent = features.withColumn("__stretch", F.explode(reach))
     around = Window.partitionBy("chr", "__stretch").orderBy("site").rangeBetween(-k, k)
-    near = F.collect_set(F.when(F.col("mismatch_rate") >= threshold, F.col("site"))).over(around)
-    offsets = F.transform(F.filter(near, lambda s: s != F.col("site")), lambda s: (s - F.col("site")).cast("int"))
-    return sent.withColumn("neighbour_error_pos", F.sort_array(offsets)).where(F.col("__stretch") == own).drop("__stretch")
+    error, width = F.col("mismatch_rate") >= threshold, 2 * k + 1
+    if width < 64:
+        # no two positions within reach have the same remainder by the width, so a bit for each tells them apart
+        near = F.bit_or(F.when(error, F.expr(f"shiftleft(1L, cast(pmod(site, {width}) as int))"))).over(around)
+        held = lambda d: F.getbit(F.col("__near"), F.pmod(F.col("site") + d, F.lit(width)).cast("int")) == 1
+        offsets = F.array_compact(F.array(*(F.when(held(d), F.lit(d)) for d in range(-k, k + 1) if d))) if k else F.array().cast("array<int>")
+    else:
+        near = F.collect_set(F.when(error, F.col("site"))).over(around)
+        offsets = F.sort_array(F.transform(F.filter("__near", lambda s: s != F.col("site")), lambda s: (s - F.col("site")).cast("int")))
+    return sent.withColumn("__near", near).withColumn("neighbour_error_pos", offsets).drop("__near").where(F.col("__stretch") == own).drop("__stretch")

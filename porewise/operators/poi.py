@@ -50,10 +50,13 @@ def composition(grouped: DataFrame) -> DataFrame:
     return medians.withColumns({f"scaled_{r}": F.try_divide(F.col(r), total) for r in RATES})
 
 
+def _columns_of(alt: bool) -> dict[str, str]:
+    return {m: f"{m}_alt" if alt and m == "mismatch_rate" else m for m in METRICS}
+
+
 def error_rates(grouped: DataFrame, alt: bool = False) -> DataFrame:
     """(grp, metric, value) in long form."""
-    columns = {m: f"{m}_alt" if alt and m == "mismatch_rate" else m for m in METRICS}
-    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in columns.items()))).alias("p")
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in _columns_of(alt).items()))).alias("p")
     return grouped.select("grp", pairs).select("grp", "p.metric", "p.value")
 
 
@@ -70,14 +73,15 @@ def neighbour_counts(category_rows: DataFrame) -> DataFrame:
 
 
 def analyse(features: DataFrame, intervals: DataFrame, reference: DataFrame, wanted: list[str], counterparts: list[str] | None = None, alt: bool = False) -> dict[str, dict[str, DataFrame]]:
-    """All datasets of each category. Rows of the categories and the counterparts are annotated once and kept in a table."""
+    """All datasets of each category. What they need of the rows of categories and counterparts is annotated once and kept in a table."""
+    needed = dict.fromkeys(["chr", "site", "ref_base", "majority_base", *RATES, *_columns_of(alt).values(), "neighbour_error_pos"])
     used = F.col("bed_name").isin(*wanted) | F.col("ref_base").isin(*(counterparts or []))
-    annotated = materialize(bed.annotate(features, intervals).where(used), "poi-annotated")
+    annotated = materialize(bed.annotate(features.select(*needed), intervals).where(used), "poi-annotated")
     out = {}
     for category, counterpart in categories(annotated, wanted, counterparts):
         own = annotated.where(F.col("bed_name") == category)
         grouped = groups(annotated, category, counterpart)
-        rates = materialize(error_rates(grouped, alt), "poi-rates")
+        rates = error_rates(grouped, alt)
         out[category] = {
             "map": sequence_map(own, reference),
             "confusion": summary.confusion(own, rows_of_gaps=True),

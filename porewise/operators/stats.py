@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import pairwise
 from math import asinh, comb, copysign, erfc, exp, isnan, lcm, lgamma, log, sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
 from .selection import PIECES, exponent, piece
 
 
@@ -134,21 +135,37 @@ def mann_whitney_p(n1: int, n2: int, rank_sum: float, ties: int) -> float:
     return min(1.0, erfc((u - n1 * n2 / 2 - 0.5) / sqrt(variance) / sqrt(2)))
 
 
-def moments(rates: DataFrame) -> DataFrame:
-    """Of (grp, metric, value): count, mean, sample variance, population skewness and excess kurtosis."""
-    v = F.col("value")
-    return rates.where(v.isNotNull()).groupBy("metric", "grp").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"))
+def value_counts(rates: DataFrame) -> DataFrame:
+    """(metric, grp, value, n): how often each value of (grp, metric, value) is there."""
+    return rates.where("value is not null").groupBy("metric", "grp", "value").agg(F.count("*").alias("n"))
+
+
+def moments(counted: DataFrame) -> DataFrame:
+    """Of counted values: count, mean, sample variance, population skewness and excess kurtosis."""
+    n, mean = F.col("n").cast("double"), F.sum(F.col("n") * F.col("value")) / F.sum("n")
+    # one value alone is its mean, not what rounding makes of it: its variance is zero
+    means = counted.groupBy("metric", "grp").agg(F.when(F.min("value") == F.max("value"), F.min("value")).otherwise(mean).alias("mean"))
+    off = F.col("value") - F.col("mean")
+    powers = counted.join(F.broadcast(means), ["metric", "grp"]).groupBy("metric", "grp", "mean")  # one row for each metric and group
+    powers = powers.agg(F.sum("n").alias("n"), *(F.sum(reduce(lambda a, b: a * b, [off] * i, n)).alias(f"m{i}") for i in (2, 3, 4)))
+    n, m2, m3, m4 = map(F.col, ("n", "m2", "m3", "m4"))
+    return powers.select("metric", "grp", "n", "mean", F.try_divide(m2, n - 1).alias("variance"), F.try_divide(F.sqrt(n) * m3, F.pow(m2, 1.5)).alias("skewness"), (F.try_divide(n * m4, m2 * m2) - 3).alias("kurtosis"))
 
 
 def rank_sums(rates: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """(metric, pair, rank_sum of the first sample, ties = sum of t^3 - t), average ranks.
+    """(metric, pair, rank_sum of the first sample, ties = sum of t^3 - t) of (grp, metric, value), average ranks."""
+    return ranked_counts(value_counts(rates), pairs)
+
+
+def ranked_counts(counted: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """The same of counted values.
 
-    Equal values are counted first; ranks then come from counts in stretches of the value range
+    Only counts go to the pairs of a group; ranks then come from counts in stretches of the value range
     and within each stretch, so that no metric is sorted in one task, whatever outliers it has.
     """
     pair = F.explode(F.array(*(F.struct(F.lit(i).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(pairs)))).alias("p")
-    rows = rates.where("value is not null").select("metric", "grp", "value", pair).where((F.col("grp") == F.col("p.a")) | (F.col("grp") == F.col("p.b")))
-    counts = rows.groupBy("metric", F.col("p.pair").alias("pair"), "value").agg(F.count("*").alias("n"), F.count(F.when(F.col("grp") == F.col("p.a"), 1)).alias("first"))
+    rows = counted.select("metric", "grp", "value", "n", pair).where((F.col("grp") == F.col("p.a")) | (F.col("grp") == F.col("p.b")))
+    counts = rows.groupBy("metric", F.col("p.pair").alias("pair"), "value").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("grp") == F.col("p.a"), F.col("n")).otherwise(0)).alias("first"))
     # by sign and binary exponent, then in pieces of what each exponent spans: an outlier has an exponent of its own
     counts = counts.withColumn("exponent", exponent(F.col("value")))
     span = counts.groupBy("metric", "pair", "exponent").agg(F.min("value").alias("low"), F.max("value").alias("high"))
@@ -168,8 +185,9 @@ def compare_groups(rates: DataFrame, with_counterpart: bool, alpha: float = 0.05
     ``test`` is ERROR where a sample is missing or too small to be tested for normality.
     """
     pairs = [(0, 1), (2, 3), (0, 2), (1, 3)] if with_counterpart else [(0, 1)]
-    m = {(r["metric"], r["grp"]): r for r in moments(rates).collect()}  # one row for each metric and group
-    ranks = {(r["metric"], r["pair"]): r for r in rank_sums(rates, pairs).collect()}
+    counted = materialize(value_counts(rates), "value-counts")
+    m = {(r["metric"], r["grp"]): r for r in moments(counted).collect()}  # one row for each metric and group
+    ranks = {(r["metric"], r["pair"]): r for r in ranked_counts(counted, pairs).collect()}
     out = []
     for metric in sorted({k for k, _ in m}):
         for i, (a, b) in enumerate(pairs):

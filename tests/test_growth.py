@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from porewise.operators import binning, stretches
+from porewise.operators import binning, neighbours, poi, stats, stretches
 from porewise.plans import queries as core
 from porewise.plans import stream_queries, text_queries
 
@@ -64,3 +64,32 @@ def test_stretches_lie_together(spark, small):
     assert placed.groupBy("chr", "stretch").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
     rows = spark.createDataFrame([(None, 1, 1.0), ("c", None, 2.0), ("c", 3, 3.0)], "chr string, site long, v double")
     assert [tuple(r) for r in binning.bin_means(rows, ["v"], 5).collect()] == [(0, 3.0)]
+
+
+def test_points_of_interest_need_few_columns(spark, small, monkeypatch):
+    """No table of the analysis has a row for each site and metric, or columns that no dataset uses."""
+    written, write = {}, poi.materialize
+    for module in (poi, stats):
+        monkeypatch.setattr(module, "materialize", lambda df, name: written.setdefault(name, write(df, name)) if name not in written else write(df, name))
+    core.QUERIES["poi_analyse"](spark, small)
+    assert not {"n_a", "motif", "n_reads"} & set(written["poi-annotated"].columns) and "poi-rates" not in written
+    assert written["value-counts"].groupBy("metric", "grp", "value").count().where("count > 1").count() == 0
+
+
+def test_moments_of_counted_values(spark):
+    rows = spark.range(500).selectExpr("'m' as metric", "cast(id % 2 as int) as grp", "1e6 + pow(id % 23, 3) as value")
+    want = rows.groupBy("grp").agg(F.count("value"), F.avg("value"), F.var_samp("value"), F.skewness("value"), F.kurtosis("value")).collect()
+    got = stats.moments(stats.value_counts(rows)).select("grp", "n", "mean", "variance", "skewness", "kurtosis").collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == {r[0]: pytest.approx(tuple(r[1:])) for r in want}
+    (same,) = stats.moments(stats.value_counts(rows.selectExpr("metric", "grp", "0.1D as value").where("grp = 0").limit(7).unionAll(rows.selectExpr("metric", "0", "0.1D").limit(3)))).collect()
+    assert (same["n"], same["mean"], same["variance"], same["skewness"], same["kurtosis"]) == (10, 0.1, 0.0, None, None)
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 31, 32])
+def test_neighbours_as_bits(spark, k):
+    """Positions in error as bits of a window say the same as sets of them, over borders of stretches and with repeated sites."""
+    sites = [(i * i + i // 3) % 400 - 40 for i in range(260)]
+    rows = [(s, 0.5 if s % 3 else 0.1) for s in sites]
+    got = neighbours.with_neighbour_errors(spark.createDataFrame(rows, "site long, mismatch_rate double").selectExpr("'c' as chr", "*"), k, stretch=70).collect()
+    near = lambda s: sorted({t - s for t, m in rows if m >= 0.5 and 0 < abs(t - s) <= k})
+    assert len(got) == len(rows) and all(r["neighbour_error_pos"] == near(r["site"]) for r in got)
