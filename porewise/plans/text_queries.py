@@ -223,12 +223,12 @@ def text_order(spark, sf_dir):
     """A table in random order of chromosomes through the filter: whole lines, in the order of the input."""
     rows = ad.features(spark, sf_dir).withColumn("value", F.expr(_VERBATIM.replace("chr(9)", "char(9)")))
     source, out = new_folder(spark, "text-order-in"), new_folder(spark, "text-order-out")
-    text.write_lines(rows.withColumn("h", F.md5(F.concat("chr", F.lit(":"), F.col("site").cast("string")))), source, "\t".join([*COLUMNS, "bed_col_1", "bed_col_2"]), ["h"])
+    text.write_lines(rows.withColumn("h", F.unhex(F.md5(F.concat("chr", F.lit(":"), F.col("site").cast("string"))))), source, "\t".join([*COLUMNS, "bed_col_1", "bed_col_2"]), ["h"])
     found = text.read_feature_lines(spark, source).where("not head")
     text.write_lines(filtering.filter_features(found, mismatch_rate=">=0.5"), out, text.read_header(spark, source))
-    # line 0 of each file is the header, and no two lines are equal
-    numbered = lambda path, name: text.number_lines(text.read_feature_lines(spark, path)).where("not head").select("value", F.col("number").alias(name))
-    return numbered(out, "number_out").join(numbered(source, "number_in"), "value").select("number_in", "number_out", "value")
+    # line 0 of each file is the header, and no two lines are of the same site
+    numbered = lambda path, name, *more: text.number_lines(text.read_feature_lines(spark, path)).where("not head").select(F.substring_index("value", "\t", 2).alias("of"), *more, F.col("number").alias(name))
+    return numbered(out, "number_out", "value").join(numbered(source, "number_in"), "of").select("number_in", "number_out", "value")
 
 
 @query("x as (select 1), t as (select l_orderkey, l_linenumber, l_suppkey % 5 as n from lineitem) select distinct case n when 0 then '' else array_to_string(list_transform(range(n), lambda i: i * 3 - 4), ',') || ',' end as code, n as numbers from t")

@@ -38,14 +38,14 @@ def number_lines(lines: DataFrame) -> DataFrame:
     """Adds ``number``, the 0-based number of a line among all that were read; the lines must be whole files.
 
     Lines of a block bear consecutive keys, so only the first key and the count of each block are
-    needed, and one row for each block of a file meets in one task.
+    needed, and one row for each block of a file meets in one task, and is sent to all: lines stay where they are.
     """
     block = [F.col("file"), F.col("line.path").alias("path"), F.col("line.block").alias("block")]
     counts = lines.groupBy(*block).agg(F.min("line.line").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("file", "path", "block").rowsBetween(Window.unboundedPreceding, -1))
     begins = counts.select("file", F.struct("path", "block").alias("__in"), "first", F.coalesce(before, F.lit(0)).alias("begin"))
     keyed = lines.withColumn("__in", F.struct(F.col("line.path").alias("path"), F.col("line.block").alias("block")))
-    return keyed.join(begins, ["file", "__in"]).withColumn("number", F.col("begin") + F.col("line.line") - F.col("first")).drop("__in", "first", "begin")
+    return keyed.join(F.broadcast(begins), ["file", "__in"]).withColumn("number", F.col("begin") + F.col("line.line") - F.col("first")).drop("__in", "first", "begin")
 
 
 def read_pileup(spark: SparkSession, paths: str | Sequence[str], ordered: bool = False) -> DataFrame:

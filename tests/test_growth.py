@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from porewise.operators import binning, neighbours, poi, stats, stretches
 from porewise.plans import queries as core
 from porewise.plans import stream_queries, text_queries
+from porewise.sources import text
 
 
 @pytest.mark.parametrize("name", ["extract_features", "extract_thresholds", "extract_unknown"])
@@ -93,3 +94,10 @@ def test_neighbours_as_bits(spark, k):
     got = neighbours.with_neighbour_errors(spark.createDataFrame(rows, "site long, mismatch_rate double").selectExpr("'c' as chr", "*"), k, stretch=70).collect()
     near = lambda s: sorted({t - s for t, m in rows if m >= 0.5 and 0 < abs(t - s) <= k})
     assert len(got) == len(rows) and all(r["neighbour_error_pos"] == near(r["site"]) for r in got)
+
+
+def test_numbering_leaves_lines_where_they_are(spark, tmp_path):
+    path = f"file://{tmp_path}/lines"
+    spark.range(50).selectExpr("cast(id as string) as value").repartition(5).write.text(path)
+    plan = text.number_lines(text.read_feature_lines(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
