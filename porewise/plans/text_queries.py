@@ -180,7 +180,7 @@ def text_features(spark, sf_dir):
     """A feature table with neighbours through its text form."""
     rows = neighbours.with_neighbour_errors(ad.features(spark, sf_dir)).withColumn("q_std", F.lit(1.5))
     path = new_folder(spark, "text-features")
-    text.write_features(rows, path)
+    text.write_features(rows, path, compression="gzip")
     near = F.coalesce("neighbour_error_pos", F.array().cast("array<int>"))
     found = text.read_features(spark, path)
     return found.select(*_PLAIN, *(F.round(c, 9).alias(c) for c in ("mismatch_rate", "deletion_rate")), "q_std", F.array_join(near.cast("array<string>"), ",").alias("neighbours"), encode_neighbours(near).alias("code"))

@@ -156,16 +156,17 @@ def read_features(spark: SparkSession, paths: str | Sequence[str], columns: Sequ
     return rows.select(*columns, F.col("file").alias("replicate"), *(PLACE if ordered else ()))
 
 
-def write_lines(rows: DataFrame, path: str, header: str | None = None, order: Sequence[str] = PLACE) -> None:
+def write_lines(rows: DataFrame, path: str, header: str | None = None, order: Sequence[str] = PLACE, compression: str | None = None) -> None:
     """The lines ``value`` in order, after the header: part files of one folder, which are the whole file one after the other.
 
     Rows are dealt to ranges of the order, so the parts' numbers follow it and none is sorted as a whole.
+    Parts may be written with a ``compression``, which readers know by their names; each is then read by one task.
     """
     body = rows.select(F.lit(1).alias("__body"), *order, "value")
     if header is not None:
         head = rows.sparkSession.range(1).select(F.lit(0).alias("__body"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order), F.lit(header).alias("value"))
         body = head.union(body)
-    body.orderBy("__body", *order).select("value").write.text(path, lineSep="\n")
+    body.orderBy("__body", *order).select("value").write.text(path, compression=compression, lineSep="\n")
 
 
 def append_fields(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -186,10 +187,10 @@ def _order(rows: DataFrame) -> Sequence[str]:
     return PLACE if set(PLACE) <= set(rows.columns) else ("chr", "site")
 
 
-def write_features(features: DataFrame, path: str, columns: Sequence[str] = COLUMNS) -> None:
+def write_features(features: DataFrame, path: str, columns: Sequence[str] = COLUMNS, compression: str | None = None) -> None:
     """Text form with one header, in the order of the input if rows know their place in it, else by chromosome and site."""
     shown = [encode_neighbours(F.col(c)) if c == "neighbour_error_pos" else F.col(c) for c in columns]
-    write_lines(_line(features, shown), path, "\t".join(columns), _order(features))
+    write_lines(_line(features, shown), path, "\t".join(columns), _order(features), compression)
 
 
 def write_bed(intervals: DataFrame, path: str) -> None:

@@ -101,3 +101,13 @@ def test_numbering_leaves_lines_where_they_are(spark, tmp_path):
     spark.range(50).selectExpr("cast(id as string) as value").repartition(5).write.text(path)
     plan = text.number_lines(text.read_feature_lines(spark, path))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_features_through_compressed_text(spark, small, tmp_path):
+    path = f"file://{tmp_path}/features"
+    rows = core.ad.features(spark, small).withColumns({"q_std": F.lit(1.5), "neighbour_error_pos": F.array(F.lit(-1), F.lit(2))})
+    text.write_features(rows, path, compression="gzip")
+    parts = sorted(p.name for p in (tmp_path / "features").glob("part-*"))
+    assert parts and all(p.endswith(".txt.gz") for p in parts)
+    found = text.read_features(spark, path).drop("replicate")
+    assert found.exceptAll(rows.select(*[F.col(c).cast(found.schema[c].dataType) for c in found.columns])).count() == 0 and found.count() == rows.count()
