@@ -17,8 +17,8 @@ STRETCH = 4096
 
 
 def placed(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """Adds ``stretch`` and brings its rows together; it is null for a row without a place."""
-    return rows.withColumn("stretch", F.floor(F.col("site") / stretch)).repartition("chr", "stretch")
+    """Adds ``stretch`` and brings its rows together; it is null for a row without a place. Rows that have it lie so already."""
+    return rows if "stretch" in rows.columns else rows.withColumn("stretch", F.floor(F.col("site") / stretch)).repartition("chr", "stretch")
 
 
 def amounts(values: Sequence[str]) -> list[Column]:

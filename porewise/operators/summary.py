@@ -121,7 +121,8 @@ def binned(rows: DataFrame, bins: int = BINS, alt: bool = False) -> DataFrame:
     """(dataset, key, bin, means): the bins of every grouping; a row counts in each grouping that it has a key of.
 
     Rows come as ``placed``, from a written table. They are added up by stretch and all that groupings tell
-    apart, and only these sums are sent to every grouping; rows themselves only where a bin ends in their stretch.
+    apart, and only these sums are sent to every grouping; rows themselves only where a bin of any grouping ends
+    in their stretch, so beyond some size no more of them, however many there are.
     """
     rows, values, group = rows.where(binning.PLACED), ["n_reads", "q_mean", *error_rates(alt)], ["dataset", "key"]
     finest = rows.groupBy("chr", "stretch", "class", "ref_base", "majority_base", "motif3").agg(*binning.amounts(values))
@@ -129,17 +130,20 @@ def binned(rows: DataFrame, bins: int = BINS, alt: bool = False) -> DataFrame:
     stretches = _of_groupings(finest, "chr", "stretch", *sums).groupBy(*group, "chr", "stretch").agg(*binning.added(values))
     stretches = materialize(binning.in_bins(stretches, bins, group), "summary-stretches")
     border = materialize(stretches.where("bin < last").select(*group, "chr", "stretch", "begin", "total"), "summary-borders")  # its size tells whether all tasks may have it
-    return binning.means(stretches, border, _of_groupings(rows, "chr", "stretch", "site", *values), values, bins, group)
+    near = rows.join(border.select("chr", "stretch"), ["chr", "stretch"], "left_semi")
+    return binning.means(stretches, border, _of_groupings(near, "chr", "stretch", "site", *values), values, bins, group)
 
 
 def summarise(features: DataFrame, bins: int = BINS, alt: bool = False) -> dict[str, DataFrame]:
     """All datasets by name, from one scan of the features.
 
     What the datasets need of a row is written once, stretch by stretch; from there one aggregation by
-    grouping sets makes all that is counted, and sums of stretches nearly all that is binned.
+    grouping sets makes all that is counted, and sums of stretches nearly all that is binned. Features may
+    have the column ``stretch`` of ``binning.placed``; they are not shuffled then.
     """
     rates = error_rates(alt)
-    rows = features.select("chr", "site", "n_reads", "q_mean", *rates, "ref_base", "majority_base", match_class().alias("class"), centre_of_motif(F.col("motif")).alias("motif3"))
+    lying = [c for c in features.columns if c == "stretch"]
+    rows = features.select("chr", "site", *lying, "n_reads", "q_mean", *rates, "ref_base", "majority_base", match_class().alias("class"), centre_of_motif(F.col("motif")).alias("motif3"))
     rows = materialize(binning.placed(rows), "summary-rows")
     level = lambda name: counted.where(F.col("level") == LEVELS[name])
     counted = materialize(counts(rows), "summary-counts")

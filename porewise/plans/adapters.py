@@ -30,13 +30,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def features(spark: SparkSession, sf_dir: str, sample: int | None = None, replicate: int | None = None) -> DataFrame:
-    """A feature table with one row for each (chr, site); of one replicate of a sample, if asked for."""
+def features(spark: SparkSession, sf_dir: str, sample: int | None = None, replicate: int | None = None, stretch: int | None = None) -> DataFrame:
+    """A feature table with one row for each (chr, site); of one replicate of a sample, if asked for.
+
+    With ``stretch`` its rows come as ``binning.placed`` gives them: lines are brought together by so many sites
+    and added up where they lie, in one shuffle.
+    """
     lines = table(spark, sf_dir, "lineitem")
     if sample is not None:
         lines = lines.where(F.col("l_suppkey") % 4 == 2 * sample + replicate)
     keys = [F.expr("concat('chr', cast(l_linenumber as string))").alias("chr"), F.col("l_orderkey").alias("site"), F.expr(REF_BASE).alias("ref_base"), F.expr(MOTIF).alias("motif")]
-    rows = lines.groupBy(*keys).agg(*(F.expr(e).alias(n) for n, e in BASE_COUNTS.items()))
+    counts = [F.expr(e).alias(n) for n, e in BASE_COUNTS.items()]
+    if stretch is None:
+        rows = lines.groupBy(*keys).agg(*counts)
+    else:  # the other keys follow from l_orderkey and l_linenumber
+        lines = lines.withColumn("stretch", F.floor(F.col("l_orderkey") / stretch)).repartition("l_linenumber", "stretch")
+        rows = lines.groupBy("l_linenumber", "stretch", "l_orderkey").agg(*counts).select(*keys, "stretch", *BASE_COUNTS)
     rows = rows.withColumn("n_reads", gapless_reads() + F.col("n_del") + F.col("n_ref_skip"))
     return rows.withColumns(rate_columns()).withColumn("q_mean", (F.col("site") % 40).cast("double"))
 

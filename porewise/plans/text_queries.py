@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import region
 from ..functions.labels import chromosome_order, decode_neighbours, encode_neighbours
-from ..operators import extractor, filtering, neighbours, poi, summary, twosample
+from ..operators import binning, extractor, filtering, neighbours, poi, summary, twosample
 from ..schema import COLUMNS
 from ..sources import blocks, text
 from ..sources.storage import new_folder
@@ -332,7 +332,7 @@ def _sizes_sql() -> str:
 def summary_sizes(spark, sf_dir):
     """How many rows each dataset of the summary has."""
     out = None
-    for name, rows in summary.summarise(ad.features(spark, sf_dir), BINS).items():
+    for name, rows in summary.summarise(ad.features(spark, sf_dir, stretch=binning.STRETCH), BINS).items():
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("dataset"), "n")
         out = one if out is None else out.union(one)
     return out
@@ -361,7 +361,7 @@ _KEYS = {"chromosome_counts": "chr", "class_counts": "class", "by_chromosome": "
 @query(f"x as (select 1), {_GRID}, t as (select * from f), {_CELLS} " + " union all ".join(_dataset_sql(name, *how) for name, how in _VALUES.items()))
 def summary_datasets(spark, sf_dir):
     """All values of the summary, from one scan."""
-    found, out = summary.summarise(ad.features(spark, sf_dir), BINS), None
+    found, out = summary.summarise(ad.features(spark, sf_dir, stretch=binning.STRETCH), BINS), None
     for name, (_, _, bin_, *values) in _VALUES.items():
         rows = found[name]
         key = F.concat("ref_base", "majority_base") if name == "confusion" else F.col(_KEYS[name]) if name in _KEYS else F.lit("")

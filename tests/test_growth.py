@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from porewise.operators import binning, neighbours, poi, stats, stretches
+from porewise.operators import binning, neighbours, poi, stats, stretches, summary
 from porewise.plans import queries as core
 from porewise.plans import stream_queries, text_queries
 from porewise.sources import text
@@ -67,6 +67,35 @@ def test_stretches_lie_together(spark, small):
     assert [tuple(r) for r in binning.bin_means(rows, ["v"], 5).collect()] == [(0, 3.0)]
 
 
+def test_summary_shuffles_lines_once(spark, small, monkeypatch):
+    """Lines are brought together by stretch before they are added up, so the features of a stretch need no shuffle of their own."""
+    plans, write = {}, summary.materialize
+    monkeypatch.setattr(summary, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    core.QUERIES["summary_sizes"](spark, small)
+    assert plans["summary-rows"].count("Exchange hashpartitioning") == 1
+    plain, lying = core.ad.features(spark, small), core.ad.features(spark, small, stretch=64)
+    assert lying.drop("stretch").columns == plain.columns and lying.drop("stretch").exceptAll(plain).count() == plain.exceptAll(lying.drop("stretch")).count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions would be put together
+    try:
+        parts = lying.withColumn("part", F.spark_partition_id()).groupBy("chr", "stretch").agg(F.countDistinct("part").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(parts) > 100 and all(r["n"] == 1 for r in parts)
+
+
+def test_rows_of_whole_stretches_are_not_sent_to_groupings(spark, monkeypatch):
+    """Where no bin ends in a stretch, its rows stay where they are: of 20,001 rows, those of one stretch go to the groupings."""
+    rates = ", ".join(f"id % 7 / 8 as {r}" for r in summary.error_rates())
+    rows = spark.range(20_001).selectExpr("'c' as chr", "id as site", "id % 50 as n_reads", "id % 40 / 2 as q_mean", "'A' as ref_base", "'C' as majority_base", "'AAACU' as motif", *rates.split(", "))
+    sent, of = [], summary._of_groupings
+    monkeypatch.setattr(summary, "_of_groupings", lambda df, *columns: sent.append(df) or of(df, *columns))
+    monkeypatch.setattr(binning, "placed", lambda df, placed=binning.placed: placed(df, 256))
+    found = summary.summarise(rows, 2)
+    want = [(b, pytest.approx(sum(i % 50 for i in ids) / len(ids)), pytest.approx(sum(i % 40 / 2 for i in ids) / len(ids))) for b, ids in enumerate((range(10_001), range(10_001, 20_001)))]
+    assert sorted(map(tuple, found["general"].collect())) == want and found["by_motif"].count() == found["by_mismatch"].count() == 2
+    assert sent[1].count() == 256
+
+
 def test_points_of_interest_need_few_columns(spark, small, monkeypatch):
     """No table of the analysis has a row for each site and metric, or columns that no dataset uses."""
     written, write = {}, poi.materialize
